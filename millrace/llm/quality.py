@@ -52,15 +52,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def _repeat_words(of: Column) -> Column:
+def _repeat_words(text_words: Column) -> Column:
     """Words that lie in a window of five words found at least twice in the text.
 
     Windows are sorted by hash, the places of equal neighbours are sorted
     again, and each place adds its window's words up to the next place.
     Texts whose windows all differ stop at the hash set.
     """
-    n = F.size(of)
-    hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(of, i, WINDOW)))
+    hashes = lambda of: F.transform(F.sequence(F.lit(1), F.size(of) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(of, i, WINDOW)))
 
     def places(h: Column) -> Column:
         paired = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -73,7 +72,8 @@ def _repeat_words(of: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(paired, repeated))
 
-    return F.when(n < WINDOW, F.lit(0)).otherwise(let(hashes, places)).cast("long")
+    # the words are bound, too: the optimizer may put their expression in place of their column
+    return let(text_words, lambda of: F.when(F.size(of) < WINDOW, F.lit(0)).otherwise(let(hashes(of), places))).cast("long")
 
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
