@@ -25,7 +25,7 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
 #: Buckets of hashed features, feature slots of a token, tokens on either side in a training window.
 BUCKETS, SLOTS, REACH = 1 << 14, 8, 8
 #: Texts with and without a pattern span that the field is fitted on at most, least hash first.
-SAMPLE = 1500
+SAMPLE = 500
 WINDOWS = 6
 STEPS, RATE, PENALTY = 80, 0.3, 1e-4
 O, B, I = 0, 1, 2  # noqa: E741
@@ -77,7 +77,10 @@ class Field:
     def __post_init__(self) -> None:
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, 5, 3))
-        self.slack = 2 * float(self.moves.max() - self.moves.min())
+        m = self.moves
+        into = lambda y: [m[a, y] - m[a, O] for a in (O, B, I)] + [0.0]  # noqa: E731  the last: a text's first token
+        out = lambda y: [m[y, b] - m[O, b] for b in (O, B, I)] + [0.0]
+        self.slack = np.array([max(into(y)) + max(out(y)) for y in (B, I)])
 
     def _row(self, token: str) -> int:
         i = self.at.get(token)
@@ -94,8 +97,9 @@ class Field:
     def labels(self, text: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places not surely outside, and the best path's labels of all tokens (Viterbi).
 
-        Where outside beats the others by more than any two moves can return,
-        the best path is outside; only the stretches between are searched.
+        Where outside beats a label by more than the moves from and to any
+        neighbours can return, no best path has that label there; only the
+        stretches where one is left are searched.
         """
         if len(self.at) >= REMEMBERED:
             self.at.clear()
@@ -107,7 +111,7 @@ class Field:
             e[k:] += self.rows[ids[: max(n - k, 0)], slot]
         e[:-1] += self.rows[ids[1:], 4]
         out = np.zeros(n, dtype=np.int8)
-        open_ = np.flatnonzero(e[:, O] - e[:, 1:].max(axis=1) <= self.slack)
+        open_ = np.flatnonzero((e[:, :1] - e[:, 1:] <= self.slack).any(axis=1))
         if len(open_):
             for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1):
                 lo, hi = int(run[0]), int(run[-1]) + 1
