@@ -34,7 +34,7 @@ def _complement(gap: int, most: int, left: np.ndarray) -> tuple[int, ...] | None
 
     def pair(total: int, top: int) -> tuple[int, int] | None:
         a = lengths[(lengths <= top) & (lengths < total) & (2 * lengths >= total)]
-        ok = a[there[total - a] & ((2 * a != total) | (left[a] > 1))]
+        ok = a[there[a] & there[total - a] & ((2 * a != total) | (left[a] > 1))]
         return (int(ok[0]), int(total - ok[0])) if len(ok) else None
 
     if two := pair(gap, most):
