@@ -1,12 +1,27 @@
-"""Price, risk, liquidity and technical factors as Spark columns of a price panel."""
+"""The factor registry: each factor as one Spark column of a stock panel."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 STOCK = Window.partitionBy("stock_id").orderBy("date")
+WHOLE = Window.partitionBy("stock_id")
+SO_FAR = STOCK.rowsBetween(Window.unboundedPreceding, 0)
 EPS = 1e-10
+YEAR, LEAST = 252, 60
+
+
+@dataclass(frozen=True)
+class Factor:
+    """``requires`` names the columns without which the factor is null; ``kind`` is cross or ts."""
+
+    requires: tuple[str, ...]
+    kind: str
+    build: Callable[[], Column]
 
 
 def last(n: int) -> WindowSpec:
@@ -18,17 +33,29 @@ def rolling(agg, x: Column, n: int, least: int) -> Column:
     return F.when(F.count(x).over(last(n)) >= least, agg(x).over(last(n)))
 
 
+def lag(x: Column, n: int = 1) -> Column:
+    return F.lag(x, n).over(STOCK)
+
+
+def delta(x: Column) -> Column:
+    return x - lag(x)
+
+
 def change(x: Column, n: int) -> Column:
-    return F.try_divide(x, F.lag(x, n).over(STOCK)) - 1
+    return F.try_divide(x, lag(x, n)) - 1
+
+
+def over(top: Column, bottom: Column) -> Column:
+    return F.try_divide(top, bottom)
 
 
 def momentum(lookback: int, skip: int = 21) -> Column:
     close = F.col("close")
-    return F.try_divide(F.lag(close, skip).over(STOCK), F.lag(close, skip + lookback).over(STOCK)) - 1
+    return over(lag(close, skip), lag(close, skip + lookback)) - 1
 
 
 def rsi(n: int = 14) -> Column:
-    d = F.col("close") - F.lag("close").over(STOCK)
+    d = delta(F.col("close"))
     gain = F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))
     loss = F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))
     return 100 - F.lit(100.0) / (1 + rolling(F.avg, gain, n, n // 2) / (rolling(F.avg, loss, n, n // 2) + EPS))
@@ -40,23 +67,153 @@ def bollinger(n: int = 20) -> Column:
     return (close - (mean - 2 * dev)) / (4 * dev + EPS)
 
 
+def market() -> Column:
+    """The stock's own mean return so far, which stands for the market where no market return is given."""
+    return F.avg("return").over(SO_FAR)
 
-def factors() -> dict[str, Column]:
-    """Every factor by name; built when asked for, as columns need a session."""
-    ret, close, volume = F.col("return"), F.col("close"), F.col("volume")
-    return {
-        "size": F.log(F.when(F.col("market_cap").isNotNull(), F.greatest(F.col("market_cap"), F.lit(1e-6)))),
-        "ch_turnover": F.try_divide(volume, F.col("shares_outstanding")),
-        "momentum_12m": momentum(252),
-        "momentum_6m": momentum(126),
-        "st_reversal_1w": change(close, 5),
-        "st_reversal_1m": change(close, 21),
-        "max_ret_1m": rolling(F.max, ret, 21, 10),
-        "var_95": rolling(lambda x: F.percentile(x, F.lit(0.05)), ret, 252, 60),
-        "rsi_14": rsi(),
-        "bb_width": bollinger(),
-        "amihud_illiq": 1e6 * rolling(F.avg, F.abs(ret) / (close * volume + EPS), 252, 60),
-        "turnover": rolling(F.avg, F.try_divide(volume, F.col("shares_outstanding")), 21, 5),
-        "dollar_volume": F.log(rolling(F.avg, close * volume, 21, 5)),
-        "forward_1d_ret": F.lead(ret).over(STOCK),
-    }
+
+def beta(x: Column, y: Column, n: int = YEAR, least: int = LEAST) -> Column:
+    """Rolling slope of ``x`` on ``y`` over complete pairs; null unless ``y`` varies."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    var = rolling(F.var_samp, y, n, least)
+    return F.when(var > EPS, F.covar_samp(x, y).over(last(n)) / var)
+
+
+def beta_down() -> Column:
+    down = market() < rolling(F.avg, market(), YEAR, YEAR)
+    return beta(F.when(down, F.col("return")), F.when(down, market()))
+
+
+def comoment(power: int) -> Column:
+    """Rolling co-skewness (2) or co-kurtosis (3) of returns centred on their whole mean."""
+    ret, mkt = F.col("return"), market()
+    a, b = ret - F.avg(ret).over(WHOLE), mkt - F.avg(mkt).over(WHOLE)
+    sa, sb = rolling(F.stddev_samp, a, YEAR, LEAST), rolling(F.stddev_samp, b, YEAR, LEAST)
+    scale = F.pow(sa, F.lit(1.5)) * sb if power == 2 else F.sqrt(sa * sa * sb * sb)
+    product = a * b * b if power == 2 else a * b * b * b
+    return rolling(F.avg, product, YEAR, LEAST) / (scale + EPS)
+
+
+def cvar(share: float = 0.05) -> Column:
+    """Mean of the rolling returns that are at most their ``share`` quantile."""
+    ret = F.col("return")
+    cut = F.percentile(ret, F.lit(share)).over(last(YEAR))
+    tail = F.filter(F.collect_list(ret).over(last(YEAR)), lambda x: x <= cut)
+    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(tail)))
+    return F.when(F.count(ret).over(last(YEAR)) >= LEAST, F.coalesce(mean, cut))
+
+
+def ulcer(n: int = 126, least: int = 30) -> Column:
+    close = F.col("close")
+    peak = rolling(F.max, close, n, least)
+    drop = over(close - peak, peak)
+    return F.sqrt(rolling(F.avg, drop * drop, n, least))
+
+
+def working_accruals(fill: bool) -> Column:
+    d = lambda c: F.coalesce(delta(F.col(c)), F.lit(0.0)) if fill else delta(F.col(c))
+    return d("current_assets") - d("cash") - d("current_liabilities") + d("short_term_debt")
+
+
+def accruals() -> Column:
+    return over(working_accruals(True) - F.coalesce("depreciation", F.lit(0.0)), F.col("total_assets"))
+
+
+def altman() -> Column:
+    c, ta = F.col, F.col("total_assets")
+    return (1.2 * over(c("current_assets") - c("current_liabilities"), ta) + 1.4 * over(c("retained_earnings"), ta)
+            + 3.3 * over(c("operating_income"), ta) + 0.6 * over(c("market_cap"), c("total_liabilities")) + 0.99 * over(c("sales"), ta))
+
+
+def piotroski() -> Column:
+    c, ta = F.col, F.col("total_assets")
+    roa, lev = over(c("net_income"), ta), over(c("total_liabilities"), ta)
+    current, margin = over(c("current_assets"), c("current_liabilities")), over(c("gross_profit"), c("sales"))
+    points = [roa > 0, over(c("cfo"), ta) > 0, delta(roa) > 0, accruals() < 0, delta(lev) < 0, delta(current) > 0,
+              delta(c("sales")) > 0, delta(margin) > 0, change(ta, 4) < 0]
+    return sum((F.when(p, 1).otherwise(0) for p in points), F.lit(0))
+
+
+def _ratio(top: str, bottom: str) -> Factor:
+    return Factor((top, bottom), "cross", lambda: over(F.col(top), F.col(bottom)))
+
+
+def _size() -> Column:
+    return F.when(F.col("market_cap").isNotNull(), F.log(F.greatest(F.col("market_cap"), F.lit(1e-6))))
+
+
+def _growth(column: str) -> Factor:
+    return Factor((column,), "ts", lambda: change(F.col(column), 4))
+
+
+def _shares_traded() -> Column:
+    return over(F.col("volume"), F.col("shares_outstanding"))
+
+
+BALANCE = ("current_assets", "cash", "current_liabilities", "short_term_debt")
+REGISTRY: dict[str, Factor] = {
+    "size": Factor(("market_cap",), "cross", _size),
+    "bm": _ratio("book_equity", "market_cap"),
+    "ep": _ratio("net_income", "market_cap"),
+    "sp": _ratio("sales", "market_cap"),
+    "gp_assets": _ratio("gross_profit", "total_assets"),
+    "roe": _ratio("net_income", "book_equity"),
+    "roa": _ratio("net_income", "total_assets"),
+    "roic": Factor(("net_income", "total_debt", "book_equity"), "cross", lambda: over(F.col("net_income"), F.col("total_debt") + F.col("book_equity"))),
+    "gp_ratio": _ratio("gross_profit", "sales"),
+    "op_margin": _ratio("operating_income", "sales"),
+    "net_pm": _ratio("net_income", "sales"),
+    "cfo_ta": _ratio("cfo", "total_assets"),
+    "lev": _ratio("total_liabilities", "total_assets"),
+    "ch_ep": _ratio("net_income", "market_cap"),
+    "ch_turnover": Factor(("volume", "shares_outstanding"), "cross", _shares_traded),
+    "q_roe": _ratio("net_income", "book_equity"),
+    "ch_size": Factor(("market_cap",), "cross", _size),
+    "q_ia": _growth("total_assets"),
+    "q_eg": Factor(("sales", "net_income", "book_equity"), "ts", lambda: change(F.col("sales"), 4) * over(F.col("net_income"), F.col("book_equity"))),
+    "interest_cov": Factor(("operating_income", "total_liabilities"), "ts", lambda: over(F.col("operating_income"), F.col("total_liabilities"))),
+    "earn_quality": Factor((*BALANCE, "cfo"), "ts", lambda: 1 - F.abs(over(working_accruals(False), F.abs("cfo")))),
+    "net_debt_issue": _growth("total_liabilities"),
+    "momentum_12m": Factor(("close",), "ts", lambda: momentum(252)),
+    "momentum_6m": Factor(("close",), "ts", lambda: momentum(126)),
+    "st_reversal_1w": Factor(("close",), "ts", lambda: change(F.col("close"), 5)),
+    "st_reversal_1m": Factor(("close",), "ts", lambda: change(F.col("close"), 21)),
+    "beta": Factor(("return",), "ts", lambda: beta(F.col("return"), market())),
+    "coskewness": Factor(("return",), "ts", lambda: comoment(2)),
+    "cokurtosis": Factor(("return",), "ts", lambda: comoment(3)),
+    "max_ret_1m": Factor(("return",), "ts", lambda: rolling(F.max, F.col("return"), 21, 10)),
+    "var_95": Factor(("return",), "ts", lambda: rolling(lambda x: F.percentile(x, F.lit(0.05)), F.col("return"), YEAR, LEAST)),
+    "cvar_95": Factor(("return",), "ts", cvar),
+    "ulcer_index": Factor(("close",), "ts", ulcer),
+    "ivol_capm": Factor(("return",), "ts", lambda: rolling(F.stddev_samp, F.col("return") - beta(F.col("return"), market()) * market(), YEAR, LEAST)),
+    "rsi_14": Factor(("close",), "ts", rsi),
+    "bb_width": Factor(("close",), "ts", bollinger),
+    "amihud_illiq": Factor(("return", "close", "volume"), "ts", lambda: 1e6 * rolling(F.avg, F.abs("return") / (F.col("close") * F.col("volume") + EPS), YEAR, LEAST)),
+    "turnover": Factor(("volume", "shares_outstanding"), "ts", lambda: rolling(F.avg, _shares_traded(), 21, 5)),
+    "dollar_volume": Factor(("close", "volume"), "ts", lambda: F.log(rolling(F.avg, F.col("close") * F.col("volume"), 21, 5))),
+    "accruals": Factor((*BALANCE, "depreciation", "total_assets"), "ts", accruals),
+    "asset_growth": _growth("total_assets"),
+    "sales_growth": _growth("sales"),
+    "z_score": Factor(("current_assets", "current_liabilities", "total_assets", "retained_earnings", "operating_income", "market_cap", "total_liabilities", "sales"), "ts", altman),
+    "f_score": Factor((*BALANCE, "net_income", "cfo", "depreciation", "total_assets", "total_liabilities", "gross_profit", "sales"), "ts", piotroski),
+    "overnight_return": Factor(("open", "close"), "ts", lambda: over(F.col("open"), lag(F.col("close"))) - 1),
+    "beta_down": Factor(("return",), "ts", beta_down),
+    "forward_1d_ret": Factor(("return",), "ts", lambda: F.lead("return").over(STOCK)),
+}
+
+
+def register_factor(name: str, requires: tuple[str, ...], kind: str, build: Callable[[], Column]) -> None:
+    """Add a factor; ``build`` returns a column of the panel."""
+    REGISTRY[name] = Factor(requires, kind, build)
+
+
+def factor(panel: DataFrame, name: str) -> Column:
+    """The factor over ``panel``; a null column if the panel lacks what it requires."""
+    spec = REGISTRY[name]
+    return spec.build() if set(spec.requires) <= set(panel.columns) else F.lit(None).cast("double")
+
+
+def compute_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``(stock_id, date, factors..)``: all windows share one partitioning, so one shuffle by stock."""
+    names = list(REGISTRY) if names is None else names
+    return panel.select("stock_id", "date", *[factor(panel, n).cast("double").alias(n) for n in names])
