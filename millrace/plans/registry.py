@@ -101,8 +101,8 @@ STATEMENT_FACTORS = {
     "f_score": f"""CAST(CASE WHEN roa > 0 THEN 1 ELSE 0 END + CASE WHEN cfo / nullif(total_assets, 0) > 0 THEN 1 ELSE 0 END + {_up('roa')}
         + CASE WHEN acc < 0 THEN 1 ELSE 0 END + {_up('lev', '<')} + {_up('cr')} + {_up('sales')} + {_up('gm')} + CASE WHEN {_growth('total_assets')} < 0 THEN 1 ELSE 0 END AS DOUBLE)""",
 }
-#: Digits kept where values run to millions, so that sums in another order round alike.
-DIGITS = {"bm": 1, "ep": 1, "ch_ep": 1, "sp": 1, "earn_quality": 3, "interest_cov": 4}
+#: Digits kept where values run to millions, so that sums in another order round alike, and where six digits meet exact ties.
+DIGITS = {"bm": 1, "ep": 1, "ch_ep": 1, "sp": 1, "earn_quality": 3, "interest_cov": 4, "accruals": 9}
 
 
 def _factor(name: str, panel: Query) -> Query:
