@@ -101,20 +101,22 @@ STATEMENT_FACTORS = {
     "f_score": f"""CAST(CASE WHEN roa > 0 THEN 1 ELSE 0 END + CASE WHEN cfo / nullif(total_assets, 0) > 0 THEN 1 ELSE 0 END + {_up('roa')}
         + CASE WHEN acc < 0 THEN 1 ELSE 0 END + {_up('lev', '<')} + {_up('cr')} + {_up('sales')} + {_up('gm')} + CASE WHEN {_growth('total_assets')} < 0 THEN 1 ELSE 0 END AS DOUBLE)""",
 }
-#: Digits kept where values run to millions, so that sums in another order round alike, and where six digits meet exact ties.
-DIGITS = {"bm": 1, "ep": 1, "ch_ep": 1, "sp": 1, "earn_quality": 3, "interest_cov": 4, "accruals": 9}
+#: Digits kept where values run to millions, so that sums in another order round alike.
+DIGITS = {"bm": 1, "ep": 1, "ch_ep": 1, "sp": 1, "earn_quality": 3, "interest_cov": 4}
 
 
 def _factor(name: str, panel: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = panel(spark, sf_dir)
-        return rows.select("stock_id", "date", F.round(factor(rows, name).cast("double"), DIGITS.get(name, 6)).alias(name))
+        unit = 10.0 ** DIGITS.get(name, 6)
+        # quotients of whole hundreds tie at any digit: scaled first, both engines round them alike
+        return rows.select("stock_id", "date", (F.round(factor(rows, name).cast("double") * unit) / unit).alias(name))
 
     return query
 
 
 def _factor_sql(name: str, sql: str, stages: str, source: str) -> str:
-    return f"WITH {stages} SELECT stock_id, date, round({sql}, {DIGITS.get(name, 6)}) AS {name} FROM {source}"
+    return f"WITH {stages} SELECT stock_id, date, round(({sql}) * {10.0 ** DIGITS.get(name, 6)}) / {10.0 ** DIGITS.get(name, 6)} AS {name} FROM {source}"
 
 
 QUERIES: dict[str, Query] = {f"factor_{n}": _factor(n, price_panel) for n in PRICE_FACTORS}
