@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, sharding, simhash, toxicity, url_filter
+from . import bpe, media, packing, pii, quality, secrets, sharding, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each vector of ``embeddings`` is drawn as one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.image_copies(vectors, "vec_id", F.col("embedding"), draw=True).withColumnRenamed("id", "vec_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -59,7 +65,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op8_secrets, op9_pii, op10_quality)
+    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
