@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DAY = Window.partitionBy("date")
 EPS = 1e-10
 
 
+def day() -> WindowSpec:
+    """Windows need a session, so they are made when asked for."""
+    return Window.partitionBy("date")
+
+
 def pct_rank(x: Column, *within: str) -> Column:
     """Average rank of ``x`` as a share of the values of its date (and of the columns ``within``); null stays null."""
     group = Window.partitionBy("date", *within)
@@ -21,35 +25,35 @@ def pct_rank(x: Column, *within: str) -> Column:
 
 def zscore(x: Column, eps: float = EPS) -> Column:
     """Distance from the date's mean in its deviations (``eps`` added)."""
-    return (x - F.avg(x).over(DAY)) / (F.stddev_samp(x).over(DAY) + eps)
+    return (x - F.avg(x).over(day())) / (F.stddev_samp(x).over(day()) + eps)
 
 
 def guarded_zscore(x: Column) -> Column:
     """As ``zscore`` without ``eps``; zero where the date's values do not vary."""
-    dev = F.coalesce(F.stddev_samp(x).over(DAY), F.lit(0.0))
-    return F.when(dev == 0, x * 0).otherwise(F.try_divide(x - F.avg(x).over(DAY), dev))
+    dev = F.coalesce(F.stddev_samp(x).over(day()), F.lit(0.0))
+    return F.when(dev == 0, x * 0).otherwise(F.try_divide(x - F.avg(x).over(day()), dev))
 
 
 def winsorized(x: Column, limit: float = 0.01) -> Column:
     """``x`` clipped to the date's ``limit`` and 1 - ``limit`` quantiles; null stays null."""
-    low, high = (F.percentile(x, F.lit(q)).over(DAY) for q in (limit, 1 - limit))
+    low, high = (F.percentile(x, F.lit(q)).over(day()) for q in (limit, 1 - limit))
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
 def bucket(x: Column, n: int) -> Column:
     """Which of ``n`` quantile buckets of its date holds ``x``, from 0; equal edges merge."""
     shares = F.array(*[F.lit(i / n) for i in range(n + 1)])
-    edges = F.array_distinct(F.percentile(x, shares).over(DAY))
+    edges = F.array_distinct(F.percentile(x, shares).over(day()))
     return F.when(x.isNotNull(), F.greatest(F.size(F.filter(edges, lambda e: e < x)) - 1, F.lit(0)))
 
 
 def minmax(x: Column) -> Column:
-    low, high = F.min(x).over(DAY), F.max(x).over(DAY)
+    low, high = F.min(x).over(day()), F.max(x).over(day())
     return (x - low) / (high - low + EPS)
 
 
 def demean(x: Column) -> Column:
-    return x - F.avg(x).over(DAY)
+    return x - F.avg(x).over(day())
 
 
 def combined(factors: Sequence[str], weights: Sequence[float] | None = None, signs: Sequence[int] | None = None) -> Column:

@@ -8,9 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-STOCK = Window.partitionBy("stock_id").orderBy("date")
-WHOLE = Window.partitionBy("stock_id")
-SO_FAR = STOCK.rowsBetween(Window.unboundedPreceding, 0)
 EPS = 1e-10
 YEAR, LEAST = 252, 60
 
@@ -24,8 +21,13 @@ class Factor:
     build: Callable[[], Column]
 
 
+def stock() -> WindowSpec:
+    """Windows need a session, so they are made when asked for."""
+    return Window.partitionBy("stock_id").orderBy("date")
+
+
 def last(n: int) -> WindowSpec:
-    return STOCK.rowsBetween(1 - n, 0)
+    return stock().rowsBetween(1 - n, 0)
 
 
 def rolling(agg, x: Column, n: int, least: int) -> Column:
@@ -34,7 +36,7 @@ def rolling(agg, x: Column, n: int, least: int) -> Column:
 
 
 def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(STOCK)
+    return F.lag(x, n).over(stock())
 
 
 def delta(x: Column) -> Column:
@@ -69,7 +71,7 @@ def bollinger(n: int = 20) -> Column:
 
 def market() -> Column:
     """The stock's own mean return so far, which stands for the market where no market return is given."""
-    return F.avg("return").over(SO_FAR)
+    return F.avg("return").over(stock().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def beta(x: Column, y: Column, n: int = YEAR, least: int = LEAST) -> Column:
@@ -86,8 +88,8 @@ def beta_down() -> Column:
 
 def comoment(power: int) -> Column:
     """Rolling co-skewness (2) or co-kurtosis (3) of returns centred on their whole mean."""
-    ret, mkt = F.col("return"), market()
-    a, b = ret - F.avg(ret).over(WHOLE), mkt - F.avg(mkt).over(WHOLE)
+    ret, mkt, whole = F.col("return"), market(), Window.partitionBy("stock_id")
+    a, b = ret - F.avg(ret).over(whole), mkt - F.avg(mkt).over(whole)
     sa, sb = rolling(F.stddev_samp, a, YEAR, LEAST), rolling(F.stddev_samp, b, YEAR, LEAST)
     scale = F.pow(sa, F.lit(1.5)) * sb if power == 2 else F.sqrt(sa * sa * sb * sb)
     product = a * b * b if power == 2 else a * b * b * b
@@ -198,7 +200,7 @@ REGISTRY: dict[str, Factor] = {
     "f_score": Factor((*BALANCE, "net_income", "cfo", "depreciation", "total_assets", "total_liabilities", "gross_profit", "sales"), "ts", piotroski),
     "overnight_return": Factor(("open", "close"), "ts", lambda: over(F.col("open"), lag(F.col("close"))) - 1),
     "beta_down": Factor(("return",), "ts", beta_down),
-    "forward_1d_ret": Factor(("return",), "ts", lambda: F.lead("return").over(STOCK)),
+    "forward_1d_ret": Factor(("return",), "ts", lambda: F.lead("return").over(stock())),
 }
 
 

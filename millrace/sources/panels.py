@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_STOCK = Window.partitionBy("stock_id").orderBy("date")
+
+def by_stock() -> WindowSpec:
+    return Window.partitionBy("stock_id").orderBy("date")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = daily.withColumns({
         "market_cap": F.col("close") * F.col("volume") / 1e6,
         "shares_outstanding": (1000 + 10 * F.col("stock_id")).cast("double"),
-        "return": F.try_divide("close", F.lag("close").over(BY_STOCK)) - 1})
+        "return": F.try_divide("close", F.lag("close").over(by_stock())) - 1})
     return daily.where("`return` is not null")
 
 
@@ -83,8 +85,8 @@ def cross_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = events.groupBy(F.col("user_id").cast("long").alias("stock_id"), F.to_date("ts").alias("date")).agg(
         F.avg("value").alias("f1"), (F.max("value") - F.min("value")).alias("f2"),
         F.sum(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("f3"), F.count(F.lit(1)).alias("volume"))
-    moved = daily.withColumn("return", F.try_divide("f1", F.lag("f1").over(BY_STOCK)) - 1).where("`return` is not null")
-    return moved.withColumn("forward_1d_ret", F.lead("return").over(BY_STOCK))
+    moved = daily.withColumn("return", F.try_divide("f1", F.lag("f1").over(by_stock())) - 1).where("`return` is not null")
+    return moved.withColumn("forward_1d_ret", F.lead("return").over(by_stock()))
 
 
 CROSS_SQL = """
