@@ -109,14 +109,14 @@ def _factor(name: str, panel: Query) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = panel(spark, sf_dir)
         unit = 10.0 ** DIGITS.get(name, 6)
-        # quotients of whole hundreds tie at any digit: scaled first, both engines round them alike
-        return rows.select("stock_id", "date", (F.round(factor(rows, name).cast("double") * unit) / unit).alias(name))
+        # quotients of whole hundreds tie at any digit: scaled first, both engines round them alike; adding zero clears the sign of zero
+        return rows.select("stock_id", "date", (F.round(factor(rows, name).cast("double") * unit) / unit + 0.0).alias(name))
 
     return query
 
 
 def _factor_sql(name: str, sql: str, stages: str, source: str) -> str:
-    return f"WITH {stages} SELECT stock_id, date, round(({sql}) * {10.0 ** DIGITS.get(name, 6)}) / {10.0 ** DIGITS.get(name, 6)} AS {name} FROM {source}"
+    return f"WITH {stages} SELECT stock_id, date, round(({sql}) * {10.0 ** DIGITS.get(name, 6)}) / {10.0 ** DIGITS.get(name, 6)} + CAST(0 AS DOUBLE) AS {name} FROM {source}"
 
 
 QUERIES: dict[str, Query] = {f"factor_{n}": _factor(n, price_panel) for n in PRICE_FACTORS}
