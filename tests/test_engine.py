@@ -40,7 +40,7 @@ def test_language_forms_and_errors():
     assert found.canonical == "(cs_zscore(ts_mean(close, 5)) / (volume + 1))"
     assert (found.fields, found.lookback, len(found.parts)) == (["close", "volume"], 5, 2)
     for text, kind in (("nothing", "UnregisteredField"), ("f(close)", "UnregisteredOperator"), ("cs_rank(close, 2)", "ArgumentMismatch"), ("-close", "DisallowedExpression"),
-                       ("close ** 2", "UnsupportedBinaryOp"), ("close +", "SyntaxError"), ("(close)(1)", "InvalidCall"), ("ts_mean(close, 0)", "ArgumentMismatch")):
+                       ("close ** 2", "UnsupportedBinaryOp"), ("close +", "SyntaxError"), ("close.x(1)", "InvalidCall"), ("ts_mean(close, 0)", "ArgumentMismatch")):
         with pytest.raises(language.LanguageError) as bad:
             language.parse(text)
         assert bad.value.kind == kind
