@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import Scratch, small_batches
 
 #: Buckets that n-grams are hashed into.
 BUCKETS = 1 << 18
@@ -25,6 +25,8 @@ STEPS = 300
 TILT = 0.5
 #: Standard errors that a log-count ratio must differ from zero by.
 SURE = 3.5
+#: Sampled texts that an n-gram must be in.
+LEAST = 3
 #: Bytes of a text whose n-grams are hashed at a time; bounds memory for long texts.
 PIECE = 1 << 20
 
@@ -73,32 +75,37 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(grams: list[np.ndarray], toxic: np.ndarray) -> Model:
+def sure_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratios from each bucket's number of toxic and clean texts, and which of them are hardly chance."""
+    ratio = np.log((pos + PRIOR) / (n_pos + 2 * PRIOR)) - np.log((neg + PRIOR) / (n_neg + 2 * PRIOR))
+    return ratio, (pos + neg >= LEAST) & (np.abs(ratio) >= SURE * np.sqrt(1 / (pos + PRIOR) + 1 / (neg + PRIOR)))
+
+
+def constant(n_pos: int, n_neg: int) -> Model:
+    """The model without weights: the share of toxic labels, low without any."""
+    if not n_pos + n_neg:
+        return Model(np.zeros(BUCKETS, np.float32), -2.0)
+    return Model(np.zeros(BUCKETS, np.float32), float(np.log((n_pos + 0.5) / (n_neg + 0.5))))
+
+
+def train(grams: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, sure: np.ndarray) -> Model:
     """Logistic regression over presence times log-count ratio, by accelerated gradient steps.
 
-    Without labels of both classes the model is a constant: the share of toxic
-    labels, zero without any. Weights under a thousandth of the largest are
-    dropped, so that a word's usual n-grams cost nothing when texts are scored.
+    ``grams`` holds each text's buckets among the ``sure`` ones. Without labels
+    of both classes the model is a constant. Weights under a thousandth of the
+    largest are dropped, so that a word's usual n-grams cost nothing when texts
+    are scored.
     """
     y = toxic.astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5))) if len(y) else -2.0)
-    size = np.array([len(g) for g in grams])
-    cols, rows = np.concatenate(grams), np.repeat(np.arange(len(grams)), size)
-    used, at = np.unique(cols, return_inverse=True)
-    pos = np.bincount(at, weights=y[rows], minlength=len(used))
-    neg = np.bincount(at, minlength=len(used)) - pos
-    n_pos, n_neg = y.sum(), len(y) - y.sum()
-    ratio = np.log((pos + PRIOR) / (n_pos + 2 * PRIOR)) - np.log((neg + PRIOR) / (n_neg + 2 * PRIOR))
-    # n-grams whose ratio may well be chance carry nothing and are left out
-    sure = (pos + neg >= 3) & (np.abs(ratio) >= SURE * np.sqrt(1 / (pos + PRIOR) + 1 / (neg + PRIOR)))
+    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+    if not n_pos or not n_neg:
+        return constant(n_pos, n_neg)
     if not sure.any():
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if n_pos >= n_neg else -2.0)
-    there = sure[at]
-    used, ratio = used[sure], ratio[sure]
-    at, rows = (np.cumsum(sure) - 1)[at[there]], rows[there]
-    value = ratio[at]
+    used = np.flatnonzero(sure)
+    at = (np.cumsum(sure, dtype=np.int32) - 1)[np.concatenate(grams)]
+    rows = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+    value = ratio[used][at]
     # between equal rows and equal classes: rare labels count, clean texts still outweigh them
     each = np.where(y == 1, (n_neg / n_pos) ** TILT, 1.0) / len(y)
     row_norm = np.bincount(rows, weights=value**2, minlength=len(y))
@@ -112,7 +119,7 @@ def train(grams: list[np.ndarray], toxic: np.ndarray) -> Model:
         m = (k - 1) / (k + 2)
         vw, vb, pw, pb = w + m * (w - pw), b + m * (b - pb), w, b
     full = np.zeros(BUCKETS, np.float32)
-    full[used] = w * ratio
+    full[used] = w * ratio[used]
     full[np.abs(full) < 1e-3 * np.abs(full).max()] = 0
     return Model(full, float(b))
 
@@ -128,17 +135,46 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of at most ``sample`` labelled texts a class; ids' order decides nothing else."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of at most ``sample`` labelled texts a class; ids' order decides nothing else.
+
+    The sampled texts go to the shared folder and are read twice: executors
+    count texts by bucket and class, then pick each text's buckets among those
+    that the counts leave, so the driver sees at most one row per bucket and
+    per text the few buckets that carry a weight.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "toxicity")
+    found = scratch.keep(labelled(docs, labels, sample))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            for t, y in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                seen[y, text_grams(t.as_py())] += 1
+        there = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[1, there]), pa.array(seen[0, there])], names=["bucket", "pos", "neg"])
+
+    size = dict(found.groupBy("toxic").count().collect())
+    n_pos, n_neg = size.get(1, 0), size.get(0, 0)
+    if not n_pos or not n_neg:
+        return constant(n_pos, n_neg)
+    by = found.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    few = by.where(F.col("pos") + F.col("neg") >= LEAST).toArrow()
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    pos[few.column(0).to_numpy()], neg[few.column(0).to_numpy()] = few.column(1).to_numpy(), few.column(2).to_numpy()
+    ratio, sure = sure_ratios(pos, neg, n_pos, n_neg)
+    shared = spark.sparkContext.broadcast(sure)  # 0.3 MB at any input size
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [text_grams(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary()), b.column(2)], names=["id", "grams", "toxic"])
+            grams = [text_grams(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[shared.value[g]].tobytes() for g in grams], pa.binary()), b.column(2)], names=["id", "grams", "toxic"])
 
-    small_batches(docs.sparkSession)
-    found = labelled(docs, labels, sample)
     schema = T.StructType([T.StructField("id", found.schema["id"].dataType), T.StructField("grams", T.BinaryType()), T.StructField("toxic", T.IntegerType())])
-    got = sorted(found.mapInArrow(run, schema).collect(), key=lambda r: (r[0], bytes(r[1])))
-    return train([np.frombuffer(r[1], np.int32) for r in got], np.array([r[2] for r in got], dtype=np.int64))
+    got = sorted(found.mapInArrow(pick, schema).collect(), key=lambda r: (r[0], bytes(r[1])))
+    scratch.drop(found)
+    return train([np.frombuffer(r[1], np.int32) for r in got], np.array([r[2] for r in got], dtype=np.int64), ratio, sure)
 
 
 def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
