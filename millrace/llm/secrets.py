@@ -7,6 +7,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import Scratch, small_batches
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -41,15 +43,23 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+@lru_cache(1 << 14)
 def _bucket(slot: str, value: str) -> int:
     return zlib.crc32(f"{slot}:{value}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+#: Checksums of the slots that hold neighbours, carried on over the neighbour itself.
+NEAR = tuple(zlib.crc32(f"{slot}:".encode()) for slot in ("p1", "p2", "p3", "n1"))
+
+
 def shape(token: str) -> str:
     """Kinds of characters, how often they alternate and how long the token is, each in steps."""
-    kinds = [("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else "-" for c in token[:256]]
-    turns = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
-    return f"{''.join(sorted(set(kinds)))}{min(turns, 6)}{min(len(token), 48).bit_length()}{int(len(token) > 15)}"
+    if token.isascii() and token.isalpha() and (token.islower() or token.isupper()):
+        sorts, turns = "a" if token.islower() else "A", 0
+    else:
+        kinds = [("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else "-" for c in token[:256]]
+        sorts, turns = "".join(sorted(set(kinds))), sum(map(ne, kinds, kinds[1:]))
+    return f"{sorts}{min(turns, 6)}{min(len(token), 48).bit_length()}{int(len(token) > 15)}"
 
 
 def token_features(token: str) -> tuple[int, ...]:
@@ -58,8 +68,8 @@ def token_features(token: str) -> tuple[int, ...]:
     s = shape(token)
     distinct = len(set(token[:256]))
     own = (_bucket("shape", s), _bucket("distinct", f"{min(distinct, 20)}/{min(len(token), 40) // 4}"), _bucket("plain", str(token.isalpha()) + s[-1]))
-    mark = word if not any(c.isdigit() for c in word) else s
-    return (*own, _bucket("p1", mark), _bucket("p2", mark), _bucket("p3", mark), _bucket("n1", mark))
+    mark = (word if word.isalpha() or not any(c.isdigit() for c in word) else s).encode("utf-8", "surrogatepass")
+    return (*own, *[zlib.crc32(mark, near) % BUCKETS for near in NEAR])
 
 
 def file_feature(text: str) -> int:
@@ -82,17 +92,15 @@ class Field:
         out = lambda y: [m[y, b] - m[O, b] for b in (O, B, I)] + [0.0]
         self.slack = np.array([max(into(y)) + max(out(y)) for y in (B, I)])
 
-    def _row(self, token: str) -> int:
-        i = self.at.get(token)
-        if i is None:
-            i = len(self.at)
-            if i == len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            f = token_features(token)
-            self.rows[i, 0] = self.weights[list(f[:3])].sum(axis=0)
-            self.rows[i, 1:] = self.weights[list(f[3:])]
-            self.at[token] = i
-        return i
+    def _learn(self, tokens: set[str]) -> None:
+        """Remember what each of these tokens adds to its own and its neighbours' labels."""
+        f = np.array([token_features(t) for t in tokens], dtype=np.int64)
+        first, end = len(self.at), len(self.at) + len(f)
+        if end > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros((end, 5, 3))))
+        self.rows[first:end, 0] = self.weights[f[:, :3]].sum(axis=1)
+        self.rows[first:end, 1:] = self.weights[f[:, 3:]]
+        self.at.update(zip(tokens, range(first, end), strict=True))
 
     def labels(self, text: str, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places not surely outside, and the best path's labels of all tokens (Viterbi).
@@ -103,8 +111,9 @@ class Field:
         """
         if len(self.at) >= REMEMBERED:
             self.at.clear()
-        get = self.at.get
-        ids = np.array([i if (i := get(t)) is not None else self._row(t) for t in tokens], dtype=np.int64)
+        if new := {t for t in tokens if t not in self.at}:
+            self._learn(new)
+        ids = np.array([*map(self.at.__getitem__, tokens)], dtype=np.int64)
         n = len(ids)
         e = self.rows[ids, 0] + self.weights[file_feature(text)]
         for k, slot in ((1, 1), (2, 2), (3, 3)):
@@ -224,7 +233,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     small_batches(df.sparkSession)
     slim = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rough = F.col("text").rlike("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    marked = slim.select("id", F.xxhash64("id", "text").alias("h"), rough.alias("hit"))
+    scratch = Scratch(df.sparkSession, "secrets")
+    marked = scratch.keep(slim.select(F.xxhash64("id", "text").alias("h"), rough.alias("hit")))  # the pattern runs once a text
     pick = lambda c: marked.where(c).select("h").distinct().orderBy("h").limit(sample)
     few = pick(F.col("hit")).union(pick(~F.col("hit")))  # at most twice ``sample`` hashes
     texts = slim.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(few), "h").select("h", "text")
@@ -241,6 +251,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
 
     # equal rows come in equal windows; repeats are taken once, so copies do not outweigh the rest
     got = sorted({(r[0], bytes(r[1]), bytes(r[2])) for r in texts.mapInArrow(run, "h long, x binary, y binary").distinct().collect()})
+    scratch.drop(marked)
     length = 2 * REACH + 1
     x = np.frombuffer(b"".join(r[1] for r in got), np.int16).astype(np.int64).reshape(-1, length, SLOTS)
     y = np.frombuffer(b"".join(r[2] for r in got), np.int8).reshape(-1, length)
