@@ -314,3 +314,28 @@ def test_pipeline_keeps_clean_rows_and_whole_groups(spark, docs):
     assert kept.columns == docs.columns and kept.where("doc_id >= 1000000").count() == 0
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+
+
+def test_token_shape_equals_its_definition():
+    def plainly(token):
+        kinds = [("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else "-" for c in token]
+        turns = sum(x != y for x, y in zip(kinds, kinds[1:]))
+        return f"{''.join(sorted(set(kinds)))}{min(turns, 6)}{min(len(token), 48).bit_length()}{int(len(token) > 15)}"
+
+    for token in ("a", "Z", "word", "WORD", "Word", "camelCase", "a1", "0", "123", "é", "É", "日", "a-b_c", "x" * 16, "AKIA" + "0A" * 20, "=", "ǅ"):
+        assert secrets.shape(token) == plainly(token), token
+
+
+def test_toxicity_counts_over_partitions_equal_those_of_whole_texts(spark):
+    texts = [(i, ("vile hateful slurs " if i % 3 == 0 else "calm friendly notes ") * 3 + str(i)) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.fit(docs.repartition(5), labels)
+    rows = toxicity.labelled(docs, labels).orderBy("id").collect()
+    y = np.array([r.toxic for r in rows])
+    grams = [toxicity.text_grams(r.text) for r in rows]
+    pos, neg = (np.bincount(np.concatenate([g for g, k in zip(grams, y) if k == c]), minlength=toxicity.BUCKETS) for c in (1, 0))
+    ratio, sure = toxicity.sure_ratios(pos, neg, y.sum(), len(y) - y.sum())
+    plain = toxicity.train([g[sure[g]] for g in grams], y, ratio, sure)
+    assert np.allclose(model.weights, plain.weights) and np.isclose(model.bias, plain.bias)
+    assert model.score("vile hateful slurs") > 0.5 > model.score("calm friendly notes")
