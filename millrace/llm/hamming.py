@@ -87,7 +87,20 @@ def _pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff
                     rest = rest[~near]
 
 
-def _linker(max_diff: int, with_sig: bool):
+def _pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every linked pair of rows in a group of over 64 whose last words, the names of their components, differ."""
+    for lo, hi in ((start[g], start[g + 1]) for g in np.flatnonzero(np.diff(start) > 64)):
+        at = lo + np.argsort(sig[lo:hi, -1], kind="stable")
+        bits, root = sig[at, :-1], sig[at, -1]
+        after = np.searchsorted(root, root, side="right")
+        for i in range(len(at)):
+            near = np.bitwise_count(bits[after[i] :] ^ bits[i]).sum(axis=1, dtype=np.int64) <= max_diff
+            if near.any():
+                found = at[after[i] :][near]
+                yield np.full(len(found), node[at[i]]), node[found]
+
+
+def _linker(max_diff: int, with_sig: bool, pairs=_pairs_within):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         def work(table: pa.Table):
@@ -104,7 +117,7 @@ def _linker(max_diff: int, with_sig: bool):
             new = np.ones(len(node), dtype=bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
             start = np.append(np.flatnonzero(new), len(node))
-            for a, b in _pairs_within(node, sig, start, max_diff):
+            for a, b in pairs(node, sig, start, max_diff):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -126,19 +139,21 @@ def _linker(max_diff: int, with_sig: bool):
     return run
 
 
-def links(blocks: DataFrame, max_diff: int, sigs: DataFrame | None = None) -> DataFrame:
+def links(blocks: DataFrame, max_diff: int, sigs: DataFrame | None = None, across: bool = False) -> DataFrame:
     """Edges ``(a, b)`` between nodes of a block whose signatures differ in at most ``max_diff`` bits.
 
     Without ``sigs(node, sig binary)`` a node is itself its 64-bit signature.
     Components of the edges equal components of all links: in groups of up to 64
     rows every link is given, in larger ones a spanning forest of them, so the
-    output is linear in the rows.
+    output is linear in the rows. With ``across`` a signature ends in the name
+    of its node's component, and what is given is every link of two components
+    in a group of over 64 rows.
     """
     if sigs is not None:
         blocks = blocks.join(sigs, "node")
     cols = ["tab", "key", "sub", "node"] + (["sig"] if sigs is not None else [])
-    dealt = blocks.select(*cols).repartition("tab", "key", "sub").sortWithinPartitions("tab", "key", "sub")
-    return dealt.mapInArrow(_linker(max_diff, sigs is not None), "a long, b long")
+    dealt = blocks.select(*cols).repartition("tab", "key", "sub").sortWithinPartitions(*cols[: 4 if sigs is not None else 3])
+    return dealt.mapInArrow(_linker(max_diff, sigs is not None, _pairs_across if across else _pairs_within), "a long, b long")
 
 
 def fingerprint_links(scratch: Scratch, nodes: DataFrame, max_diff: int) -> DataFrame:

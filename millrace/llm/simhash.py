@@ -91,6 +91,17 @@ def wide_limit(similarity: float, bits: int = 64 * WIDE) -> int:
     return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5))
 
 
+#: Standard deviations by which a pre-filter's limit exceeds the expected distance; ties
+#: of the majority put a pair of 4 and 5 shingles two of them above what is expected.
+MARGIN = 7
+
+
+def wide_filter(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Most differing bits at which a pair is compared exactly."""
+    mean = wide_limit(similarity, bits)
+    return int(np.ceil(mean + MARGIN * np.sqrt(mean * (1 - mean / bits))))
+
+
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
     """``words`` independent 64-bit hashes of each 64-bit hash (SplitMix64 steps)."""
     step = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -109,13 +120,52 @@ def wide_pair(text: str | None, shingle: int = 5) -> tuple[bytes, bytes, int]:
     return majority_bits(_mixed(one, WIDE)).tobytes(), majority_bits(_mixed(many, WIDE)).tobytes(), len(words)
 
 
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles_of(words, shingle))], dtype=np.uint64))
+
+
+def _similar(similarity: float):
+    """Of rows ``(a, b, set a, set b)`` those whose sets have that Jaccard similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, slim: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The distinct ``pairs(a, b)`` of ``nodes(node, h)`` whose texts have that Jaccard similarity; h: hash of one of a node's texts."""
+    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = nodes.select("node", "h").join(met, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(words_of(t.as_py()), shingle).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
+
+    texts = slim.select("text", F.xxhash64("text").alias("h")).join(wanted, "h").dropDuplicates(["node"])
+    sets = scratch.keep(texts.select("node", "text").mapInArrow(run, "node long, set binary"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    return scratch.keep(full.mapInArrow(_similar(similarity), "a long, b long"))
+
+
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, block_bits: int = 24, blocks: int = 36) -> DataFrame:
     """``(id, component)``: groups of texts of Jaccard similarity ``similarity`` or more by wide SimHash.
 
     Pairs meet in ``blocks`` blocks of ``block_bits`` bits of the fingerprint of
-    their distinct words, which an edit changes least, and link when their
-    fingerprints over word shingles differ in no more bits than the similarity
-    allows. Texts with equal words share a node. Texts without words are
+    their distinct words, which an edit changes least. Those whose fingerprints
+    over word shingles differ in at most ``wide_filter`` bits are compared by
+    their shingles themselves, and link if these have the similarity. Of a block
+    of over 64 nodes first a spanning forest is compared, then every pair whose
+    texts are not yet in one group. Texts with equal words share a node. Texts without words are
     compared as one and the same text. Nulls, repeats and empty tables as in
     ``simhash_components``.
     """
@@ -127,26 +177,32 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, node, sig, keys = [], [], [], []
-            for k, t in zip(b.column(0), b.column(1), strict=True):
+            node, sig, keys = [], [], []
+            for t in b.column(1):
                 text = t.as_py()
                 one, many, _ = wide_pair(text, shingle)
                 words = words_of(text)
                 ring = int.from_bytes(one, "little")
                 ring |= ring << bits
-                ids.append(k)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63))
                 sig.append(many)
                 keys.append([(ring >> s) & ((1 << block_bits) - 1) for s in starts])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "sig", "keys"])
 
-    docs = scratch.keep(slim.mapInArrow(run, T.StructType([
-        T.StructField("id", slim.schema["id"].dataType), T.StructField("node", T.LongType()),
+    docs = scratch.keep(slim.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, T.StructType([
+        T.StructField("id", slim.schema["id"].dataType), T.StructField("h", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
-    nodes = scratch.keep(docs.groupBy("node").agg(F.min("id").alias("least_id"), F.min("sig").alias("sig"), F.min("keys").alias("keys")))
+    nodes = scratch.keep(docs.groupBy("node").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), F.min("sig").alias("sig"), F.min("keys").alias("keys")))
     keyed = nodes.select("node", F.posexplode("keys").alias("tab", "key"))
-    found = links(shared_blocks(keyed, CHUNK), wide_limit(similarity), nodes.select("node", "sig"))
+    blocks = scratch.keep(shared_blocks(keyed, CHUNK))
+    limit = wide_filter(similarity)
+    found = verified(scratch, links(blocks, limit, nodes.select("node", "sig")), nodes, slim, similarity, shingle)
     roots = components(scratch, found)
+    large = blocks.groupBy("tab", "key", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 64").drop("n")
+    named = nodes.join(roots, "node", "left").select("node", F.concat("sig", F.to_binary(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"), F.lit("hex"))).alias("sig"))
+    more = verified(scratch, links(blocks.join(large, ["tab", "key", "sub"]), limit, named, across=True), nodes, slim, similarity, shingle)
+    if not more.isEmpty():
+        roots = components(scratch, found.union(more))
     named = scratch.keep(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))
     per_node = named.join(least, "root").select("node", "component")

@@ -339,3 +339,31 @@ def test_toxicity_counts_over_partitions_equal_those_of_whole_texts(spark):
     plain = toxicity.train([g[sure[g]] for g in grams], y, ratio, sure)
     assert np.allclose(model.weights, plain.weights) and np.isclose(model.bias, plain.bias)
     assert model.score("vile hateful slurs") > 0.5 > model.score("calm friendly notes")
+
+
+def five_word_sets(made):
+    words = {i: t.split() for i, t in made.items()}
+    return {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+
+
+def similar_groups(made):
+    sets = five_word_sets(made)
+    ids = sorted(sets)
+    return components_of([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
+
+
+def test_near_copies_have_the_similarity_itself(spark):
+    rng = random.Random(4)
+    new = lambda n, c: [f"{c}{rng.randrange(10**6)}" for _ in range(n)]
+    made = {}
+    for k in range(60):
+        words = new(200, "w")
+        # a run is turned round: the same words, and similarities on either side of 0.8
+        n = 10 + k % 15
+        made[2 * k], made[2 * k + 1] = " ".join(words), " ".join(words[:60] + words[60 : 60 + n][::-1] + words[60 + n :])
+    base, tail = new(120, "g"), new(40, "y")
+    for k in range(150):  # one crowded block, in which only some pairs are similar
+        n = 40 - k % 25
+        made[1000 + k] = " ".join(base + tail[:n] + rng.sample(tail[n:], 40 - n))
+    got = {r.id: r.component for r in simhash.similar_components(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    assert got == similar_groups(made)
