@@ -91,6 +91,9 @@ def wide_limit(similarity: float, bits: int = 64 * WIDE) -> int:
     return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5))
 
 
+#: Texts in which common shingles are counted, count that makes one common, and number of
+#: them told apart. They set the order of prefixes, and so the size of blocks, not the pairs found.
+SAMPLE, COMMON, RANKED = 8192, 4, 1 << 16
 #: Standard deviations by which a pre-filter's limit exceeds the expected distance; ties
 #: of the majority put a pair of 4 and 5 shingles two of them above what is expected.
 MARGIN = 7
@@ -111,15 +114,6 @@ def _mixed(h: np.ndarray, words: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_pair(text: str | None, shingle: int = 5) -> tuple[bytes, bytes, int]:
-    """Wide fingerprints of the distinct words and of the distinct shingles, and the words' number."""
-    words = words_of(text)
-    h = xxhash.xxh64_intdigest
-    one = np.array([h(w, SEED) for w in set(words)], dtype=np.uint64)
-    many = np.array([h(s, SEED) for s in set(shingles_of(words, shingle))], dtype=np.uint64)
-    return majority_bits(_mixed(one, WIDE)).tobytes(), majority_bits(_mixed(many, WIDE)).tobytes(), len(words)
-
-
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles_of(words, shingle))], dtype=np.uint64))
@@ -157,43 +151,72 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, slim: DataFra
     return scratch.keep(full.mapInArrow(_similar(similarity), "a long, b long"))
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, block_bits: int = 24, blocks: int = 36) -> DataFrame:
-    """``(id, component)``: groups of texts of Jaccard similarity ``similarity`` or more by wide SimHash.
+def common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that stand in ``COMMON`` texts or more of a sample."""
+    every = max(1, slim.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shingle_hashes(words_of(t.as_py()), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *got]).view(np.int64))], names=["h"])
 
-    Pairs meet in ``blocks`` blocks of ``block_bits`` bits of the fingerprint of
-    their distinct words, which an edit changes least. Those whose fingerprints
-    over word shingles differ in at most ``wide_filter`` bits are compared by
-    their shingles themselves, and link if these have the similarity. Of a block
-    of over 64 nodes first a spanning forest is compared, then every pair whose
-    texts are not yet in one group. Texts with equal words share a node. Texts without words are
-    compared as one and the same text. Nulls, repeats and empty tables as in
+    sampled = slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text")
+    # at most RANKED rows reach the driver
+    rows = sampled.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(RANKED).collect()
+    h, n = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64), np.array([r[1] for r in rows], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first ``n - ceil(similarity n) + 1`` of a set of ``n`` hashes, rare ones first.
+
+    Sets of that Jaccard similarity have ``ceil(similarity n)`` elements of each
+    in common, so under one order of all elements their prefixes share one.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    rank = np.zeros(n, dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``(id, component)``: groups of texts of Jaccard similarity ``similarity`` or more.
+
+    Pairs meet in the blocks of their shingles' ``prefix``, as every pair of
+    that similarity does. Those whose SimHash fingerprints differ in at most
+    ``wide_filter`` bits are compared by their shingles themselves, and link if
+    these have the similarity. Of a block of over 64 nodes first a spanning
+    forest is compared, then every pair whose texts are not yet in one group.
+    Texts with equal words share a node. Texts without words are compared as
+    one and the same text. Nulls, repeats and empty tables as in
     ``simhash_components``.
     """
     small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "simhash-wide")
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = 64 * WIDE
-    starts = [(i * 197) % bits for i in range(blocks)]  # blocks overlap, each starts elsewhere
+    common, counts = common_shingles(slim, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, sig, keys = [], [], []
             for t in b.column(1):
-                text = t.as_py()
-                one, many, _ = wide_pair(text, shingle)
-                words = words_of(text)
-                ring = int.from_bytes(one, "little")
-                ring |= ring << bits
+                words = words_of(t.as_py())
+                hashes = shingle_hashes(words, shingle)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63))
-                sig.append(many)
-                keys.append([(ring >> s) & ((1 << block_bits) - 1) for s in starts])
+                sig.append(majority_bits(_mixed(hashes, WIDE)).tobytes())
+                keys.append(prefix(hashes, similarity, common, counts).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "sig", "keys"])
 
     docs = scratch.keep(slim.select("id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, T.StructType([
         T.StructField("id", slim.schema["id"].dataType), T.StructField("h", T.LongType()), T.StructField("node", T.LongType()),
         T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
     nodes = scratch.keep(docs.groupBy("node").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), F.min("sig").alias("sig"), F.min("keys").alias("keys")))
-    keyed = nodes.select("node", F.posexplode("keys").alias("tab", "key"))
+    keyed = nodes.select("node", F.lit(0).alias("tab"), F.explode("keys").alias("key"))
     blocks = scratch.keep(shared_blocks(keyed, CHUNK))
     limit = wide_filter(similarity)
     found = verified(scratch, links(blocks, limit, nodes.select("node", "sig")), nodes, slim, similarity, shingle)

@@ -367,3 +367,19 @@ def test_near_copies_have_the_similarity_itself(spark):
         made[1000 + k] = " ".join(base + tail[:n] + rng.sample(tail[n:], 40 - n))
     got = {r.id: r.component for r in simhash.similar_components(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
     assert got == similar_groups(made)
+
+
+def test_near_copies_with_new_or_cut_passages_meet(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    made, common = {}, new(30)
+    for k in range(60):
+        words = (common if k % 2 else []) + new(200)
+        other = (words + new(10 + k), words[10 + k :], [w if rng.random() > 0.03 else "x" + w for w in words])[k % 3]
+        made[2 * k], made[2 * k + 1] = " ".join(words), " ".join(other)
+    for k in range(6):  # 4 and 5 shingles, the shortest texts that are alike and not equal
+        words = new(9)
+        made[1000 + 2 * k], made[1001 + 2 * k] = " ".join(words), " ".join(words[:8])
+    got = {r.id: r.component for r in simhash.similar_components(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
+    want = similar_groups(made)
+    assert got == want and 30 < len(made) - len(set(want.values())) < 66
