@@ -24,9 +24,10 @@ KINDS = {
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
 DIGITS_ONLY = "[^0-9]"
-#: A term is generalised if it tells at least this share of what its entity's name tells,
-#: and stands near it in at least this many documents.
-DISCLOSES, SUPPORT = 0.9, 3
+#: A term is generalised if it tells at least this share of what its entity's name tells.
+DISCLOSES = 0.9
+#: Added to each count of documents.
+SMOOTH = 0.5
 #: Characters on either side of a match that terms are taken from.
 REACH = 60
 
@@ -82,13 +83,20 @@ def _terms(side: Column, start: Column) -> Column:
     return let(parts, places)
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES, support: int = SUPPORT) -> DataFrame:
+def _entity(s: Column) -> Column:
+    """Hash of a matched value's kind and normal form."""
+    form = F.when(s["kind"].isin("card", "phone"), F.regexp_replace(s["value"], DIGITS_ONLY, "")).otherwise(F.lower(s["value"]))
+    return F.xxhash64(s["kind"], form)
+
+
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES) -> DataFrame:
     """``(id, base array, terms array)`` of every row: pattern spans and disclosing terms.
 
     For a term t near an entity e (a matched value), n documents, df(x) the
     documents that hold x and df(t, e) those where t stands near e, disclosure
     is log(n df(t, e) / (df(t) df(e))) / log(n / df(e)): the share of e's
-    information content that t gives away. All counts cover all documents.
+    information content that t gives away. All counts cover all documents and have
+    ``SMOOTH`` added (n twice that), so an entity of a single document counts too.
     Nulls are empty texts; rows equal in id and text get the same spans; an
     empty table gives an empty result; extra columns are ignored.
     """
@@ -99,21 +107,21 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     found = scratch.keep(found)
     n = found.count()
     near = found.where(F.size("base") > 0).select("id", "h", F.explode("base").alias("s")).select(
-        "id", "h", F.xxhash64("s.value").alias("entity"),
+        "id", "h", _entity(F.col("s")).alias("entity"),
         F.explode(F.concat(_terms(F.col("s.before"), F.col("s.start") - F.char_length("s.before")), _terms(F.col("s.after"), F.col("s.end")))).alias("t"))
     near = scratch.keep(near.select("id", "h", "entity", "t.term", F.col("t.start").alias("start"), F.col("t.end").alias("end")).distinct())
-    both = near.select("id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    both = near.select("id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     both = scratch.keep(both)
-    entities = found.select("id", "h", F.explode("base.value").alias("v")).select("id", "h", F.xxhash64("v").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = found.select("id", "h", F.explode("base").alias("s")).select("id", "h", _entity(F.col("s")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = slim.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = both.join(entities, "entity").join(terms, "term")
-    total = F.lit(float(max(n, 1)))
-    share = F.try_divide(F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))), F.log(total / F.col("n_entity")))
+    total, more = F.lit(float(n + 2 * SMOOTH)), F.lit(SMOOTH)
+    share = F.log(total * (F.col("n_both") + more) / ((F.col("n_term") + more) * (F.col("n_entity") + more))) / F.log(total / (F.col("n_entity") + more))
     told = told.where(share >= discloses).select("entity", "term")
-    more = near.join(told, ["entity", "term"], "left_semi").groupBy("id", "h").agg(
+    placed = near.join(told, ["entity", "term"], "left_semi").groupBy("id", "h").agg(
         F.collect_set(F.struct("start", "end", F.col("term").alias("value"))).alias("terms"))
-    out = found.alias("f").join(more.alias("m"), F.col("f.id").eqNullSafe(F.col("m.id")) & (F.col("f.h") == F.col("m.h")), "left")
+    out = found.alias("f").join(placed.alias("m"), F.col("f.id").eqNullSafe(F.col("m.id")) & (F.col("f.h") == F.col("m.h")), "left")
     return out.select("f.id", "f.base", F.coalesce(F.sort_array("m.terms"), F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("terms"))
 
 

@@ -383,3 +383,14 @@ def test_near_copies_with_new_or_cut_passages_meet(spark):
     got = {r.id: r.component for r in simhash.similar_components(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()}
     want = similar_groups(made)
     assert got == want and 30 < len(made) - len(set(want.values())) < 66
+
+
+def test_pii_terms_of_rare_entities(spark):
+    made = {i: f"common words in note {'alpha beta gamma delta'.split()[i % 4]} here" for i in range(300)}
+    made[7] = "Orlo Zebedee common words. Write to o.z@mail.example or call."
+    made[8] = "common words, card 4111 1111 1111 1111, of Quillon"
+    made[9] = "Quillon common here 4111-1111-1111-1111"
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.id: {x.value for x in r.terms} for r in pii.detect(df).collect()}
+    assert {"orlo", "zebedee"} <= got[7] and "quillon" in got[8] and "quillon" in got[9]
+    assert not any("common" in t or "here" in t for t in got.values()) and not any(got[i] for i in made if i not in (7, 8, 9))
