@@ -28,8 +28,8 @@ DIGITS_ONLY = "[^0-9]"
 DISCLOSES = 0.9
 #: Added to each count of documents.
 SMOOTH = 0.5
-#: Characters on either side of a match that terms are taken from.
-REACH = 60
+#: What stands in a sanitised text for a disclosing term; a match's kind stands for it likewise.
+TERM = "[TERM]"
 
 
 def valid(kind: str, found: Column) -> Column:
@@ -43,8 +43,21 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _places(p: Column) -> Column:
+    """array<struct<start, i>> of every second part, with its place in code points."""
+    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,i:int>>").alias("out"), F.lit(0).alias("i"))
+    # only lengths are folded; texts of matches are picked by place
+    return F.aggregate(
+        F.transform(p, lambda x: F.char_length(x)), blank,
+        lambda a, n: F.struct(
+            (a["at"] + n).alias("at"),
+            F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), a["i"].alias("i"))))).otherwise(a["out"]).alias("out"),
+            (a["i"] + 1).alias("i")),
+        lambda a: a["out"])
+
+
 def spans(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, end, value, near>> of the kind's valid matches, by start.
+    """array<struct<kind, start, end, value>> of the kind's valid matches, by start.
 
     Matches are wrapped in marks and the text is split at them: every second
     part is a match, and the lengths so far give its place in code points.
@@ -53,34 +66,30 @@ def spans(text: Column, kind: str) -> Column:
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
 
     def places(p: Column) -> Column:
-        blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,i:int>>").alias("out"), F.lit(0).alias("i"))
-        # only lengths are folded; texts of matches are picked by place
-        folded = F.aggregate(
-            F.transform(p, lambda x: F.char_length(x)), blank,
-            lambda a, n: F.struct(
-                (a["at"] + n).alias("at"),
-                F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), a["i"].alias("i"))))).otherwise(a["out"]).alias("out"),
-                (a["i"] + 1).alias("i")),
-            lambda a: a["out"])
-        found = F.transform(folded, lambda s: F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.char_length(F.get(p, s["i"]))).alias("end"),
-            F.get(p, s["i"]).alias("value"), F.right(F.get(p, s["i"] - 1), F.lit(REACH)).alias("before"), F.left(F.get(p, s["i"] + 1), F.lit(REACH)).alias("after")))
+        found = F.transform(_places(p), lambda s: F.struct(
+            F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.char_length(F.get(p, s["i"]))).alias("end"), F.get(p, s["i"]).alias("value")))
         return F.filter(found, lambda s: valid(kind, s["value"]))
 
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     return F.when(text.rlike(pattern), let(parts, places)).otherwise(none)
 
 
-def _terms(side: Column, start: Column) -> Column:
-    """array<struct<term, start, end>> of the words of four letters or more in a piece of text."""
-    parts = F.split(F.regexp_replace(side, "(?<!\\p{L})\\p{L}{4,}(?!\\p{L})", f"{MARK}$0{MARK}"), MARK, -1)
+def _unmatched(text: Column) -> Column:
+    """The text with spaces for what an address holds; the other kinds hold no letters."""
+    parts = F.split(F.regexp_replace(text, KINDS["email"], f"{MARK}$0{MARK}"), MARK, -1)
+    return F.when(text.rlike(KINDS["email"]), F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.char_length(x))).otherwise(x)), "")).otherwise(text)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(text, "[^\\p{L}]+")), lambda w: w != "")
 
-    def places(p: Column) -> Column:
-        at = F.transform(p, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.aggregate(F.slice(p, 1, i), F.lit(0), lambda a, y: a + F.char_length(y)).alias("at")))
-        return F.transform(F.filter(at, lambda s: s["i"] % 2 == 1), lambda s: F.struct(
-            F.lower(s["x"]).alias("term"), (start + s["at"]).alias("start"), (start + s["at"] + F.char_length(s["x"])).alias("end")))
 
-    return let(parts, places)
+def _terms(text: Column, words: Column) -> Column:
+    """array<struct<start, end, value>> of every place of these words in a text."""
+    pattern = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(words, "|"), F.lit(")(?!\\p{L})"))
+    parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    return let(parts, lambda p: F.transform(_places(p), lambda s: F.struct(
+        s["start"].alias("start"), (s["start"] + F.char_length(F.get(p, s["i"]))).alias("end"), F.lower(F.get(p, s["i"])).alias("value"))))
 
 
 def _entity(s: Column) -> Column:
@@ -89,40 +98,47 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], form)
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES) -> DataFrame:
-    """``(id, base array, terms array)`` of every row: pattern spans and disclosing terms.
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES, with_text: bool = False) -> DataFrame:
+    """``(id, base array, terms array)`` of every row: pattern spans and disclosing terms; ``with_text`` adds the text.
 
-    For a term t near an entity e (a matched value), n documents, df(x) the
-    documents that hold x and df(t, e) those where t stands near e, disclosure
-    is log(n df(t, e) / (df(t) df(e))) / log(n / df(e)): the share of e's
-    information content that t gives away. All counts cover all documents and have
-    ``SMOOTH`` added (n twice that), so an entity of a single document counts too.
+    For a term t and an entity e (a matched value in normal form), n documents,
+    df(x) the documents that hold x and df(t, e) those that hold both,
+    disclosure is log(n df(t, e) / (df(t) df(e))) / log(n / df(e)): the share of
+    e's information content that t gives away. All counts cover all documents
+    and whole texts, outside of matched addresses, and have ``SMOOTH`` added (n
+    twice that), so an entity of a single document counts like any other. Every
+    place of a disclosing term in a text with its entity is given.
     Nulls are empty texts; rows equal in id and text get the same spans; an
     empty table gives an empty result; extra columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "pii")
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, MARK_AS)
-    slim = df.select(F.col(id_col).alias("id"), text.alias("text"))
-    found = slim.select("id", F.xxhash64("text").alias("h"), F.concat(*[spans(F.col("text"), k) for k in KINDS]).alias("base"))
+    raw = F.col(text_col).cast("string")
+    slim = df.select(F.col(id_col).alias("id"), F.translate(F.coalesce(raw, F.lit("")), MARK, MARK_AS).alias("text"), raw.alias("raw"))
+    base = F.concat(*[spans(F.col("text"), k) for k in KINDS])
+    found = slim.select("id", F.xxhash64("text").alias("h"), base.alias("base"), *(["raw"] if with_text else []))
     found = scratch.keep(found)
     n = found.count()
-    near = found.where(F.size("base") > 0).select("id", "h", F.explode("base").alias("s")).select(
-        "id", "h", _entity(F.col("s")).alias("entity"),
-        F.explode(F.concat(_terms(F.col("s.before"), F.col("s.start") - F.char_length("s.before")), _terms(F.col("s.after"), F.col("s.end")))).alias("t"))
-    near = scratch.keep(near.select("id", "h", "entity", "t.term", F.col("t.start").alias("start"), F.col("t.end").alias("end")).distinct())
-    both = near.select("id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    both = scratch.keep(both)
-    entities = found.select("id", "h", F.explode("base").alias("s")).select("id", "h", _entity(F.col("s")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = slim.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("term"))
+    held = found.where(F.size("base") > 0).select("id", "h", F.array_distinct(F.transform("base", _entity)).alias("entities")).dropDuplicates(["id", "h"])
+    # each text that holds an entity once; documents are told apart by id and text
+    owners = slim.withColumn("h", F.xxhash64("text")).join(held.withColumnRenamed("id", "i").withColumnRenamed("h", "g"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
+    owners = scratch.keep(owners.dropDuplicates(["id", "h"]).select("id", "h", _unmatched(F.col("text")).alias("rest"), "entities"))
+    forms = owners.select("id", "h", "entities", F.explode(_words(F.col("rest"))).alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
+    pairs = forms.dropDuplicates(["id", "h", "term"]).select("term", F.explode("entities").alias("entity"))
+    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    words = slim.select("id", "text").select(F.explode(F.array_distinct(F.transform(_words(_unmatched(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))).alias("term"))
     terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = both.join(entities, "entity").join(terms, "term")
     total, more = F.lit(float(n + 2 * SMOOTH)), F.lit(SMOOTH)
     share = F.log(total * (F.col("n_both") + more) / ((F.col("n_term") + more) * (F.col("n_entity") + more))) / F.log(total / (F.col("n_entity") + more))
-    told = told.where(share >= discloses).select("entity", "term")
-    placed = near.join(told, ["entity", "term"], "left_semi").groupBy("id", "h").agg(
-        F.collect_set(F.struct("start", "end", F.col("term").alias("value"))).alias("terms"))
+    told = scratch.keep(told.where(share >= discloses).select("entity", "term"))
+    mine = forms.select("id", "h", "form", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"], "left_semi")
+    mine = mine.groupBy("id", "h").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    same = F.col("o.id").eqNullSafe(F.col("m.id")) & (F.col("o.h") == F.col("m.h"))
+    placed = owners.alias("o").join(mine.alias("m"), same).select("o.id", "o.h", _terms(F.col("o.rest"), F.col("m.forms")).alias("terms"))
     out = found.alias("f").join(placed.alias("m"), F.col("f.id").eqNullSafe(F.col("m.id")) & (F.col("f.h") == F.col("m.h")), "left")
-    return out.select("f.id", "f.base", F.coalesce(F.sort_array("m.terms"), F.array().cast("array<struct<start:int,end:int,value:string>>")).alias("terms"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return out.select("f.id", "f.base", F.coalesce("m.terms", none).alias("terms"), *([F.col("f.raw").alias("text")] if with_text else []))
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -394,3 +394,12 @@ def test_pii_terms_of_rare_entities(spark):
     got = {r.id: {x.value for x in r.terms} for r in pii.detect(df).collect()}
     assert {"orlo", "zebedee"} <= got[7] and "quillon" in got[8] and "quillon" in got[9]
     assert not any("common" in t or "here" in t for t in got.values()) and not any(got[i] for i in made if i not in (7, 8, 9))
+
+
+def test_pii_terms_anywhere_in_the_text(spark):
+    made = {i: "plain filler words go on and on " * 10 for i in range(300)}
+    made[5] = "Åsa Li " + "plain filler words go on and on " * 20 + "a.l@mail.example " + "words on " * 100 + "signed Li, ÅSA Åsa. Lift"
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.id: {made[5][x.start : x.end] + f":{x.start}" for x in r.terms} for r in pii.detect(df).collect()}
+    want = {f"{m[0]}:{m.start()}" for m in re.finditer(r"\b(?:Åsa|Li|ÅSA|signed|Lift)\b", made[5])}
+    assert got[5] == want
