@@ -141,9 +141,37 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     return out.select("f.id", "f.base", F.coalesce("m.terms", none).alias("terms"), *([F.col("f.raw").alias("text")] if with_text else []))
 
 
+def _generalised(text: Column, base: Column, terms: Column) -> Column:
+    """The text with its spans replaced; spans that overlap give one replacement, the first one's."""
+    named = lambda kind, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"))
+    every = F.array_sort(F.concat(
+        F.transform(base, lambda s: named(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")), s)), F.transform(terms, lambda s: named(F.lit(TERM), s))))
+
+    def pieces(e: Column) -> Column:
+        blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(
+            e, blank,
+            lambda a, s: F.struct(
+                F.greatest(a["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["kind"]))).otherwise(a["out"]).alias("out")),
+            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+
+    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(let(every, pieces))
+
+
+def sanitised(found: DataFrame) -> DataFrame:
+    """``detect(.., with_text=True)`` with a column ``sanitised``: the whole text, matched values and disclosing terms generalised."""
+    return found.withColumn("sanitised", _generalised(F.col("text"), F.col("base"), F.col("terms")))
+
+
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES) -> DataFrame:
+    """``(id, text)`` of every row: its text with each matched value replaced by its kind and each disclosing term by ``TERM``; null stays null."""
+    return sanitised(detect(df, id_col, text_col, discloses, with_text=True)).select("id", F.col("sanitised").alias("text"))
+
+
 def digests(found: DataFrame) -> DataFrame:
-    """Counts, the base spans' SHA-256 and all spans written out."""
+    """Counts, the base spans' SHA-256 and all spans written out; the sanitised text too if it is there."""
     written = F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     extra = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("id", *map(n, KINDS), F.sha2(F.array_join(written, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(written, extra), ",").alias("spans"))
+    return found.select("id", *map(n, KINDS), F.sha2(F.array_join(written, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(F.concat(written, extra), ",").alias("spans"), *(["sanitised"] if "sanitised" in found.columns else []))

@@ -403,3 +403,19 @@ def test_pii_terms_anywhere_in_the_text(spark):
     got = {r.id: {made[5][x.start : x.end] + f":{x.start}" for x in r.terms} for r in pii.detect(df).collect()}
     want = {f"{m[0]}:{m.start()}" for m in re.finditer(r"\b(?:Åsa|Li|ÅSA|signed|Lift)\b", made[5])}
     assert got[5] == want
+
+
+def test_pii_sanitised_texts(spark, texts):
+    made = {i: "plain filler words go on" for i in range(300)}
+    made[5] = "\ue000Åsa plain: a.l@mail.example, +49 170 1234567, +10.10.100.100 or 10.0.0.1 \U0001f600 words\nÅsa"
+    made[6] = None
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {r.id: r.text for r in pii.sanitise(df).collect()}
+    assert got == made | {5: "\ue000[TERM] plain: [EMAIL], [PHONE], [PHONE] [TERM] [IP] \U0001f600 words\n[TERM]"}
+    for r in run(spark, "op9_pii").collect():
+        left, at = [], 0
+        for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)):
+            if a >= at:
+                left += [texts[r.doc_id][at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert r.sanitised == "".join(left) + texts[r.doc_id][at:]
