@@ -57,7 +57,7 @@ def shape(token: str) -> str:
     if token.isascii() and token.isalpha() and (token.islower() or token.isupper()):
         sorts, turns = "a" if token.islower() else "A", 0
     else:
-        kinds = [("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else "-" for c in token[:256]]
+        kinds = [("a" if c.islower() else "A") if c.isalpha() else "0" if c.isdigit() else "-" for c in token]
         sorts, turns = "".join(sorted(set(kinds))), sum(map(ne, kinds, kinds[1:]))
     return f"{sorts}{min(turns, 6)}{min(len(token), 48).bit_length()}{int(len(token) > 15)}"
 
@@ -66,7 +66,7 @@ def token_features(token: str) -> tuple[int, ...]:
     """Buckets as the token itself (three), as the last, second and third last one, and as the next."""
     word = token.lower() if len(token) <= 24 else "long"
     s = shape(token)
-    distinct = len(set(token[:256]))
+    distinct = len(set(token))
     own = (_bucket("shape", s), _bucket("distinct", f"{min(distinct, 20)}/{min(len(token), 40) // 4}"), _bucket("plain", str(token.isalpha()) + s[-1]))
     mark = (word if word.isalpha() or not any(c.isdigit() for c in word) else s).encode("utf-8", "surrogatepass")
     return (*own, *[zlib.crc32(mark, near) % BUCKETS for near in NEAR])

@@ -419,3 +419,9 @@ def test_pii_sanitised_texts(spark, texts):
                 left += [texts[r.doc_id][at:a], f"[{kind.upper()}]"]
             at = max(at, b)
         assert r.sanitised == "".join(left) + texts[r.doc_id][at:]
+
+
+def test_token_features_see_the_whole_token():
+    for head, tail in (("a" * 300, "0A-b" * 20), ("0" * 256, "x9" * 40)):
+        assert secrets.shape(head + tail) != secrets.shape(head + head[:1] * len(tail))
+        assert secrets.shape(head + tail)[-3] == "6" and secrets.token_features(head + tail)[1] != secrets.token_features(head + head[:1] * len(tail))[1]
