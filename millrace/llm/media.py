@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hamming import shared_blocks
 from .shared import Scratch, components, small_batches
 
 #: Bits of a descriptor, radius of the patch it tests, and bins of its turn.
@@ -25,10 +26,8 @@ CORNERS, FAINTEST = 40, 0.02
 TABLES, KEY_BITS, MATCH = 16, 24, 40
 #: Matches of one shift, scale and turn that make two images copies.
 CONSENSUS = 5
-#: Rows of a bucket that one task orders at most on average.
+#: Images of a bucket that are paired in one piece.
 CHUNK = 4096
-#: Orders in which a bucket's images are paired with their neighbours.
-ORDERS = 3
 
 
 def _pattern() -> np.ndarray:
@@ -258,22 +257,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: in every bucket each image with the bucket's first and with its neighbours in ``ORDERS`` orders.
+    """``(a, b)``: every two images that share a bucket.
 
-    Linear in the rows. A large bucket is cut by a hash into pieces of about
-    ``CHUNK`` images, each ordered by itself; the first image ties the pieces.
+    A bucket of over ``CHUNK`` images is dealt into pieces of which every two
+    meet, so a task holds about two pieces; the pairs grow with the square of a
+    bucket's images.
     """
     keyed = scratch.keep(nodes.select("node", "bits").mapInArrow(_keys, "node long, tab int, key long"))
-    sized = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    rows = keyed.join(sized, ["tab", "key"])
-    out = rows.select("node", F.col("first").alias("near"))
-    for k in range(ORDERS):
-        mixed = F.xxhash64("node", F.lit(k))
-        piece = F.pmod(F.xxhash64("node", F.lit(100 + k)), F.ceil(F.col("n") / CHUNK).cast("long"))
-        dealt = rows.withColumn("_piece", piece)
-        out = out.union(dealt.select("node", F.lag("node").over(Window.partitionBy("tab", "key", "_piece").orderBy(mixed, "node")).alias("near")))
-    pairs = out.where("near is not null and near <> node").select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1").select("a", "b")
+    blocks = scratch.keep(shared_blocks(keyed, CHUNK))
+    pairs = blocks.withColumnRenamed("node", "a").join(blocks.withColumnRenamed("node", "b"), ["tab", "key", "sub"]).where("a < b")
+    return pairs.select("a", "b").distinct()
 
 
 def image_copies(df: DataFrame, id_col: str, image: Column, draw: bool = False) -> DataFrame:
