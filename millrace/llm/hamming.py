@@ -4,35 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: Fingerprints compared all against all in one task; larger blocks are cut
-#: into chunks and every pair of chunks is compared in a task of its own.
+#: Fingerprints compared all against all in one task; larger blocks are split.
 CHUNK = 4096
+#: Parts that a fingerprint is cut into. Three may hold a differing bit, so a
+#: block key is two of them, 25 or 26 bits, and there are ten keys at every input size.
+PARTS = 5
 
 
-def block_masks(distinct: int, max_diff: int, width: int = 64) -> list[int]:
+def cut_bits(bits: list[int], n: int) -> list[int]:
+    """The bits' places in ``n`` runs of near equal length, as masks."""
+    cuts = [len(bits) * i // n for i in range(n + 1)]
+    return [sum(1 << k for k in bits[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def block_masks(max_diff: int, parts: int = PARTS, width: int = 64) -> list[int]:
     """Masks such that two fingerprints with at most ``max_diff`` differing bits agree on one.
 
-    ``n`` equal blocks of which ``max_diff`` can be hit leave ``n - max_diff``
-    untouched, so every choice of that many blocks is a mask. ``n`` grows until
-    a mask has at least log2(distinct) bits: the expected number of unrelated
-    fingerprints in a block then stays constant at every input size.
+    Differing bits lie in at most ``max_diff`` of the ``parts``, so every choice
+    of the other ``parts - max_diff`` is a mask.
     """
-    need = min(log2(max(distinct, 2)), width // 2)
-    n = max_diff + 1
-    while n < width and (n - max_diff) * (width // n) < need:
-        n += 1
-    cuts = [width * i // n for i in range(n + 1)]
-    parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    return [sum(c) for c in combinations(parts, n - max_diff)]
+    return [sum(c) for c in combinations(cut_bits(list(range(width)), max(parts, max_diff + 1)), max(parts, max_diff + 1) - max_diff)]
+
+
+def inner_masks(mask: int, max_diff: int, width: int = 64) -> list[int]:
+    """Masks over the bits that ``mask`` leaves; two fingerprints that agree under it and link agree on one of these."""
+    return cut_bits([k for k in range(width) if not mask >> k & 1], max_diff + 1)
 
 
 def signed(x: int) -> int:
@@ -44,6 +48,15 @@ def mask_keys(fingerprint: Column, masks: list[int]) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("tab"), fingerprint.bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)))
 
 
+def sized_blocks(keyed: DataFrame) -> DataFrame:
+    """``keyed(tab, key, node)`` of blocks with two nodes or more, with their sizes ``n``.
+
+    Sizes are summed where the rows are and joined back, so no block meets in a task.
+    """
+    sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.join(sizes, ["tab", "key"])
+
+
 def shared_blocks(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows ``(tab, key, sub, node)`` of blocks with at least two nodes.
 
@@ -51,7 +64,7 @@ def shared_blocks(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     node; each row goes to every pair of pieces that has its own, so each pair
     of nodes still meets, and no task holds more than about two pieces.
     """
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tab", "key"))).where("n > 1")
+    sized = sized_blocks(keyed)
     pieces = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     own = F.pmod(F.xxhash64("node"), pieces).cast("int")
     subs = F.when(pieces == 1, F.array(F.lit(0))).otherwise(
@@ -87,7 +100,7 @@ def _pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff
                     rest = rest[~near]
 
 
-def _pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every linked pair of rows in a group of over 64 whose last words, the names of their components, differ."""
     for lo, hi in ((start[g], start[g + 1]) for g in np.flatnonzero(np.diff(start) > 64)):
         at = lo + np.argsort(sig[lo:hi, -1], kind="stable")
@@ -139,25 +152,35 @@ def _linker(max_diff: int, with_sig: bool, pairs=_pairs_within):
     return run
 
 
-def links(blocks: DataFrame, max_diff: int, sigs: DataFrame | None = None, across: bool = False) -> DataFrame:
-    """Edges ``(a, b)`` between nodes of a block whose signatures differ in at most ``max_diff`` bits.
+def links(blocks: DataFrame, max_diff: int, pairs=_pairs_within) -> DataFrame:
+    """Edges ``(a, b)`` between nodes of a block ``(tab, key, sub)`` whose signatures differ in at most ``max_diff`` bits.
 
-    Without ``sigs(node, sig binary)`` a node is itself its 64-bit signature.
+    Without a column ``sig`` (binary) a node is itself its 64-bit signature.
     Components of the edges equal components of all links: in groups of up to 64
     rows every link is given, in larger ones a spanning forest of them, so the
-    output is linear in the rows. With ``across`` a signature ends in the name
-    of its node's component, and what is given is every link of two components
-    in a group of over 64 rows.
+    output is linear in the rows. Other ``pairs`` decide otherwise which rows of
+    a block are paired.
+    """
+    signed_ = "sig" in blocks.columns
+    cols = ["tab", "key", "sub", "node"] + (["sig"] if signed_ else [])
+    dealt = blocks.select(*cols).repartition("tab", "key", "sub").sortWithinPartitions(*cols[: 4 if signed_ else 3])
+    return dealt.mapInArrow(_linker(max_diff, signed_, pairs), "a long, b long")
+
+
+def fingerprint_links(scratch: Scratch, nodes: DataFrame, max_diff: int, parts: int = PARTS, chunk: int = CHUNK) -> DataFrame:
+    """Edges between the distinct 64-bit fingerprints ``nodes(node long)``.
+
+    The nodes of a block over ``chunk`` meet by the same principle once more:
+    of ``max_diff + 1`` runs of the bits that the block's key leaves, a linked
+    pair agrees on one. Only what is still over ``chunk`` then is dealt into
+    pieces that meet two by two.
     """
-    if sigs is not None:
-        blocks = blocks.join(sigs, "node")
-    cols = ["tab", "key", "sub", "node"] + (["sig"] if sigs is not None else [])
-    dealt = blocks.select(*cols).repartition("tab", "key", "sub").sortWithinPartitions(*cols[: 4 if sigs is not None else 3])
-    return dealt.mapInArrow(_linker(max_diff, sigs is not None, _pairs_across if across else _pairs_within), "a long, b long")
-
-
-def fingerprint_links(scratch: Scratch, nodes: DataFrame, max_diff: int) -> DataFrame:
-    """Edges between the distinct 64-bit fingerprints ``nodes(node long)``."""
-    masks = block_masks(nodes.count(), max_diff)
-    keyed = nodes.select("node", F.explode(mask_keys(F.col("node"), masks)).alias("k")).select("k.tab", "k.key", "node")
-    return links(shared_blocks(keyed), max_diff)
+    masks = block_masks(max_diff, parts)
+    keyed = scratch.keep(nodes.select("node", F.explode(mask_keys(F.col("node"), masks)).alias("k")).select("k.tab", "k.key", "node"))
+    sized = scratch.keep(sized_blocks(keyed))
+    small = sized.where(F.col("n") <= chunk).select("tab", "key", F.lit(0).alias("sub"), "node")
+    # tab * (max_diff + 1) + run tells the inner tables apart; their keys hold the block's bits, too
+    finer = F.element_at(F.array(*[F.array(*[
+        F.struct(F.lit(-1 - i * (max_diff + 1) - j).alias("tab"), F.col("node").bitwiseAND(F.lit(signed(m | x))).alias("key")) for j, x in enumerate(inner_masks(m, max_diff))]) for i, m in enumerate(masks)]), F.col("tab") + 1)
+    large = sized.where(F.col("n") > chunk).select("node", F.explode(finer).alias("k")).select("k.tab", "k.key", "node")
+    return links(small.union(shared_blocks(large, chunk).select("tab", "key", "sub", "node")), max_diff)

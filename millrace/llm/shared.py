@@ -96,3 +96,14 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
+
+
+def named_components(scratch: Scratch, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(node, component)`` of all ``nodes(node, least_id, ..)``: the least id of a node's component.
+
+    The least ids are written before they are joined, so a component of any
+    size is only a skewed side of a plain join, which adaptive execution splits.
+    """
+    named = scratch.keep(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
+    least = scratch.keep(named.groupBy("root").agg(F.min("least_id").alias("component")))
+    return named.join(least, "root").select("node", "component")

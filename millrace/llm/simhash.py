@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hamming import CHUNK, fingerprint_links, links, shared_blocks
-from .shared import Scratch, components, small_batches
+from .hamming import CHUNK, pairs_across, fingerprint_links, links, shared_blocks
+from .shared import Scratch, components, named_components, small_batches
 
 SEED = 42
 
@@ -74,10 +74,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = scratch.keep(fingerprints(df, id_col, text_col, shingle))
     nodes = scratch.keep(docs.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("least_id")))
     roots = components(scratch, fingerprint_links(scratch, nodes.select("node"), max_diff))
-    named = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    named = scratch.keep(named)
-    least = named.groupBy("root").agg(F.min("least_id").alias("component"), F.count(F.lit(1)).alias("n"))
-    per_node = named.join(least, "root").select(F.col("node").alias("fp"), "component")
+    per_node = named_components(scratch, nodes, roots).withColumnRenamed("node", "fp")
     return docs.join(per_node, "fp").select("id", "fp", "component")
 
 
@@ -219,14 +216,12 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = nodes.select("node", F.lit(0).alias("tab"), F.explode("keys").alias("key"))
     blocks = scratch.keep(shared_blocks(keyed, CHUNK))
     limit = wide_filter(similarity)
-    found = verified(scratch, links(blocks, limit, nodes.select("node", "sig")), nodes, slim, similarity, shingle)
+    found = verified(scratch, links(blocks.join(nodes.select("node", "sig"), "node"), limit), nodes, slim, similarity, shingle)
     roots = components(scratch, found)
     large = blocks.groupBy("tab", "key", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 64").drop("n")
     named = nodes.join(roots, "node", "left").select("node", F.concat("sig", F.to_binary(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"), F.lit("hex"))).alias("sig"))
-    more = verified(scratch, links(blocks.join(large, ["tab", "key", "sub"]), limit, named, across=True), nodes, slim, similarity, shingle)
+    more = verified(scratch, links(blocks.join(large, ["tab", "key", "sub"]).join(named, "node"), limit, pairs=pairs_across), nodes, slim, similarity, shingle)
     if not more.isEmpty():
         roots = components(scratch, found.union(more))
-    named = scratch.keep(nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component"))
-    per_node = named.join(least, "root").select("node", "component")
+    per_node = named_components(scratch, nodes, roots)
     return docs.select("id", "node").join(per_node, "node").select("id", "component")
