@@ -13,17 +13,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hamming import shared_blocks
-from .shared import Scratch, components, small_batches
+from .hamming import links
+from .shared import Scratch, components, named_components, small_batches
 
 #: Bits of a descriptor, radius of the patch it tests, and bins of its turn.
 BITS, RADIUS, TURNS = 256, 11, 32
 #: Sides of a level and of the next smaller one; levels under ``LEAST_SIDE`` pixels are left out.
 SHRINK, LEAST_SIDE = 1.4, 32
-#: Strongest corners described on each level, and share of the strongest that one must reach.
-CORNERS, FAINTEST = 40, 0.02
-#: Tables and bits of a key; a match differs in at most ``MATCH`` bits.
-TABLES, KEY_BITS, MATCH = 16, 24, 40
+#: Pixels of a level for each of the strongest corners that are described on it, and share of the strongest that a corner must reach.
+CORNER_AREA, FAINTEST = 48, 0.02
+#: Bits in which a match differs at most.
+MATCH = 40
+#: Hamming tables, bits that each takes of a corner and of one of its neighbours, and neighbours that a corner is paired with.
+TABLES, KEY_BITS, NEIGHBOURS = 8, 24, 3
+#: Differences of direction (in 256ths of a turn) and of distance (in 16ths of an octave) that two pairs of corners of one key may have.
+TURN_SLACK, STRETCH_SLACK = 16, 5
 #: Matches of one shift, scale and turn that make two images copies.
 CONSENSUS = 5
 #: Images of a bucket that are paired in one piece.
@@ -85,7 +89,7 @@ def describe(images: np.ndarray) -> dict[str, np.ndarray]:
         if len(img):
             order = np.lexsort((x, y, -inner[img, y, x], img))
             first = np.searchsorted(img[order], img[order])
-            keep = order[np.arange(len(order)) - first < CORNERS]
+            keep = order[np.arange(len(order)) - first < max(1, level.shape[1] * level.shape[2] // CORNER_AREA)]
             img, y, x = img[keep], y[keep] + RADIUS, x[keep] + RADIUS
             patch = level[img[:, None], y[:, None] + DISC[:, 0], x[:, None] + DISC[:, 1]]
             patch = patch - patch.mean(axis=1, keepdims=True)
@@ -183,7 +187,7 @@ def _png(data: bytes) -> np.ndarray | None:
     return grey[..., : 1 if planes < 3 else 3].mean(axis=2)
 
 
-def drawn(vectors: list[list[float] | None], side: int = 64) -> list[np.ndarray | None]:
+def drawn(vectors: list[list[float] | None], side: int = 48) -> list[np.ndarray | None]:
     """Each vector as a square picture: its values, row by row, as a grid scaled up to ``side`` pixels, grey from least to greatest."""
     out: list[np.ndarray | None] = [None] * len(vectors)
     by_size: dict[int, list[int]] = {}
@@ -206,7 +210,9 @@ POINTS = T.StructType([
 
 
 def _rows(images: list[np.ndarray | None]) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
-    node = [0 if im is None else xxhash.xxh64_intdigest(im.astype(np.uint8).tobytes(), im.shape[1]) - (1 << 63) for im in images]
+    # what is hashed is what is described: whole grey values
+    images = [None if im is None else np.clip(np.rint(im), 0, 255).astype(np.uint8) for im in images]
+    node = [0 if im is None else xxhash.xxh64_intdigest(im.tobytes(), im.shape[1]) - (1 << 63) for im in images]
     count, points, bits = [0] * len(images), [b""] * len(images), [b""] * len(images)
     shapes: dict[tuple[int, int], list[int]] = {}
     for i, im in enumerate(images):
@@ -231,21 +237,66 @@ def _unpacked(points: bytes, bits: bytes) -> dict[str, np.ndarray]:
     return {"y": p[:, 0], "x": p[:, 1], "scale": p[:, 2], "angle": p[:, 3], "bits": np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)}
 
 
+def _neighbours(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(corner, other): each corner with its nearest ones of the same level."""
+    one, other = [np.empty(0, int)], [np.empty(0, int)]
+    for scale in np.unique(p["scale"]):
+        at = np.flatnonzero(p["scale"] == scale)
+        here = p["x"][at] + 1j * p["y"][at]
+        for lo in range(0, len(at), 256):  # so many rows of distances at a time
+            away = np.abs(here[lo : lo + 256, None] - here[None, :])
+            away[np.arange(len(away)), lo + np.arange(len(away))] = np.inf
+            near = np.argsort(away, axis=1, kind="stable")[:, : min(NEIGHBOURS, len(at) - 1)]
+            one.append(np.repeat(at[lo : lo + 256], near.shape[1]))
+            other.append(at[near.ravel()])
+    return np.concatenate(one), np.concatenate(other)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each table and distinct key of an image."""
-    pick = [np.sort(np.random.default_rng(100 + t).permutation(BITS)[:KEY_BITS]) for t in range(TABLES)]
+    """A row for each table and pair of neighbouring corners: sampled bits of both, and how they lie to each other.
+
+    Directions are told from the first corner's own, so neither shift, scale
+    nor turn of the image changes a row.
+    """
+    picks = [np.random.default_rng(100 + t).permutation(BITS)[: 2 * KEY_BITS].reshape(2, -1) for t in range(TABLES)]
     weight = (1 << np.arange(KEY_BITS)).astype(np.int64)
     for b in batches:
-        node, tab, key = [], [], []
-        for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8), axis=1)
-            for t, p in enumerate(pick):
-                found = np.unique(rows[:, p] @ weight)
-                node.append(np.full(len(found), k))
-                tab.append(np.full(len(found), t, np.int32))
-                key.append(found)
-        if node:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (node, tab, key)], names=["node", "tab", "key"])
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for node, points, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            p = _unpacked(points, bits)
+            rows = np.unpackbits(p["bits"], axis=1)
+            i, j = _neighbours(p)
+            gap = (p["x"][j] - p["x"][i]) + 1j * (p["y"][j] - p["y"][i])
+            byte = lambda angle: np.rint(angle * 128 / np.pi).astype(np.int64) & 255
+            lie = byte(np.angle(gap) - p["angle"][i]) << 16 | byte(p["angle"][j] - p["angle"][i]) << 8 | np.clip(np.rint(16 * np.log2(np.abs(gap) / p["scale"][i] + 1e-9)), 0, 255).astype(np.int64)
+            for t, (first, second) in enumerate(picks):
+                key = (rows[:, first] @ weight)[i] << KEY_BITS | (rows[:, second] @ weight)[j]
+                for to, x in zip(out, (np.full(len(i), t, np.int32), key, np.full(len(i), node), lie.astype(np.int32)), strict=True):
+                    to.append(x)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["tab", "key", "node", "lie"])
+
+
+def _alike(lie: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether two pairs of corners lie alike."""
+    ok = np.abs((lie & 255) - (other & 255)) <= STRETCH_SLACK
+    for shift in (8, 16):
+        apart = ((lie >> shift) - (other >> shift)) & 255
+        ok &= np.minimum(apart, 256 - apart) <= TURN_SLACK
+    return ok
+
+
+def _across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, _: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket that lie alike and whose images are of different components; ``sig``: lie and component."""
+    lie, root = sig[:, 0].byteswap().astype(np.int64), sig[:, 1]
+    for lo, hi in zip(start[:-1], start[1:], strict=True):
+        at = lo + np.argsort(root[lo:hi], kind="stable")
+        after = np.searchsorted(root[at], root[at], side="right")
+        found = [(k, at[after[n] :][_alike(lie[at[after[n] :]], lie[k])]) for n, k in enumerate(at) if after[n] < len(at)]
+        if found:
+            a, b = np.repeat(node[[k for k, _ in found]], [len(x) for _, x in found]), node[np.concatenate([x for _, x in found])]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pair[0], pair[1]
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,21 +307,43 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept
 
 
-def candidates(scratch: Scratch, nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: every two images that share a bucket.
+def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct ``pairs(a, b)`` that are copies by all their corners."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("points").alias(f"p{c}"), F.col("bits").alias(f"q{c}"))
+    full = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "qa", "pb", "qb")
+    return scratch.keep(full.mapInArrow(_verified, "a long, b long"))
+
 
-    A bucket of over ``CHUNK`` images is dealt into pieces of which every two
-    meet, so a task holds about two pieces; the pairs grow with the square of a
-    bucket's images.
+def copy_links(scratch: Scratch, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(a, b)`` of which the components equal those of all copies that share a bucket.
+
+    First every image of a bucket is compared with the bucket's least one, so
+    a group of any number of copies falls together in as many comparisons as
+    it has rows. Then every two images of a bucket that are still apart are
+    compared; buckets of over ``chunk`` rows are dealt into pieces of which
+    every two meet, so no task holds more than about two pieces.
     """
-    keyed = scratch.keep(nodes.select("node", "bits").mapInArrow(_keys, "node long, tab int, key long"))
-    blocks = scratch.keep(shared_blocks(keyed, CHUNK))
-    pairs = blocks.withColumnRenamed("node", "a").join(blocks.withColumnRenamed("node", "b"), ["tab", "key", "sub"]).where("a < b")
-    return pairs.select("a", "b").distinct()
+    keyed = nodes.select("node", "points", "bits").mapInArrow(_keys, "tab int, key long, node long, lie int")
+    sizes = keyed.groupBy("tab", "key").agg(F.min(F.struct("node", "lie")).alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("least.node <> last")
+    blocks = scratch.keep(keyed.join(sizes.drop("last"), ["tab", "key"]))
+    turn = lambda k: F.pmod(F.shiftright("lie", k) - F.shiftright("least.lie", k), F.lit(256))
+    alike = F.abs(F.col("lie").bitwiseAND(255) - F.col("least.lie").bitwiseAND(255)) <= STRETCH_SLACK
+    for k in (8, 16):
+        alike = alike & (F.least(turn(k), 256 - turn(k)) <= TURN_SLACK)
+    star = verified(scratch, blocks.where(alike & (F.col("node") != F.col("least.node"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")), nodes)
+    roots = components(scratch, star)
+    named = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("tab", "key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").drop("one", "two")
+    pieces = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    own = F.pmod(F.xxhash64("node"), pieces).cast("int")
+    subs = F.when(pieces == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), pieces - 1), lambda j: F.least(own, j) * pieces + F.greatest(own, j)))
+    binary = lambda c: F.to_binary(F.lpad(F.hex(c), 16, "0"), F.lit("hex"))
+    met = named.join(apart, ["tab", "key"]).select("tab", "key", "node", F.concat(binary("lie"), binary("root")).alias("sig"), F.explode(subs).alias("sub"))
+    return star.union(verified(scratch, links(met, 0, pairs=_across), nodes))
 
 
 def image_copies(df: DataFrame, id_col: str, image: Column, draw: bool = False) -> DataFrame:
-    """``(id, n_points int, n_links long, component_id)`` of every row; component: least id reachable over links.
+    """``(id, n_points int, component_id)`` of every row; component: least id reachable over links.
 
     ``image`` is a column of encoded images (``decoded``) or, with ``draw``, of
     number arrays that are drawn as pictures. Equal pixels are one node. Null,
@@ -278,10 +351,12 @@ def image_copies(df: DataFrame, id_col: str, image: Column, draw: bool = False)
     corners have no links but to equal pixels; unreadable ones are alone.
     Repeated rows each get a row; an empty table gives an empty result; extra
     columns are ignored. Null ids name no component unless all its ids are null.
+    Copies are found if a pair of neighbouring corners has the same key in one
+    of the tables, which not all have: the tests measure the recall.
     """
     small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "media")
-    slim = df.select(F.col(id_col).alias("id"), image.alias("image"))
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), image.alias("image"))
     kind = slim.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,17 +368,9 @@ def image_copies(df: DataFrame, id_col: str, image: Column, draw: bool = False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(known, pa.int64()), pa.array(count, pa.int32()), pa.array(points, pa.binary()), pa.array(bits, pa.binary())], names=["id", "node", "n_points", "points", "bits"])
 
     rows = scratch.keep(slim.mapInArrow(run, T.StructType([T.StructField("id", kind), *POINTS.fields])))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.first(F.struct("points", "bits")).alias("p"))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least_id"), F.min(F.struct("points", "bits")).alias("p"))
     nodes = scratch.keep(nodes.select("node", "least_id", "p.points", "p.bits"))
-    pairs = candidates(scratch, nodes.where(F.length("bits") >= CONSENSUS * BITS // 8))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("points").alias(f"p{c}"), F.col("bits").alias(f"q{c}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "qa", "pb", "qb")
-    found = scratch.keep(full.mapInArrow(_verified, "a long, b long"))
-    roots = components(scratch, found)
-    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "least_id").join(roots, "node", "left").join(degree, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = scratch.keep(named)
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_node = named.join(least, "root").select("node", "n_links", "component_id")
-    seen = rows.where("node is not null").select("id", "node", "n_points").join(per_node, "node").select("id", "n_points", "n_links", "component_id")
-    return seen.union(rows.where("node is null").select("id", "n_points", F.lit(0).cast("long"), "id"))
+    roots = components(scratch, copy_links(scratch, nodes.where(F.length("bits") >= CONSENSUS * BITS // 8)))
+    per_node = named_components(scratch, nodes, roots).withColumnRenamed("component", "component_id")
+    seen = rows.where("node is not null").select("id", "node", "n_points").join(per_node, "node").select("id", "n_points", "component_id")
+    return seen.union(rows.where("node is null").select("id", "n_points", "id"))

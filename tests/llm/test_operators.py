@@ -425,15 +425,3 @@ def test_token_features_see_the_whole_token():
     for head, tail in (("a" * 300, "0A-b" * 20), ("0" * 256, "x9" * 40)):
         assert secrets.shape(head + tail) != secrets.shape(head + head[:1] * len(tail))
         assert secrets.shape(head + tail)[-3] == "6" and secrets.token_features(head + tail)[1] != secrets.token_features(head + head[:1] * len(tail))[1]
-
-
-def test_all_images_of_a_crowded_bucket_meet(spark):
-    bits = np.random.default_rng(8).integers(0, 256, (2, 32), np.uint8)
-    rows = [(i, bits[0].tobytes()) for i in range(40)] + [(100, bits[1].tobytes())]
-    # one shared key of one table is enough
-    pick = np.sort(np.random.default_rng(100).permutation(media.BITS)[: media.KEY_BITS])
-    other = 1 - np.unpackbits(bits[1])
-    other[pick] = np.unpackbits(bits[1])[pick]
-    nodes = spark.createDataFrame([*rows, (101, np.packbits(other).tobytes())], "node long, bits binary")
-    got = {(r.a, r.b) for r in media.candidates(media.Scratch(spark, "media-test"), nodes).collect()}
-    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40)} | {(100, 101)}
