@@ -7,7 +7,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numbering import number_rows, utf8_bytes, utf8_crc32
+from .numbering import bucket_count, number_rows, utf8_bytes, utf8_crc32
 
 ROUNDS = 6
 #: Sides tried for the domain; the best of them leaves few values to walk over.
@@ -58,7 +58,8 @@ def shards(df: DataFrame, count: int = 16, id_col: str = "doc_id", text_col: str
     (size 1, CRC 0 for null texts), repeated rows each get a slot, an empty
     table gives an empty result; extra columns are ignored.
     """
-    slim = df.select(F.col(id_col).alias("id"), (utf8_bytes(F.col(text_col).cast("string")) + 1).alias("size"), utf8_crc32(F.col(text_col).cast("string")).alias("text_crc32"))
-    numbered, n = number_rows(slim, ["id", "size", "text_crc32"], "_number")
-    placed = permute(numbered, "_number", n, "_p", seed)
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), (utf8_bytes(text) + 1).alias("size"), utf8_crc32(text).alias("text_crc32"))
+    n = df.count()
+    placed = permute(number_rows(slim, "_number", bucket_count(n)), "_number", n, "_p", seed)
     return placed.select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("_p", F.lit(count)).cast("int").alias("shard"), F.expr(f"_p div {count}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
