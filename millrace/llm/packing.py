@@ -8,80 +8,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .numbering import bucket_count, number_rows
 from .shared import Scratch, small_batches
 
-#: Rows of one length that one numbering window holds on average at most.
-BUCKET_ROWS = 100_000
+#: Numbering buckets of a length at most, and rows of one aimed at.
+BUCKETS, BUCKET_ROWS = 4096, 250
 
 Pattern = tuple[tuple[int, ...], int]
 
 
-def _complement(gap: int, most: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three lengths of at most ``most`` that sum to ``gap`` and are available.
+class SumIndex:
+    """Hash index of the sums of one, two and three available lengths.
 
-    ``left[l]`` is the number of pieces of length l not yet packed; a length
-    taken twice or thrice needs as many. Larger lengths are preferred.
+    ``left[l]`` is the number of pieces of length l not yet packed: the index
+    of single sums. ``pairs[s]`` lists the larger lengths of the pairs of sum
+    s, ``triples[s]`` the lengths that a pair completes to s. Counts only fall,
+    so an entry whose lengths have run out is taken off when it is met, and
+    all look-ups together cost no more than building the index.
     """
-    if gap <= most and left[gap] > 0:
-        return (gap,)
-    there = left[: gap + 1] > 0
-    there[min(most, gap) + 1 :] = False
-    lengths = np.flatnonzero(there)[::-1]
-
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        a = lengths[(lengths <= top) & (lengths < total) & (2 * lengths >= total)]
-        ok = a[there[a] & there[total - a] & ((2 * a != total) | (left[a] > 1))]
-        return (int(ok[0]), int(total - ok[0])) if len(ok) else None
-
-    if two := pair(gap, most):
-        return two
-    for a in lengths[(3 * lengths >= gap) & (lengths < gap)].tolist():
-        left[a] -= 1
-        taken = left[a] == 0
-        if taken:
-            there[a] = False
-        two = pair(gap - a, a)
-        left[a] += 1
-        there[a] = True
-        if two:
-            return (a, *two)
-    return None
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = [0] * (capacity + 1)
+        for length, n in counts.items():
+            if not 0 < length <= capacity:
+                raise ValueError(f"length {length} does not fit {capacity}")
+            self.left[length] = n
+        there = np.array(self.left) > 0
+        lengths = np.flatnonzero(there)
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+        for s in range(2, capacity + 1):
+            big = lengths[(lengths < s) & (2 * lengths >= s)]
+            if len(big := big[there[s - big]]):
+                self.pairs[s] = big.tolist()  # the largest last, where entries are taken
+        paired = np.zeros(capacity + 1, dtype=bool)
+        paired[list(self.pairs)] = True
+        for s in range(3, capacity + 1):
+            one = lengths[lengths < s - 1]
+            if len(one := one[paired[s - one]]):
+                self.triples[s] = one.tolist()
+
+    def pair(self, s: int, kept: int = 0) -> tuple[int, int] | None:
+        """An available pair of sum ``s`` while one piece of length ``kept`` is set aside."""
+        entries = self.pairs.get(s, [])
+        i = len(entries) - 1
+        while i >= 0:
+            a, b = entries[i], s - entries[i]
+            have_a, have_b = self.left[a], self.left[b]
+            if not have_a or not have_b or (a == b and have_a < 2):
+                entries.pop(i)
+            elif have_a - (a == kept) >= 1 + (a == b) and have_b - (b == kept) >= 1:
+                return a, b
+            i -= 1
+        return None
+
+    def triple(self, s: int) -> tuple[int, int, int] | None:
+        entries = self.triples.get(s, [])
+        i = len(entries) - 1
+        while i >= 0:
+            a = entries[i]
+            if not self.left[a] or not self.pairs.get(s - a):
+                entries.pop(i)
+            elif two := self.pair(s - a, a):
+                return (a, *two)
+            i -= 1
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to ``gap``."""
+        if gap and self.left[gap]:
+            return (gap,)
+        return self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     """Sequences as (lengths in order, how many), using every piece exactly once.
 
-    From the longest length down, combinations of up to three shorter lengths
-    that fill its gap exactly are consumed as often as their counts allow; what
-    has no complement goes to best fit: longest first, each into the fullest
+    From the longest length down, combinations of one, two or three lengths that
+    fill its gap exactly are looked up in the index of sums and consumed as
+    often as their counts allow; what has no complement goes to best fit: longest first, each into the fullest
     open sequence that has room. Works on counts, so its time and size depend
     on the capacity, not on the number of documents.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length} does not fit {capacity}")
-        left[length] = n
+    index = SumIndex(counts, capacity)
+    left = index.left
     out: list[Pattern] = []
-    if left[capacity]:
-        out.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
     residual: dict[int, int] = {}
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity, 0, -1):
         while left[length]:
             left[length] -= 1
-            rest = _complement(capacity - length, length, left)
+            rest = index.complement(capacity - length) if length < capacity else ()
             left[length] += 1
             if rest is None:
-                residual[length] = int(left[length])
-                left[length] = 0
+                residual[length], left[length] = left[length], 0
                 break
             whole = (length, *rest)
-            times = min(int(left[x]) // whole.count(x) for x in set(whole))
+            times = min(left[x] // whole.count(x) for x in set(whole))
             for x in whole:
                 left[x] -= times
             out.append((whole, times))
@@ -139,27 +165,19 @@ def _lookup(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray,
     return {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in slots.items()}
 
 
-def pack(pieces: DataFrame, order: list[str], capacity: int, length_col: str = "length", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``pieces`` is read three times.
 
     The driver sees one count per length (at most ``capacity``) and plans; each
-    piece is numbered among those of its length and looks its slot up. Numbering
-    windows are cut by a hash of the ``order`` columns to ``bucket_rows`` rows,
-    so a length that most pieces have does not meet in one task.
+    piece is numbered among those of its length and looks its slot up. Rows
+    equal in all columns get slots of their own; null lengths are an error; an
+    empty table gives an empty result.
     """
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy(length_col).count().collect()}
     slots = _lookup(plan(counts, capacity))
-    buckets = {k: -(-n // bucket_rows) for k, n in counts.items()}
-    split = {k: n for k, n in buckets.items() if n > 1}
-    per = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col(length_col).cast("int")), F.lit(1)) if split else F.lit(1)
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), per).cast("int"))
-    within = Window.partitionBy(length_col, "_bucket")
-    ranked = keyed.withColumn("_rank", F.row_number().over(within.orderBy(*order)) - 1)
-    sizes = keyed.groupBy(length_col, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most capacity + pieces / bucket_rows rows
-    offsets = sizes.select(length_col, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = ranked.join(F.broadcast(offsets), [length_col, "_bucket"]).withColumn("_rank", (F.col("_rank") + F.col("_before")).cast("long"))
+    split = {k: b for k, n in counts.items() if (b := bucket_count(n, BUCKET_ROWS, BUCKETS)) > 1}
+    per = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col(length_col).cast("int")), F.lit(1)) if split else 1
+    ranked = number_rows(pieces, "_rank", per, length_col)
     kept = pieces.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +256,4 @@ def pack_documents(df: DataFrame, path: str, pattern: str, capacity: int = 2048,
     """
     scratch = Scratch(df.sparkSession, "packing")
     pieces = scratch.keep(document_pieces(df, path, pattern, capacity, end_id, id_col, text_col))
-    return pack(pieces, ["id", "piece", "ids_crc32"], capacity)
+    return pack(pieces, capacity)
