@@ -98,47 +98,53 @@ def _entity(s: Column) -> Column:
     return F.xxhash64(s["kind"], form)
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES, with_text: bool = False) -> DataFrame:
-    """``(id, base array, terms array)`` of every row: pattern spans and disclosing terms; ``with_text`` adds the text.
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES) -> DataFrame:
+    """``(id, base array, terms array, text)`` of every row: pattern spans and disclosing terms; ``text`` is null where there is no span.
 
     For a term t and an entity e (a matched value in normal form), n documents,
     df(x) the documents that hold x and df(t, e) those that hold both,
     disclosure is log(n df(t, e) / (df(t) df(e))) / log(n / df(e)): the share of
-    e's information content that t gives away. All counts cover all documents
-    and whole texts, outside of matched addresses, and have ``SMOOTH`` added (n
-    twice that), so an entity of a single document counts like any other. Every
-    place of a disclosing term in a text with its entity is given.
+    e's information content that t gives away. All counts cover all documents,
+    each told apart by id and text and counted once, and whole texts, outside
+    of matched addresses, and have ``SMOOTH`` added (n twice that), so an entity
+    of a single document counts like any other. Every place of a disclosing
+    term in a text with its entity is given.
     Nulls are empty texts; rows equal in id and text get the same spans; an
     empty table gives an empty result; extra columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "pii")
-    raw = F.col(text_col).cast("string")
-    slim = df.select(F.col(id_col).alias("id"), F.translate(F.coalesce(raw, F.lit("")), MARK, MARK_AS).alias("text"), raw.alias("raw"))
+    raw = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.translate(F.coalesce(raw, F.lit("")), MARK, MARK_AS).alias("text"), raw.alias("raw"))
+    # documents are told apart by two hashes, so that a null id is a value like others
+    slim = slim.select("id", F.xxhash64("id").alias("i"), F.xxhash64("text").alias("h"), "text", "raw")
     base = F.concat(*[spans(F.col("text"), k) for k in KINDS])
-    found = slim.select("id", F.xxhash64("text").alias("h"), base.alias("base"), *(["raw"] if with_text else []))
-    found = scratch.keep(found)
-    n = found.count()
-    held = found.where(F.size("base") > 0).select("id", "h", F.array_distinct(F.transform("base", _entity)).alias("entities")).dropDuplicates(["id", "h"])
-    # each text that holds an entity once; documents are told apart by id and text
-    owners = slim.withColumn("h", F.xxhash64("text")).join(held.withColumnRenamed("id", "i").withColumnRenamed("h", "g"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
-    owners = scratch.keep(owners.dropDuplicates(["id", "h"]).select("id", "h", _unmatched(F.col("text")).alias("rest"), "entities"))
-    forms = owners.select("id", "h", "entities", F.explode(_words(F.col("rest"))).alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
-    pairs = forms.dropDuplicates(["id", "h", "term"]).select("term", F.explode("entities").alias("entity"))
+    # texts are kept with their spans, and only where there are any
+    found = slim.select("id", "i", "h", base.alias("base"), "text", "raw")
+    held = lambda c: F.when(F.size("base") > 0, F.col(c)).alias(c)
+    found = scratch.keep(found.select("id", "i", "h", "base", held("text"), held("raw")))
+    owners = found.where(F.size("base") > 0).dropDuplicates(["i", "h"])
+    owners = scratch.keep(owners.select("i", "h", _unmatched(F.col("text")).alias("rest"), F.array_distinct(F.transform("base", _entity)).alias("entities")))
+    forms = owners.select("i", "h", "entities", F.explode(_words(F.col("rest"))).alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
+    pairs = forms.dropDuplicates(["i", "h", "term"]).select("term", F.explode("entities").alias("entity"))
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = slim.select("id", "text").select(F.explode(F.array_distinct(F.transform(_words(_unmatched(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entities = owners.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    # only terms that stand beside an entity are asked for; a document's words leave the scan as hashes, each once
+    hashed = F.array_distinct(F.transform(_words(_unmatched(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
+    words = slim.select("i", "h", hashed.alias("words")).groupBy("i", "h").agg(F.first("words").alias("words"))
+    words = scratch.keep(words)
+    terms = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = both.join(entities, "entity").join(terms, "term")
-    total, more = F.lit(float(n + 2 * SMOOTH)), F.lit(SMOOTH)
+    total, more = F.lit(float(words.count() + 2 * SMOOTH)), F.lit(SMOOTH)
     share = F.log(total * (F.col("n_both") + more) / ((F.col("n_term") + more) * (F.col("n_entity") + more))) / F.log(total / (F.col("n_entity") + more))
     told = scratch.keep(told.where(share >= discloses).select("entity", "term"))
-    mine = forms.select("id", "h", "form", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"], "left_semi")
-    mine = mine.groupBy("id", "h").agg(F.sort_array(F.collect_set("form")).alias("forms"))
-    same = F.col("o.id").eqNullSafe(F.col("m.id")) & (F.col("o.h") == F.col("m.h"))
-    placed = owners.alias("o").join(mine.alias("m"), same).select("o.id", "o.h", _terms(F.col("o.rest"), F.col("m.forms")).alias("terms"))
-    out = found.alias("f").join(placed.alias("m"), F.col("f.id").eqNullSafe(F.col("m.id")) & (F.col("f.h") == F.col("m.h")), "left")
+    scratch.drop(words)
+    mine = forms.select("i", "h", "form", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"], "left_semi")
+    mine = mine.groupBy("i", "h").agg(F.sort_array(F.collect_set("form")).alias("forms"))  # words of one document
+    placed = owners.join(mine, ["i", "h"]).select("i", "h", _terms(F.col("rest"), F.col("forms")).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return out.select("f.id", "f.base", F.coalesce("m.terms", none).alias("terms"), *([F.col("f.raw").alias("text")] if with_text else []))
+    plain = found.where(F.size("base") == 0).select("id", "base", none.alias("terms"), F.col("raw").alias("text"))
+    rich = found.where(F.size("base") > 0).join(placed, ["i", "h"], "left").select("id", "base", F.coalesce("terms", none).alias("terms"), F.col("raw").alias("text"))
+    return plain.union(rich)
 
 
 def _generalised(text: Column, base: Column, terms: Column) -> Column:
@@ -160,13 +166,16 @@ def _generalised(text: Column, base: Column, terms: Column) -> Column:
 
 
 def sanitised(found: DataFrame) -> DataFrame:
-    """``detect(.., with_text=True)`` with a column ``sanitised``: the whole text, matched values and disclosing terms generalised."""
-    return found.withColumn("sanitised", _generalised(F.col("text"), F.col("base"), F.col("terms")))
+    """``detect``'s rows with a column ``sanitised``: the whole text, matched values and disclosing terms generalised; null where nothing is."""
+    return found.withColumn("sanitised", F.when(F.size("base") > 0, _generalised(F.col("text"), F.col("base"), F.col("terms"))))
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", discloses: float = DISCLOSES) -> DataFrame:
     """``(id, text)`` of every row: its text with each matched value replaced by its kind and each disclosing term by ``TERM``; null stays null."""
-    return sanitised(detect(df, id_col, text_col, discloses, with_text=True)).select("id", F.col("sanitised").alias("text"))
+    raw = F.col(f"`{text_col}`").cast("string")
+    marked = F.translate(F.coalesce(raw, F.lit("")), MARK, MARK_AS)
+    clean = df.select(F.col(f"`{id_col}`").alias("id"), raw.alias("text")).where(F.size(F.concat(*[spans(marked, k) for k in KINDS])) == 0)
+    return sanitised(detect(df, id_col, text_col, discloses).where(F.size("base") > 0)).select("id", F.col("sanitised").alias("text")).union(clean)
 
 
 def digests(found: DataFrame) -> DataFrame:

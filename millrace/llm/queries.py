@@ -55,7 +55,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digests(pii.sanitised(pii.detect(table(spark, sf_dir, "documents"), with_text=True))).withColumnRenamed("id", "doc_id")
+    return pii.digests(pii.sanitised(pii.detect(table(spark, sf_dir, "documents")))).withColumnRenamed("id", "doc_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -418,10 +418,138 @@ def test_pii_sanitised_texts(spark, texts):
             if a >= at:
                 left += [texts[r.doc_id][at:a], f"[{kind.upper()}]"]
             at = max(at, b)
-        assert r.sanitised == "".join(left) + texts[r.doc_id][at:]
+        assert (texts[r.doc_id] if r.sanitised is None else r.sanitised) == "".join(left) + texts[r.doc_id][at:] and (r.sanitised is None) == (r.spans == "")
 
 
 def test_token_features_see_the_whole_token():
     for head, tail in (("a" * 300, "0A-b" * 20), ("0" * 256, "x9" * 40)):
         assert secrets.shape(head + tail) != secrets.shape(head + head[:1] * len(tail))
         assert secrets.shape(head + tail)[-3] == "6" and secrets.token_features(head + tail)[1] != secrets.token_features(head + head[:1] * len(tail))[1]
+
+
+def brute_terms(made, discloses=pii.DISCLOSES):
+    """(entity spans, term places) of each text by plain counting over distinct (id, text)."""
+    documents = sorted(set(made), key=str)
+    entity, words, places = {}, {}, {}
+    for i, t in documents:
+        rest, found = t, set()
+        for x in base_pii(t):
+            kind, a, b = x.split(":")
+            value = t[int(a) : int(b)]
+            found.add((kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()))
+        rest = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: " " * len(m[0]), t)
+        places[i, t] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", rest)]
+        entity[i, t], words[i, t] = found, {w for *_, w in places[i, t]}
+    n, s = len(documents), pii.SMOOTH
+    df = Counter(w for ws in words.values() for w in ws)
+    de = Counter(e for es in entity.values() for e in es)
+    both = Counter((w, e) for d in documents for w in words[d] for e in entity[d])
+    share = lambda w, e: np.log((n + 2 * s) * (both[w, e] + s) / ((df[w] + s) * (de[e] + s))) / np.log((n + 2 * s) / (de[e] + s))
+    return {d: {(a, b) for a, b, w in places[d] if any(share(w, e) >= discloses for e in entity[d])} for d in documents}
+
+
+def test_pii_terms_equal_brute_force_and_repeats_change_nothing(spark):
+    rng = random.Random(12)
+    pool = [f"{a}{b}" for a in ("bar", "dor", "fel", "gan", "hul") for b in ("ab", "ec", "id", "of", "ug", "yk")]
+    names = ["Orlo", "Zebedee", "Quillon", "Åsa", "barab"]
+    mails = ["a.b@mail.example", "x@y.example", "+49 170 1234567", "10.0.0.1", "4111 1111 1111 1111"]
+    made = []
+    for i in range(150):
+        text = " ".join(rng.choice(pool[: 5 + i % 26]) for _ in range(12))
+        made.append((i if i % 40 else None, text + (f" {mails[i % 5]} {names[i % 5]} {rng.choice(pool)}" if i % 3 == 0 else "")))
+    want = brute_terms(made)
+    schema = "doc_id long, text string"
+    once = pii.detect(spark.createDataFrame(made, schema)).collect()
+    twice = pii.detect(spark.createDataFrame(made * 2, schema)).collect()
+    key = lambda r: (r.id, str(r.text), tuple((x.start, x.end) for x in r.terms))
+    assert Counter(map(key, twice)) == Counter({k: 2 * n for k, n in Counter(map(key, once)).items()})
+    got = {(r.id, r.text): {(x.start, x.end) for x in r.terms} for r in once if r.text is not None}
+    assert got == {d: t for d, t in want.items() if base_pii(d[1])} and any(got.values())
+
+
+def test_components_in_rounds_and_in_one_task_agree(spark):
+    from millrace.llm.shared import Scratch, components
+
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(900, k) for k in range(901, 960)]
+    want = components_of(edges, sorted({x for e in edges for x in e}))
+    df = spark.createDataFrame(edges, "a long, b long")
+    for last in (0, 20, 8192):
+        got = {r.node: r.root for r in components(Scratch(spark, "test"), df, last).collect()}
+        groups = defaultdict(set)
+        for node, root in got.items():
+            groups[root].add(want[node])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({want[n] for n in got})
+
+
+def test_block_keys_find_every_link_of_crowded_blocks(spark):
+    from millrace.llm import hamming
+    from millrace.llm.shared import Scratch
+
+    rng = np.random.default_rng(1)
+    far = rng.integers(0, 2**62, 600, dtype=np.int64)
+    near = far[:200] ^ (np.int64(1) << rng.integers(0, 60, 200)) ^ (np.int64(1) << rng.integers(0, 60, 200))
+    crowd = (np.int64(5) << 38) | rng.integers(0, 2**12, 500, dtype=np.int64)
+    fps = np.unique(np.concatenate([far, near, crowd])).tolist()
+    want = components_of([(a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if (a ^ b).bit_count() <= 3], fps)
+    nodes = spark.createDataFrame([(x,) for x in fps], "node long")
+    for chunk in (4096, 50):
+        edges = [(r.a, r.b) for r in hamming.fingerprint_links(Scratch(spark, "test"), nodes, 3, chunk=chunk).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in edges) and components_of(edges, fps) == want
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(i if i % 2 else None, "x" * (i % 7), "a") for i in range(300)] + [(5, "same", "b")] * 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    got = [sorted(map(tuple, sharding.shards(df.repartition(k)).collect()), key=str) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+
+
+def test_complements_fill_what_they_can():
+    index = packing.SumIndex({3: 1, 4: 2, 6: 1, 9: 1}, 20)
+    assert index.complement(9) == (9,) and sum(index.complement(10)) == 10 and sum(index.complement(11)) == 11
+    assert index.complement(20) is None and sorted(index.complement(8)) == [4, 4]
+    # against the fewest sequences by search
+    from functools import lru_cache
+
+    def fewest(lengths, capacity):
+        @lru_cache(None)
+        def go(left, room):
+            if not left:
+                return 0
+            best = 1 + go(left[1:], capacity - left[0])
+            for k, x in enumerate(left):
+                if x <= room and (k == 0 or left[k - 1] != x):
+                    best = min(best, go(left[:k] + left[k + 1 :], room - x))
+            return best
+
+        return go(tuple(sorted(lengths, reverse=True)), 0)
+
+    rng = random.Random(7)
+    made = [(8, [rng.randint(1, 8) for _ in range(9)]) for _ in range(40)]
+    over = sum(sum(n for _, n in packing.plan(dict(Counter(x)), c)) - fewest(x, c) for c, x in made)
+    assert 0 <= over <= 2
+
+
+def test_pack_on_odd_pieces(spark):
+    rows = [(None, 3), (None, 3), (1, 10), (2, 4), (2, 4), (3, 3)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "sequence string, length long".replace("sequence string", "id long")), 10).collect()
+    assert Counter((r.id, r.length) for r in got) == Counter(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 10
+    assert packing.pack(spark.createDataFrame([], "id long, length long"), 10).collect() == []
+
+
+def test_one_row_of_each_near_group_stays(spark, docs):
+    rows = [(None, "a b c d e f g", "x"), (None, "a b c d e f g", "y"), (4, "a b c d e f g", "z"), (7, "other words than those are here", "p"), (7, "third text with the same id and more", "q"), (8, None, "r"), (9, "", "s"), (7, "other words than those are here", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    kept = sorted(map(tuple, simhash.without_near_copies(df).collect()), key=str)
+    assert kept == sorted([rows[2], rows[3], rows[4], rows[5]], key=str)
+    assert simhash.without_near_copies(df.where("false")).collect() == []
