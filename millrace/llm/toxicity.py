@@ -125,13 +125,15 @@ def train(grams: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, sure: n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``(id, text, toxic)`` of training rows: at most ``sample`` a class, by least hash of the id."""
+    """``(id, text, toxic)`` of training rows: at most ``sample`` a class, by least hash of the id; of rows with one id that of least text hash."""
     ids = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     ids = ids.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id"), F.col("id")]
     few = ids.where("toxic = 1").orderBy(*order).limit(sample).union(ids.where("toxic = 0").orderBy(*order).limit(sample))
     # at most twice ``sample`` rows are broadcast
-    return docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "id")
+    found = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return found.groupBy("id", "toxic").agg(one.alias("t")).select("id", "t.text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
