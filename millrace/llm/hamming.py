@@ -72,8 +72,9 @@ def shared_blocks(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sized.select("tab", "key", "node", F.explode(subs).alias("sub"))
 
 
-def _pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of rows in the same group; spanning pairs only for groups over 64 rows."""
+def pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int, spanning: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows in the same group; for groups over 64 rows only spanning pairs, of at most ``spanning`` differing bits."""
+    spanning = max_diff if spanning is None else spanning
     size = np.diff(start)
     row_end = np.repeat(start[1:], size)
     small = np.repeat(size <= 64, size)
@@ -92,7 +93,7 @@ def _pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff
             frontier, rest = [rest[0]], rest[1:]
             while frontier and len(rest):
                 at = frontier.pop()
-                near = np.bitwise_count(sig[rest] ^ sig[at]).sum(axis=1, dtype=np.int64) <= max_diff
+                near = np.bitwise_count(sig[rest] ^ sig[at]).sum(axis=1, dtype=np.int64) <= spanning
                 if near.any():
                     found = rest[near]
                     yield np.full(len(found), node[at]), node[found]
@@ -113,7 +114,7 @@ def pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff:
                 yield np.full(len(found), node[at[i]]), node[found]
 
 
-def _linker(max_diff: int, with_sig: bool, pairs=_pairs_within):
+def _linker(max_diff: int, with_sig: bool, pairs=pairs_within):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         def work(table: pa.Table):
@@ -152,7 +153,7 @@ def _linker(max_diff: int, with_sig: bool, pairs=_pairs_within):
     return run
 
 
-def links(blocks: DataFrame, max_diff: int, pairs=_pairs_within) -> DataFrame:
+def links(blocks: DataFrame, max_diff: int, pairs=pairs_within) -> DataFrame:
     """Edges ``(a, b)`` between nodes of a block ``(tab, key, sub)`` whose signatures differ in at most ``max_diff`` bits.
 
     Without a column ``sig`` (binary) a node is itself its 64-bit signature.

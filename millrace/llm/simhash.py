@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hamming import CHUNK, pairs_across, fingerprint_links, links, shared_blocks
+from .hamming import CHUNK, fingerprint_links, links, pairs_across, pairs_within, shared_blocks
 from .shared import Scratch, components, named_components, small_batches
 
 SEED = 42
@@ -130,24 +131,29 @@ def _similar(similarity: float):
     return run
 
 
-def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, slim: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The distinct ``pairs(a, b)`` of ``nodes(node, h)`` whose texts have that Jaccard similarity; h: hash of one of a node's texts."""
-    pairs = scratch.keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.select("node", "h").join(met, "node")
-
+def shingle_sets(nodes: DataFrame, met: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
+    """``(node, set binary)`` of the nodes in ``met(node)``; h: hash of one of a node's texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(words_of(t.as_py()), shingle).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    texts = slim.select("text", F.xxhash64("text").alias("h")).join(wanted, "h").dropDuplicates(["node"])
-    sets = scratch.keep(texts.select("node", "text").mapInArrow(run, "node long, set binary"))
+    wanted = nodes.select("node", "h").join(met.distinct(), "node")
+    texts = slim.select("text", F.xxhash64("text").alias("h")).join(wanted, "h")
+    return texts.select("node", "text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+
+
+def verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of the distinct ``pairs(a, b)`` those whose ``sets(node, set)`` have that Jaccard similarity."""
     side = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     return scratch.keep(full.mapInArrow(_similar(similarity), "a long, b long"))
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def common_shingles(slim: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, and counts of shingles that stand in ``COMMON`` texts or more of a sample."""
     every = max(1, slim.count() // SAMPLE)
@@ -181,21 +187,22 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np
     return hashes[np.lexsort((hashes, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """``(id, component)``: groups of texts of Jaccard similarity ``similarity`` or more.
+def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``(id, h, root, component)`` per row: groups of texts of Jaccard similarity ``similarity`` or more; h: XXH64 of the text, root: one for each group.
 
     Pairs meet in the blocks of their shingles' ``prefix``, as every pair of
     that similarity does. Those whose SimHash fingerprints differ in at most
     ``wide_filter`` bits are compared by their shingles themselves, and link if
     these have the similarity. Of a block of over 64 nodes first a spanning
-    forest is compared, then every pair whose texts are not yet in one group.
+    forest of closer fingerprints is compared, then every pair whose texts are
+    not yet in one group.
     Texts with equal words share a node. Texts without words are compared as
     one and the same text. Nulls, repeats and empty tables as in
     ``simhash_components``.
     """
     small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "simhash-wide")
-    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     common, counts = common_shingles(slim, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +223,34 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = nodes.select("node", F.lit(0).alias("tab"), F.explode("keys").alias("key"))
     blocks = scratch.keep(shared_blocks(keyed, CHUNK))
     limit = wide_filter(similarity)
-    found = verified(scratch, links(blocks.join(nodes.select("node", "sig"), "node"), limit), nodes, slim, similarity, shingle)
-    roots = components(scratch, found)
     large = blocks.groupBy("tab", "key", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 64").drop("n")
+    crowded = scratch.keep(blocks.join(large, ["tab", "key", "sub"]))
+    found = scratch.keep(ordered(links(blocks.join(nodes.select("node", "sig"), "node"), limit, pairs=partial(pairs_within, spanning=wide_limit(similarity)))))
+    met = found.select(F.col("a").alias("node")).union(found.select("b")).union(crowded.select("node"))
+    sets = scratch.keep(shingle_sets(nodes, met, slim, shingle))
+    similar = verified(scratch, found, sets, similarity)
+    roots = components(scratch, similar)
     named = nodes.join(roots, "node", "left").select("node", F.concat("sig", F.to_binary(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"), F.lit("hex"))).alias("sig"))
-    more = verified(scratch, links(blocks.join(large, ["tab", "key", "sub"]).join(named, "node"), limit, pairs=pairs_across), nodes, slim, similarity, shingle)
+    more = verified(scratch, ordered(links(crowded.join(named, "node"), limit, pairs=pairs_across)), sets, similarity)
     if not more.isEmpty():
-        roots = components(scratch, found.union(more))
+        roots = components(scratch, similar.union(more))
     per_node = named_components(scratch, nodes, roots)
-    return docs.select("id", "node").join(per_node, "node").select("id", "component")
+    return docs.select("id", "h", "node").join(per_node, "node").select("id", "h", "root", "component")
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``(id, component)`` of every row, as in ``similar_rows``."""
+    return similar_rows(df, id_col, text_col, similarity, shingle).select("id", "component")
+
+
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of each group of ``similar_rows``, with the columns of ``df``: that of least id, then of least text hash.
+
+    Null ids come last. Rows equal in id and text are one document, of which
+    the least row by all columns stays. Texts move once, to their id and hash.
+    """
+    rows = similar_rows(df, id_col, text_col, similarity, shingle)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h")))
+    stay = rows.groupBy("root").agg(first.alias("s")).select(F.xxhash64("s.id").alias("_i"), F.col("s.h").alias("_h")).distinct()
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.xxhash64(F.col(f"`{id_col}`")).alias("_i"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_h"))
+    return keyed.join(stay, ["_i", "_h"], "left_semi").groupBy("_i", "_h").agg(F.min("_row").alias("_row")).select("_row.*")
