@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality, secrets, simhash, toxicity
 from millrace.llm.queries import table, vocabulary
@@ -22,10 +21,7 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of least id; documents without words form one group."""
-    groups = simhash.similar_components(docs)
-    stay = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    # rows that repeat a kept id are copies only if their texts agree; one row stays for each id and text
-    return docs.join(stay, "doc_id", "left_semi").union(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    return simhash.without_near_copies(docs)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
