@@ -13,7 +13,7 @@ GAPS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-#: Frequent function words of four languages.
+#: Frequent function words of four languages; the rule asks for a share of all words that texts of any length reach.
 STOP_WORDS = (
     "the of and to in a is that for it with as was on are by this be at or from "
     "le la les de des et en un une du que qui dans pour pas au il elle est "
@@ -39,7 +39,7 @@ RULES = (
     Rule("mean_word_length", "word_chars", "n_words", 2.0, 15.0),
     Rule("symbols_per_word", "n_symbols", "n_words", None, 0.3),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
-    Rule("stop_words", "n_stop_words", "one", 1.0, None, 30),
+    Rule("stop_words", "n_stop_words", "n_words", 0.002, None, 30),
 )
 
 
@@ -90,6 +90,12 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def rule_sql(r: Rule) -> str:
+    """A row of the table as SQL over columns of the measures' names."""
+    sides = [f"{r.top} {sign} CAST({limit!r} AS DOUBLE) * {r.bottom}" for sign, limit in ((">=", r.least), ("<=", r.most)) if limit is not None]
+    return f"({' AND '.join(sides)} OR n_words < {r.from_words})"
+
+
 def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all) and the measures, ``base_failed`` and ``kept``.
 
@@ -99,23 +105,22 @@ def measures(df: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     rename them.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cols = [F.col(c) for c in (df.columns if keep is None else keep)]
+    cols = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.translate(x, GAPS, "")) > 0)
     out = df.select(*cols, text.alias("_t"))
-    out = out.select(*[c for c in out.columns if c != "_t"], "_t", words(F.col("_t")).alias("_w"), lines.alias("_l"))
+    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_t"], "_t", words(F.col("_t")).alias("_w"), lines.alias("_l"))
     length = lambda x: F.char_length(x).cast("long")
     out = out.select(
-        *[c for c in out.columns if c[0] != "_" or c not in ("_t", "_w", "_l")],
+        *[F.col(f"`{c}`") for c in out.columns if c not in ("_t", "_w", "_l")],
         F.size("_w").cast("long").alias("n_words"),
         length(F.translate("_t", GAPS, "")).alias("word_chars"),
         (length(F.col("_t")) - length(F.translate("_t", SYMBOLS, ""))).alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.size(F.array_intersect(F.split(F.lower("_t"), "[^\\p{L}]+"), F.array(*map(F.lit, STOP_WORDS)))).cast("long").alias("n_stop_words"),
-        F.lit(1).alias("one"))
+        F.size(F.filter(F.split(F.lower("_t"), "[^\\p{L}]+"), lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled()).drop("one")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled())
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -68,4 +68,20 @@ QUERIES = {
     for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Everything of ``op10_quality``, its threshold table included.
+QUALITY_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+windows AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS i, words FROM w WHERE len(words) >= 5),
+named AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 4), ' ') AS k FROM windows),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM named) WHERE n > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM twice, range(0, 5) r(d) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(hit.n, 0) AS n_repeat_words, len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x IN ({", ".join(f"'{x}'" for x in quality.STOP_WORDS)}))) AS n_stop_words
+  FROM w LEFT JOIN hit USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(quality.rule_sql(r) for r in quality.RULES)} AS kept FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op10_quality": QUALITY_SQL}
