@@ -72,16 +72,20 @@ def shared_blocks(keyed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sized.select("tab", "key", "node", F.explode(subs).alias("sub"))
 
 
-def pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int, spanning: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of rows in the same group; for groups over 64 rows only spanning pairs, of at most ``spanning`` differing bits."""
-    spanning = max_diff if spanning is None else spanning
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of 64-bit words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int, apart=bits_apart) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows in the same group; spanning pairs only for groups over 64 rows."""
     size = np.diff(start)
     row_end = np.repeat(start[1:], size)
     small = np.repeat(size <= 64, size)
     i = np.flatnonzero(small)
     gap = 1
     while len(i := i[i + gap < row_end[i]]):
-        diff = np.bitwise_count(sig[i] ^ sig[i + gap]).sum(axis=1, dtype=np.int64)
+        diff = apart(sig[i], sig[i + gap])
         hit = i[diff <= max_diff]
         if len(hit):
             yield node[hit], node[hit + gap]
@@ -93,7 +97,7 @@ def pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff:
             frontier, rest = [rest[0]], rest[1:]
             while frontier and len(rest):
                 at = frontier.pop()
-                near = np.bitwise_count(sig[rest] ^ sig[at]).sum(axis=1, dtype=np.int64) <= spanning
+                near = apart(sig[rest], sig[at]) <= max_diff
                 if near.any():
                     found = rest[near]
                     yield np.full(len(found), node[at]), node[found]
@@ -101,14 +105,31 @@ def pairs_within(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff:
                     rest = rest[~near]
 
 
-def pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs_near(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int, apart=bits_apart, nearest: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of rows in the same group; for groups over 64 rows each row with its ``nearest`` links only."""
+    size = np.diff(start)
+    small = np.concatenate([np.arange(a, b) for a, b in zip(start[:-1], start[1:], strict=True) if b - a <= 64] or [np.empty(0, np.int64)]).astype(np.int64)
+    if len(small):
+        yield from pairs_within(node[small], sig[small], np.append(0, np.cumsum(size[size <= 64])), max_diff, apart)
+    for lo, hi in ((start[g], start[g + 1]) for g in np.flatnonzero(size > 64)):
+        bits = sig[lo:hi]
+        for i in range(hi - lo):
+            away = apart(bits, bits[i])
+            away[i] = max_diff + 1
+            near = np.argpartition(away, nearest)[:nearest]
+            near = near[away[near] <= max_diff]
+            if len(near):
+                yield np.full(len(near), node[lo + i]), node[lo + near]
+
+
+def pairs_across(node: np.ndarray, sig: np.ndarray, start: np.ndarray, max_diff: int, apart=bits_apart) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every linked pair of rows in a group of over 64 whose last words, the names of their components, differ."""
     for lo, hi in ((start[g], start[g + 1]) for g in np.flatnonzero(np.diff(start) > 64)):
         at = lo + np.argsort(sig[lo:hi, -1], kind="stable")
         bits, root = sig[at, :-1], sig[at, -1]
         after = np.searchsorted(root, root, side="right")
         for i in range(len(at)):
-            near = np.bitwise_count(bits[after[i] :] ^ bits[i]).sum(axis=1, dtype=np.int64) <= max_diff
+            near = apart(bits[after[i] :], bits[i]) <= max_diff
             if near.any():
                 found = at[after[i] :][near]
                 yield np.full(len(found), node[at[i]]), node[found]
@@ -158,7 +179,7 @@ def links(blocks: DataFrame, max_diff: int, pairs=pairs_within) -> DataFrame:
 
     Without a column ``sig`` (binary) a node is itself its 64-bit signature.
     Components of the edges equal components of all links: in groups of up to 64
-    rows every link is given, in larger ones a spanning forest of them, so the
+    rows every link is given, in larger ones by default a spanning forest of them, so the
     output is linear in the rows. Other ``pairs`` decide otherwise which rows of
     a block are paired.
     """

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hamming import CHUNK, fingerprint_links, links, pairs_across, pairs_within, shared_blocks
+from .hamming import CHUNK, fingerprint_links, links, pairs_across, pairs_near, shared_blocks
 from .shared import Scratch, components, named_components, small_batches
 
 SEED = 42
@@ -112,6 +112,31 @@ def _mixed(h: np.ndarray, words: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+#: 64-bit words of a parity sketch.
+PARITY = 8
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """For each of ``64 * PARITY`` classes of hashes whether an odd number of the distinct ``hashes`` is in it.
+
+    Two sketches differ in at most as many bits as the sets have elements that
+    are not in both, so the bits bound the similarity from above, without error.
+    """
+    counts = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits(counts & 1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def sketch_gap(similarity: float):
+    """Differing SimHash bits of rows (SimHash, parity bits, size), and past all limits for pairs that cannot have the similarity."""
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = np.bitwise_count(a[..., : WIDE + PARITY] ^ b[..., : WIDE + PARITY])
+        only_one = x[..., WIDE:].sum(axis=-1, dtype=np.int64)
+        size = a[..., -1].astype(np.int64) + b[..., -1].astype(np.int64)
+        return np.where(only_one * (1 + similarity) <= size * (1 - similarity) + 1e-6, x[..., :WIDE].sum(axis=-1, dtype=np.int64), 1 << 30)
+
+    return apart
+
+
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(shingles_of(words, shingle))], dtype=np.uint64))
@@ -192,10 +217,10 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Pairs meet in the blocks of their shingles' ``prefix``, as every pair of
     that similarity does. Those whose SimHash fingerprints differ in at most
-    ``wide_filter`` bits are compared by their shingles themselves, and link if
-    these have the similarity. Of a block of over 64 nodes first a spanning
-    forest of closer fingerprints is compared, then every pair whose texts are
-    not yet in one group.
+    ``wide_filter`` bits, and whose ``parity_bits`` do not rule the similarity
+    out, are compared by their shingles themselves, and link if these have it.
+    Of a block of over 64 nodes each node is first compared with the nearest
+    fingerprints, then every pair whose texts are not yet in one group.
     Texts with equal words share a node. Texts without words are compared as
     one and the same text. Nulls, repeats and empty tables as in
     ``simhash_components``.
@@ -212,7 +237,7 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words = words_of(t.as_py())
                 hashes = shingle_hashes(words, shingle)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words), SEED) - (1 << 63))
-                sig.append(majority_bits(_mixed(hashes, WIDE)).tobytes())
+                sig.append(np.concatenate([majority_bits(_mixed(hashes, WIDE)), parity_bits(hashes), np.array([len(hashes)], np.uint64)]).tobytes())
                 keys.append(prefix(hashes, similarity, common, counts).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "h", "node", "sig", "keys"])
 
@@ -222,16 +247,16 @@ def similar_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = scratch.keep(docs.groupBy("node").agg(F.min("id").alias("least_id"), F.min("h").alias("h"), F.min("sig").alias("sig"), F.min("keys").alias("keys")))
     keyed = nodes.select("node", F.lit(0).alias("tab"), F.explode("keys").alias("key"))
     blocks = scratch.keep(shared_blocks(keyed, CHUNK))
-    limit = wide_filter(similarity)
+    limit, gap = wide_filter(similarity), sketch_gap(similarity)
     large = blocks.groupBy("tab", "key", "sub").agg(F.count(F.lit(1)).alias("n")).where("n > 64").drop("n")
     crowded = scratch.keep(blocks.join(large, ["tab", "key", "sub"]))
-    found = scratch.keep(ordered(links(blocks.join(nodes.select("node", "sig"), "node"), limit, pairs=partial(pairs_within, spanning=wide_limit(similarity)))))
+    found = scratch.keep(ordered(links(blocks.join(nodes.select("node", "sig"), "node"), limit, partial(pairs_near, apart=gap))))
     met = found.select(F.col("a").alias("node")).union(found.select("b")).union(crowded.select("node"))
     sets = scratch.keep(shingle_sets(nodes, met, slim, shingle))
     similar = verified(scratch, found, sets, similarity)
     roots = components(scratch, similar)
     named = nodes.join(roots, "node", "left").select("node", F.concat("sig", F.to_binary(F.lpad(F.hex(F.coalesce("root", "node")), 16, "0"), F.lit("hex"))).alias("sig"))
-    more = verified(scratch, ordered(links(crowded.join(named, "node"), limit, pairs=pairs_across)), sets, similarity)
+    more = verified(scratch, ordered(links(crowded.join(named, "node"), limit, partial(pairs_across, apart=gap))), sets, similarity)
     if not more.isEmpty():
         roots = components(scratch, similar.union(more))
     per_node = named_components(scratch, nodes, roots)
