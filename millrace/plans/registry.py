@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import cross, language
-from millrace.operators import mining, portfolio, testing
+from millrace.operators import mining, portfolio, preparing, summary, testing
 from millrace.operators.factors import factor
 from millrace.sources.panels import CROSS_SQL, FUNDAMENTALS_ONLY_SQL, FUNDAMENTALS_SQL, PRICE_SQL, cross_panel, fundamentals_panel, price_panel
 from millrace.streaming.bars import daily_bars
@@ -289,9 +289,18 @@ def fama_macbeth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(testing.fama_macbeth(cross_panel(spark, sf_dir), "f1"))
 
 
-@add()
+#: Least squares on two factors by centred sums of products.
+TWO_SQL = f"""WITH {CROSS_SQL},
+c AS (SELECT date, fwd AS y, f1 AS a, f2 AS b FROM xs WHERE fwd IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL),
+s AS (SELECT date, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy FROM c GROUP BY date),
+k AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS c1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS c2 FROM s WHERE n >= 14)
+SELECT date, round(my - c1 * ma - c2 * mb, 5) + 0.0 AS intercept, round(c1, 5) + 0.0 AS f1, round(c2, 5) + 0.0 AS f2 FROM k"""
+
+
+@add(TWO_SQL)
 def fama_macbeth_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return testing.many_regressions(cross_panel(spark, sf_dir), ["f1", "f2", "volume"])
+    c = testing.many_regressions(cross_panel(spark, sf_dir), ["f1", "f2"])
+    return c.select("date", *[(F.round(F.col("coefficients")[i], 5) + 0.0).alias(n) for i, n in enumerate(("intercept", "f1", "f2"))])
 
 
 def _pair_sql(a: str, b: str) -> str:
@@ -306,6 +315,128 @@ def factor_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(testing.factor_correlation(cross_panel(spark, sf_dir), ["f1", "f2", "f3"]))
 
 
+# --- many factors at once, preparation -------------------------------------------------------
+
+NAMES = ["f1", "f2", "f3"]
+LONG_SQL = f"""{CROSS_SQL},
+lf AS (SELECT * FROM (SELECT date, stock_id, fwd AS r, unnest(['f1', 'f2', 'f3']) AS factor, unnest([f1, f2, f3]) AS x FROM xs) WHERE x IS NOT NULL AND r IS NOT NULL),
+lr AS (SELECT factor, date, rank() OVER (PARTITION BY factor, date ORDER BY x) + (count(*) OVER (PARTITION BY factor, date, x) - 1) / 2 AS x,
+       rank() OVER (PARTITION BY factor, date ORDER BY r) + (count(*) OVER (PARTITION BY factor, date, r) - 1) / 2 AS r FROM lf),
+lic AS (SELECT * FROM (SELECT factor, date, covar_pop(x, r) / nullif(stddev_pop(x) * stddev_pop(r), 0) AS ic, count(*) AS n FROM lr GROUP BY factor, date) WHERE n >= 10 AND ic IS NOT NULL)"""
+
+
+@add(f"WITH {LONG_SQL} SELECT factor, date, round(ic, 6) AS ic, n, round(CASE WHEN count(ic) OVER w >= 5 THEN avg(ic) OVER w END, 6) AS rolling FROM lic WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 21 PRECEDING AND CURRENT ROW)")
+def ic_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.rolling_ic(summary.ic_series(cross_panel(spark, sf_dir), NAMES)))
+
+
+@add(f"WITH {CROSS_SQL} SELECT round(covar_pop(f1, fwd) / nullif(stddev_pop(f1) * stddev_pop(fwd), 0), 6) AS ic, count(*) AS n FROM xs WHERE f1 IS NOT NULL AND fwd IS NOT NULL")
+def scalar_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.scalar_ic(cross_panel(spark, sf_dir), "f1"))
+
+
+SPREAD_SQL = f"""{LONG_SQL},
+le AS (SELECT factor, date, list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS e FROM lf GROUP BY factor, date HAVING count(*) >= 25),
+lg AS (SELECT factor, date, greatest(len(list_filter(e, lambda v: v < x)) - 1, 0) AS grp, avg(r) AS ret FROM lf JOIN le USING (factor, date) GROUP BY ALL),
+ends AS (SELECT factor, min(grp) AS low, max(grp) AS high FROM lg GROUP BY factor),
+ls AS (SELECT factor, date, max(CASE WHEN grp = high THEN ret END) - max(CASE WHEN grp = low THEN ret END) AS ret FROM lg JOIN ends USING (factor) GROUP BY factor, date)"""
+
+
+@add(f"WITH {SPREAD_SQL}, lc AS (SELECT factor, date, ret / 1000 AS ret FROM ls WHERE ret IS NOT NULL) SELECT factor, date, round(ret, 6) AS ret, round(product(1 + ret) OVER (PARTITION BY factor ORDER BY date), 6) AS total FROM lc")
+def long_short_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns are scaled down: those of the panel are too wild to be multiplied."""
+    spread = summary.long_short(summary.group_returns(cross_panel(spark, sf_dir), NAMES, GROUPS))
+    return rounded(summary.cumulative(spread.withColumn("ret", F.col("ret") / 1000)))
+
+
+SUMMARY_SQL = f"""{SPREAD_SQL},
+i AS (SELECT factor, avg(ic) AS mean_ic, stddev_samp(ic) AS std_ic, avg(ic) / (stddev_samp(ic) + 1e-10) AS ir, avg(ic) / (stddev_samp(ic) / sqrt(count(ic)) + 1e-10) AS ic_t,
+      avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS ic_positive, count(ic) AS n_periods FROM lic WHERE n >= 30 GROUP BY factor),
+p AS (SELECT factor, avg(ret) * 252 AS ls_annual, avg(ret) * 252 / (stddev_samp(ret) * sqrt(252) + 1e-10) AS ls_sharpe, avg(ret) / (stddev_samp(ret) / sqrt(count(ret)) + 1e-10) AS ls_t,
+      avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) AS ls_positive FROM ls GROUP BY factor),
+fit AS (SELECT * FROM (SELECT factor, date, regr_slope(r, x) AS slope, regr_r2(r, x) AS r2, count(*) AS n FROM lf GROUP BY factor, date) WHERE n >= 12 AND slope IS NOT NULL),
+sz AS (SELECT factor, count(*) AS t, avg(slope) AS m, avg(r2) AS r2, stddev_pop(slope) AS sd, greatest(0, least(CAST(floor(pow(count(*), 0.25) + 1e-9) AS INTEGER), count(*) - 2)) AS l FROM fit GROUP BY factor),
+fe AS (SELECT factor, row_number() OVER (PARTITION BY factor ORDER BY date) AS i, slope - m AS e FROM fit JOIN sz USING (factor)),
+fg AS (SELECT a.factor, a.i - b.i AS k, avg(a.e * b.e) AS g FROM fe a JOIN fe b ON a.factor = b.factor AND a.i - b.i BETWEEN 0 AND 16 GROUP BY ALL),
+fv AS (SELECT factor, any_value(t) AS t, any_value(m) AS m, any_value(sz.r2) AS r2, any_value(sd) AS sd, sum(CASE WHEN k = 0 THEN g WHEN k <= l THEN 2 * (1 - k / (l + 1)) * g ELSE 0 END) AS v FROM sz JOIN fg USING (factor) GROUP BY factor),
+fm AS (SELECT factor, m AS fm_coef, m / (CASE WHEN v > 0 THEN sqrt(v / t) ELSE sd / sqrt(t) END + 1e-10) AS fm_t, r2 AS fm_r2 FROM fv),
+summary AS (SELECT * FROM (SELECT unnest(['f1', 'f2', 'f3']) AS factor) LEFT JOIN i USING (factor) LEFT JOIN p USING (factor) LEFT JOIN fm USING (factor))"""
+SUMMARY_COLUMNS = ("mean_ic", "std_ic", "ir", "ic_t", "ic_positive", "ls_annual", "ls_sharpe", "ls_t", "ls_positive", "fm_coef", "fm_t", "fm_r2")
+
+
+@add(f"WITH {SUMMARY_SQL} SELECT factor, n_periods, {', '.join(f'round({c}, 5) AS {c}' for c in SUMMARY_COLUMNS)} FROM summary")
+def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.test_factors(cross_panel(spark, sf_dir), NAMES, GROUPS), 5)
+
+
+@add(f"""WITH {SUMMARY_SQL}, a AS (SELECT count(*) AS n_factors, count(*) FILTER (abs(mean_ic) > 0.01) AS n_ic, count(*) FILTER (abs(ls_sharpe) > 0.5) AS n_sharpe, count(*) FILTER (abs(fm_t) > 1.96) AS n_t,
+    count(*) FILTER (abs(mean_ic) > 0.01 AND abs(ls_sharpe) > 0.5) AS n_both, round(avg(CASE WHEN mean_ic > 0 THEN 1.0 WHEN mean_ic IS NOT NULL THEN 0.0 END), 6) AS positive_ic FROM summary)
+SELECT *, CASE WHEN n_both >= 5 THEN 'good' WHEN n_both >= 2 THEN 'fair' ELSE 'weak' END AS quality FROM a""")
+def results_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.analysis(summary.test_factors(cross_panel(spark, sf_dir), NAMES, GROUPS)))
+
+
+@add(f"""WITH {SUMMARY_SQL} (SELECT 'best' AS side, factor, round(ir, 5) AS value FROM summary WHERE ir IS NOT NULL ORDER BY ir DESC, factor LIMIT 2)
+    UNION ALL (SELECT 'worst' AS side, factor, round(ir, 5) AS value FROM summary WHERE ir IS NOT NULL ORDER BY ir, factor LIMIT 1)""")
+def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.best_and_worst(summary.test_factors(cross_panel(spark, sf_dir), NAMES, GROUPS), best=2, worst=1), 5)
+
+
+def _complete_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS left_factor, '{b}' AS right_factor, round(avg(rho), 6) AS rho, count(rho) AS n_periods FROM (
+        SELECT date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS rho, count(*) AS n FROM (SELECT date, {RANK.format(x=a)} AS x, {RANK.format(x=b)} AS y FROM whole) GROUP BY date) WHERE n >= 10"""
+
+
+@add(f"WITH {CROSS_SQL}, whole AS (SELECT date, f1, f2, f3 FROM xs WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL) " + " UNION ALL ".join(_complete_sql(*p) for p in (("f1", "f2"), ("f1", "f3"), ("f2", "f3"))))
+def complete_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.complete_correlation(cross_panel(spark, sf_dir), NAMES))
+
+
+@add(f"WITH {TURNOVER_SQL} SELECT date, round(avg(turnover), 6) AS turnover FROM moved WHERE turnover IS NOT NULL GROUP BY date")
+def turnover_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summary.mean_turnover(testing.membership_turnover(cross_panel(spark, sf_dir), "f1", GROUPS)))
+
+
+@add(f"""WITH {CROSS_SQL},
+ahead AS (SELECT date, f1 AS x, k AS lag, lead(ret, k) OVER (PARTITION BY stock_id, k ORDER BY date) AS y FROM xs, (SELECT unnest(range(1, 21)) AS k)),
+ranked AS (SELECT date, lag, rank() OVER (PARTITION BY date, lag ORDER BY x) + (count(*) OVER (PARTITION BY date, lag, x) - 1) / 2 AS x,
+           rank() OVER (PARTITION BY date, lag ORDER BY y) + (count(*) OVER (PARTITION BY date, lag, y) - 1) / 2 AS y FROM ahead WHERE x IS NOT NULL AND y IS NOT NULL),
+ic AS (SELECT lag, avg(ic) AS m FROM (SELECT date, lag, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic, count(*) AS n FROM ranked GROUP BY date, lag) WHERE n >= 30 GROUP BY lag)
+SELECT CAST(min(CASE WHEN abs(m) < (SELECT abs(m) FROM ic WHERE lag = 1) / 2 THEN lag END) AS INTEGER) AS half_life FROM ic""")
+def ic_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return testing.half_life(testing.ic_decay(cross_panel(spark, sf_dir), "f1"))
+
+
+@add(f"""WITH {CROSS_SQL}, b AS (SELECT date, quantile_cont(f1, 0.01) AS low, quantile_cont(f1, 0.99) AS high FROM xs GROUP BY date),
+c AS (SELECT stock_id, date, CASE WHEN f1 IS NOT NULL THEN least(greatest(f1, low), high) END AS v FROM xs JOIN b USING (date))
+SELECT stock_id, date, round((v - avg(v) OVER d) / (stddev_samp(v) OVER d + 1e-10), 6) AS f1_z FROM c WINDOW d AS (PARTITION BY date)""")
+def winsorized_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preparing.standardized(cross_panel(spark, sf_dir), ["f1"]).select("stock_id", "date", "f1_z"))
+
+
+@add(f"WITH {CROSS_SQL} SELECT stock_id, date, f3 IS NULL AS gap FROM xs WHERE (f1 IS NOT NULL)::INT + (f2 IS NOT NULL)::INT + (f3 IS NOT NULL)::INT >= 3 AND date = (SELECT max(date) FROM xs)")
+def last_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preparing.last_cross_section(cross_panel(spark, sf_dir))
+    return preparing.enough_factors(rows, NAMES).select("stock_id", "date", F.col("f3").isNull().alias("gap"))
+
+
+@add(f"WITH {CROSS_SQL} SELECT * FROM (SELECT unnest(['f1', 'f2', 'f3']) AS factor, unnest([count(f1), count(f2), count(f3)]) AS n FROM xs) WHERE n > 100")
+def factor_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preparing.coverage(cross_panel(spark, sf_dir), NAMES).where("n > 100")
+
+
+@add(f"WITH {CROSS_SQL} SELECT stock_id, min(date) AS date, round(min_by(f1, date), 6) AS f1 FROM xs WHERE stock_id IN (SELECT DISTINCT stock_id FROM xs ORDER BY stock_id LIMIT 50) GROUP BY stock_id")
+def stock_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preparing.first_per_stock(preparing.first_stocks(cross_panel(spark, sf_dir), 50).select("stock_id", "date", "f1")))
+
+
+@add(f"""WITH {CROSS_SQL}, k AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM xs)) WHERE i % 5 = 0)
+SELECT date, round(min(f1), 6) AS low, round(quantile_cont(f1, 0.25), 6) AS q25, round(quantile_cont(f1, 0.5), 6) AS q50, round(quantile_cont(f1, 0.75), 6) AS q75, round(max(f1), 6) AS high, count(f1) AS n
+FROM xs WHERE date IN (SELECT date FROM k) GROUP BY date""")
+def distribution_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(preparing.distribution(cross_panel(spark, sf_dir), "f1", 5))
+
+
 # --- portfolios ------------------------------------------------------------------------------
 
 
@@ -344,9 +475,10 @@ def value_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.target_weights(cross_panel(spark, sf_dir), "f1", scheme="value"))
 
 
-@add()
+@add(f"""WITH {CROSS_SQL} SELECT date, string_agg(stock_id, ',' ORDER BY stock_id) AS names FROM (
+    SELECT *, row_number() OVER (PARTITION BY date ORDER BY f1 DESC, stock_id) AS k FROM xs WHERE f1 IS NOT NULL) WHERE k <= 10 GROUP BY date""")
 def portfolio_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.holdings(cross_panel(spark, sf_dir), "f1")
+    return portfolio.holdings(cross_panel(spark, sf_dir), "f1").select("date", F.concat_ws(",", F.transform("names", lambda x: x.cast("string"))).alias("names"))
 
 
 @add(f"""WITH {PRICE_SQL}, {FUNDAMENTALS_ONLY_SQL}

@@ -2,6 +2,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def duck():
 
 
 def as_rows(frame):
-    text = lambda v: "-" if v is None or v != v else f"{v:.8g}" if isinstance(v, float) else str(v)[:10]
+    text = lambda v: "-" if pd.isna(v) else f"{v:.8g}" if isinstance(v, float) else str(v)[:10]
     return sorted(tuple(text(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
