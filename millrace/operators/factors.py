@@ -19,6 +19,7 @@ class Factor:
     requires: tuple[str, ...]
     kind: str
     build: Callable[[], Column]
+    given: tuple[str, Callable[[], Column]] | None = None  # a column that, where the panel has it, makes the factor by itself
 
 
 def stock() -> WindowSpec:
@@ -81,9 +82,14 @@ def beta(x: Column, y: Column, n: int = YEAR, least: int = LEAST) -> Column:
     return F.when(var > EPS, F.covar_samp(x, y).over(last(n)) / var)
 
 
-def beta_down() -> Column:
-    down = market() < rolling(F.avg, market(), YEAR, YEAR)
-    return beta(F.when(down, F.col("return")), F.when(down, market()))
+def beta_down(mkt: Column | None = None) -> Column:
+    mkt = market() if mkt is None else mkt
+    down = mkt < rolling(F.avg, mkt, YEAR, YEAR)
+    return beta(F.when(down, F.col("return")), F.when(down, mkt))
+
+
+def residual_risk(mkt: Column) -> Column:
+    return rolling(F.stddev_samp, F.col("return") - beta(F.col("return"), mkt) * mkt, YEAR, LEAST)
 
 
 def comoment(power: int) -> Column:
@@ -168,7 +174,7 @@ REGISTRY: dict[str, Factor] = {
     "cfo_ta": _ratio("cfo", "total_assets"),
     "lev": _ratio("total_liabilities", "total_assets"),
     "ch_ep": _ratio("net_income", "market_cap"),
-    "ch_turnover": Factor(("volume", "shares_outstanding"), "cross", _shares_traded),
+    "ch_turnover": Factor(("volume", "shares_outstanding"), "cross", _shares_traded, ("turnover", lambda: F.col("turnover"))),
     "q_roe": _ratio("net_income", "book_equity"),
     "ch_size": Factor(("market_cap",), "cross", _size),
     "q_ia": _growth("total_assets"),
@@ -180,18 +186,18 @@ REGISTRY: dict[str, Factor] = {
     "momentum_6m": Factor(("close",), "ts", lambda: momentum(126)),
     "st_reversal_1w": Factor(("close",), "ts", lambda: change(F.col("close"), 5)),
     "st_reversal_1m": Factor(("close",), "ts", lambda: change(F.col("close"), 21)),
-    "beta": Factor(("return",), "ts", lambda: beta(F.col("return"), market())),
+    "beta": Factor(("return",), "ts", lambda: beta(F.col("return"), market()), ("mkt_return", lambda: beta(F.col("return"), F.col("mkt_return")))),
     "coskewness": Factor(("return",), "ts", lambda: comoment(2)),
     "cokurtosis": Factor(("return",), "ts", lambda: comoment(3)),
     "max_ret_1m": Factor(("return",), "ts", lambda: rolling(F.max, F.col("return"), 21, 10)),
     "var_95": Factor(("return",), "ts", lambda: rolling(lambda x: F.percentile(x, F.lit(0.05)), F.col("return"), YEAR, LEAST)),
     "cvar_95": Factor(("return",), "ts", cvar),
     "ulcer_index": Factor(("close",), "ts", ulcer),
-    "ivol_capm": Factor(("return",), "ts", lambda: rolling(F.stddev_samp, F.col("return") - beta(F.col("return"), market()) * market(), YEAR, LEAST)),
+    "ivol_capm": Factor(("return",), "ts", lambda: residual_risk(market()), ("mkt_return", lambda: residual_risk(F.col("mkt_return")))),
     "rsi_14": Factor(("close",), "ts", rsi),
     "bb_width": Factor(("close",), "ts", bollinger),
     "amihud_illiq": Factor(("return", "close", "volume"), "ts", lambda: 1e6 * rolling(F.avg, F.abs("return") / (F.col("close") * F.col("volume") + EPS), YEAR, LEAST)),
-    "turnover": Factor(("volume", "shares_outstanding"), "ts", lambda: rolling(F.avg, _shares_traded(), 21, 5)),
+    "turnover": Factor(("volume", "shares_outstanding"), "ts", lambda: rolling(F.avg, _shares_traded(), 21, 5), ("turnover", lambda: rolling(F.avg, F.col("turnover"), 21, 5))),
     "dollar_volume": Factor(("close", "volume"), "ts", lambda: F.log(rolling(F.avg, F.col("close") * F.col("volume"), 21, 5))),
     "accruals": Factor((*BALANCE, "depreciation", "total_assets"), "ts", accruals),
     "asset_growth": _growth("total_assets"),
@@ -199,7 +205,7 @@ REGISTRY: dict[str, Factor] = {
     "z_score": Factor(("current_assets", "current_liabilities", "total_assets", "retained_earnings", "operating_income", "market_cap", "total_liabilities", "sales"), "ts", altman),
     "f_score": Factor((*BALANCE, "net_income", "cfo", "depreciation", "total_assets", "total_liabilities", "gross_profit", "sales"), "ts", piotroski),
     "overnight_return": Factor(("open", "close"), "ts", lambda: over(F.col("open"), lag(F.col("close"))) - 1),
-    "beta_down": Factor(("return",), "ts", beta_down),
+    "beta_down": Factor(("return",), "ts", beta_down, ("mkt_return", lambda: beta_down(F.col("mkt_return")))),
     "forward_1d_ret": Factor(("return",), "ts", lambda: F.lead("return").over(stock())),
 }
 
@@ -212,6 +218,8 @@ def register_factor(name: str, requires: tuple[str, ...], kind: str, build: Call
 def factor(panel: DataFrame, name: str) -> Column:
     """The factor over ``panel``; a null column if the panel lacks what it requires."""
     spec = REGISTRY[name]
+    if spec.given and spec.given[0] in panel.columns:
+        return spec.given[1]()
     return spec.build() if set(spec.requires) <= set(panel.columns) else F.lit(None).cast("double")
 
 

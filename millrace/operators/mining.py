@@ -9,15 +9,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.language import column, parse, translate
-from millrace.operators.testing import daily_ic
+from millrace.functions.language import evaluate
+from millrace.operators.summary import ic_series
 
-#: Formulas the search starts from.
-TEMPLATES = (
-    "rank({f0})", "zscore({f0})", "rank({f0}) - rank({f1})", "rank({f0}) * rank({f1})", "zscore({f0}) + zscore({f1})",
-    "zscore({f0}) / (zscore({f1}) + 1)", "sqrt_abs(zscore({f0}))", "log_abs(rank({f0}) + 0.01)", "square(zscore({f0}))", "-(rank({f0}))",
-    "max(rank({f0}), rank({f1}))", "min(rank({f0}), rank({f2}))",
-)
+#: What start formulas are made of: functions of a factor's cross-section, functions of those, and pairs.
+HEADS, WRAPPERS, PAIRED = ("cs_rank", "cs_zscore", "cs_demean"), ("square", "sqrt_abs", "log_abs", "sign", "neg"), ("+", "-", "*", "/")
 
 
 def features(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_ret") -> DataFrame:
@@ -28,17 +24,22 @@ def features(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_re
     return VectorAssembler(inputCols=list(factors), outputCol="features").transform(filled).select("date", "stock_id", "features", "label")
 
 
-def walk_forward(panel: DataFrame, folds: int = 5, first: float = 0.5) -> DataFrame:
-    """``(fold, train_end, test_end)`` as dates: training grows from share ``first`` of the dates by equal steps."""
+def walk_forward(panel: DataFrame, folds: int = 5, first: float = 0.5, least: int = 60, margin: int = 20) -> DataFrame:
+    """``(fold, train_end, test_start, test_end)`` as dates.
+
+    Training begins with share ``first`` of the dates, ``least`` at least, and
+    grows by equal steps; a test goes on to the date on which the next one
+    begins. Folds whose training ends within ``margin`` dates of the end are
+    left out.
+    """
     place = F.row_number().over(Window.orderBy("date")) - 1  # one row per date
     days = panel.select("date").distinct().select("date", place.alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    start = F.floor(F.col("n") * first).cast("int")
-    step = F.greatest(F.lit(1), F.floor((F.col("n") - start) / folds).cast("int"))
-    fold = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
-    out = days.select("date", "i", "n", start.alias("s"), step.alias("w"), fold.alias("fold"))
-    train = F.col("s") + F.col("fold") * F.col("w") - 1
-    test = F.least(train + F.col("w"), F.col("n") - 1)
-    return out.groupBy("fold").agg(F.max(F.when(F.col("i") == train, F.col("date"))).alias("train_end"), F.max(F.when(F.col("i") == test, F.col("date"))).alias("test_end"))
+    start = F.greatest(F.floor(F.col("n") * first).cast("int"), F.lit(least))
+    step = F.floor((F.col("n") - start) / folds).cast("int")
+    out = days.select("date", "i", "n", start.alias("s"), step.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    cut = F.col("s") + F.col("fold") * F.col("w")
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("date")))
+    return out.where((cut < F.col("n") - margin) & (cut > 0)).groupBy("fold").agg(at(cut - 1).alias("train_end"), at(cut).alias("test_start"), at(F.least(cut + F.col("w"), F.col("n") - 1)).alias("test_end"))
 
 
 def linear_selection(data: DataFrame, factors: Sequence[str], penalties: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), mixes: Sequence[float] = (1.0,), folds: int = 3) -> dict[str, float]:
@@ -48,7 +49,7 @@ def linear_selection(data: DataFrame, factors: Sequence[str], penalties: Sequenc
     from pyspark.ml.regression import LinearRegression
 
     data = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data).transform(data).persist()
-    ends = walk_forward(data, folds).collect()  # one row per fold
+    ends = walk_forward(data, folds, least=2, margin=0).collect()  # one row per fold
     model = lambda p, m: LinearRegression(featuresCol="scaled", regParam=p, elasticNetParam=m, standardization=False)
     score = RegressionEvaluator(metricName="mse")
 
@@ -116,30 +117,73 @@ def votes(selected: DataFrame, methods: int) -> DataFrame:
     return selected.distinct().groupBy("factor").agg(F.count(F.lit(1)).alias("n_votes")).where(F.col("n_votes") >= max(2, methods // 2))
 
 
-def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 3, size: int = 12, elite: float = 0.1, seed: int = 42, least: int = 10) -> list[tuple[str, float]]:
+def start_formula(rng: random.Random, names: Sequence[str]) -> str:
+    """A random formula of one or two factors."""
+    leaf = lambda: f"{rng.choice(HEADS)}({rng.choice(list(names))})"
+    shape = rng.randrange(4)
+    if shape == 0:
+        return leaf()
+    if shape == 1:
+        return f"{rng.choice(WRAPPERS)}({leaf()})"
+    if shape == 2:
+        return f"{rng.choice(('max', 'min'))}({leaf()}, {leaf()})"
+    return f"{leaf()} {rng.choice(PAIRED)} {leaf()}"
+
+
+def fitness(panel: DataFrame, formulas: Sequence[str], ret: str = "forward_1d_ret", least: int = 10) -> dict[str, float]:
+    """Mean rank coefficient of each formula, in size; all are columns of one frame and share one aggregation."""
+    named = {f"_f{i}": text for i, text in enumerate(formulas)}
+    scored = evaluate(panel, named, panel.columns).select("date", "stock_id", ret, *named)
+    rows = ic_series(scored, list(named), ret, least).groupBy("factor").agg(F.avg("ic").alias("ic")).collect()  # one row per formula
+    got = {r["factor"]: abs(r["ic"]) for r in rows if r["ic"] is not None}
+    return {text: got.get(name, 0.0) for name, text in named.items()}
+
+
+def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 3, size: int = 12, crossover: float = 0.7, mutation: float = 0.3, seed: int = 42, least: int = 10) -> list[tuple[str, float]]:
     """Genetic search: ``(formula, mean absolute rank coefficient)``, best first.
 
-    Each generation is one aggregation over the panel for each new formula;
-    children average two parents, mutants are fresh templates.
+    A generation is one aggregation. A tenth, two at least, goes on; a child is
+    the mean of two parents, a new formula or a parent, by the two rates.
     """
     rng = random.Random(seed)
+    known: dict[str, float] = {}
+    pool = [start_formula(rng, names) for _ in range(size)]
+    for step in range(generations + 1):
+        if fresh := sorted(set(pool) - set(known)):
+            known |= fitness(panel, fresh, least=least)
+        ranked = sorted(set(pool), key=lambda t: (-known[t], t))
+        if step == generations:
+            break
+        children = ranked[: max(2, size // 10)]
+        while len(children) < size:
+            if rng.random() < crossover:
+                children.append(f"0.5 * ({rng.choice(ranked)}) + 0.5 * ({rng.choice(ranked)})")
+            else:
+                children.append(start_formula(rng, names) if rng.random() < mutation else rng.choice(ranked))
+        pool = children
+    return [(t, known[t]) for t in ranked]
+
+
+def mine(panel: DataFrame, factors: Sequence[str], methods: dict | None = None) -> DataFrame:
+    """``(method, factor, weight)`` that each of ``methods(data, factors) -> {factor: weight}`` selects on ``panel``."""
+    methods = methods or {"ridge": ridge_selection, "lasso": linear_selection, "forest": tree_selection}
+    data = features(panel, factors).persist()
+    rows = [(m, f, w) for m, select in methods.items() for f, w in select(data, factors).items()]  # at most one row per method and factor
+    data.unpersist()
+    return panel.sparkSession.createDataFrame(rows, "method string, factor string, weight double")
 
-    def fresh() -> str:
-        picked = rng.sample(list(names), min(3, len(names)))
-        return translate(rng.choice([t for t in TEMPLATES if "{f2}" not in t or len(picked) > 2]), picked) if len(picked) > 1 else translate("rank({f0})", picked)
 
-    known: dict[str, float] = {}
+def mine_walk_forward(panel: DataFrame, factors: Sequence[str], methods: dict | None = None, **folds) -> DataFrame:
+    """``(fold, method, factor, weight)`` of each fold's training rows."""
+    out = None
+    for e in walk_forward(panel, **folds).orderBy("fold").collect():  # one row per fold
+        found = mine(panel.where(F.col("date") <= F.lit(e["train_end"])), factors, methods).select(F.lit(e["fold"]).alias("fold"), "method", "factor", "weight")
+        out = found if out is None else out.union(found)
+    return out if out is not None else panel.sparkSession.createDataFrame([], "fold int, method string, factor string, weight double")
+
 
-    def fitness(text: str) -> float:
-        if text not in known:
-            scored = panel.withColumn("_f", column(parse(text, panel.columns).root))
-            got = daily_ic(scored, "_f", least=least).agg(F.avg("ic")).first()[0]
-            known[text] = abs(got) if got is not None else 0.0
-        return known[text]
-
-    pool = [fresh() for _ in range(size)]
-    for _ in range(generations):
-        ranked = sorted(set(pool), key=lambda t: (-fitness(t), t))
-        kept = ranked[: max(1, int(size * elite))]
-        pool = kept + [fresh() if rng.random() < 0.3 else f"0.5 * ({rng.choice(ranked)}) + 0.5 * ({rng.choice(ranked)})" for _ in range(size - len(kept))]
-    return sorted(((t, fitness(t)) for t in set(pool)), key=lambda x: (-x[1], x[0]))
+def consensus(selected: DataFrame, share: float = 0.5) -> DataFrame:
+    """``(factor, n_votes, share)`` of factors that at least ``share`` of all (fold, method) pairs of ``selected`` chose."""
+    every = selected.select("fold", "method").distinct().agg(F.count(F.lit(1)).alias("_n"))
+    votes_ = selected.select("fold", "method", "factor").distinct().groupBy("factor").agg(F.count(F.lit(1)).alias("n_votes"))
+    return votes_.crossJoin(F.broadcast(every)).select("factor", "n_votes", (F.col("n_votes") / F.col("_n")).alias("share")).where(F.col("share") >= share)  # one row

@@ -158,7 +158,7 @@ def newey_west(series: DataFrame, value: str) -> DataFrame:
     for k in range(1, lags + 1):
         var = var + 2 * (1 - k / (lags + 1)) * F.coalesce(F.avg(f"g{k}"), F.lit(0.0))
     count = F.count("v")
-    se = F.when(var > 0, F.sqrt(F.try_divide(var, count))).otherwise(F.try_divide(F.stddev_samp("v"), F.sqrt(count)))
+    se = F.when(var > 0, F.sqrt(F.try_divide(var, count))).otherwise(F.try_divide(F.stddev_pop("v"), F.sqrt(count)))
     return terms.agg(F.avg("v").alias("mean"), se.alias("se"), count.alias("n"))
 
 

@@ -279,7 +279,7 @@ def cross_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(f"""WITH {FITS_SQL},
-size AS (SELECT count(*) AS n, avg(slope) AS m, avg(r2) AS avg_r2, stddev_samp(slope) AS sd, greatest(0, least(CAST(floor(pow(count(*), 0.25)) AS INTEGER), count(*) - 2)) AS l FROM fits),
+size AS (SELECT count(*) AS n, avg(slope) AS m, avg(r2) AS avg_r2, stddev_pop(slope) AS sd, greatest(0, least(CAST(floor(pow(count(*), 0.25)) AS INTEGER), count(*) - 2)) AS l FROM fits),
 e AS (SELECT row_number() OVER (ORDER BY date) AS i, slope - m AS e FROM fits, size),
 g AS (SELECT k, avg(a.e * b.e) AS g FROM (SELECT unnest(range(0, (SELECT l FROM size) + 1)) AS k) JOIN e a ON true JOIN e b ON b.i = a.i - k GROUP BY k),
 v AS (SELECT sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (l + 1)) * g END) AS v FROM g, size),
@@ -518,18 +518,42 @@ for _name, (_text, _sql) in EXPRESSIONS.items():
 # --- selection, sources ----------------------------------------------------------------------
 
 
-@add(f"""WITH {CROSS_SQL}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM xs)),
-cut AS (SELECT fold, any_value(n) AS n, CAST(floor(any_value(n) * 0.5) AS INTEGER) AS s, greatest(1, CAST(floor((any_value(n) - floor(any_value(n) * 0.5)) / 5) AS INTEGER)) AS w
-        FROM days, (SELECT unnest(range(0, 5)) AS fold) GROUP BY fold)
-SELECT CAST(fold AS INTEGER) AS fold, (SELECT max(date) FROM days WHERE i = s + fold * w - 1) AS train_end, (SELECT max(date) FROM days WHERE i = least(s + (fold + 1) * w - 1, n - 1)) AS test_end FROM cut""")
+@add(f"""WITH {PRICE_SQL}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM px)),
+size AS (SELECT any_value(n) AS n, greatest(CAST(floor(any_value(n) * 0.5) AS INTEGER), 60) AS s FROM days),
+cut AS (SELECT fold, n, s + fold * ((n - s) // 5) AS t, (n - s) // 5 AS w FROM size, (SELECT unnest(range(0, 5)) AS fold))
+SELECT CAST(fold AS INTEGER) AS fold, (SELECT max(date) FROM days WHERE i = t - 1) AS train_end, (SELECT max(date) FROM days WHERE i = t) AS test_start,
+  (SELECT max(date) FROM days WHERE i = least(t + w, n - 1)) AS test_end FROM cut WHERE t < n - 20""")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.walk_forward(cross_panel(spark, sf_dir))
+    return mining.walk_forward(price_panel(spark, sf_dir))
+
+
+#: Formulas whose fitness has SQL, with their values.
+SCORED = {
+    "cs_rank(f1)": "f1", "cs_rank(f1) - cs_rank(f2)": f"{RANK.format(x='f1')} - {RANK.format(x='f2')}", "square(cs_demean(f1))": "(f1 - avg(f1) OVER d) * (f1 - avg(f1) OVER d)",
+}
+
+
+def _fitness_sql() -> str:
+    cols = ", ".join(f"{sql} AS v{i}" for i, sql in enumerate(SCORED.values()))
+    one = lambda i, text: f"""SELECT '{text}' AS formula, round(abs(avg(ic)), 6) AS fitness FROM (SELECT date, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS ic, count(*) AS n FROM (
+        SELECT date, {RANK.format(x='x')} AS x, {RANK.format(x='y')} AS y FROM (SELECT date, round(v{i}, 9) AS x, fwd AS y FROM v WHERE v{i} IS NOT NULL AND fwd IS NOT NULL)) GROUP BY date) WHERE n >= 10"""
+    return f"WITH {CROSS_SQL}, v AS (SELECT date, fwd, {cols} FROM xs WINDOW d AS (PARTITION BY date)) " + " UNION ALL ".join(one(i, t) for i, t in enumerate(SCORED))
+
+
+@add(_fitness_sql())
+def formula_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = cross_panel(spark, sf_dir)
+    named = {f"_v{i}": text for i, text in enumerate(SCORED)}
+    scored = language.evaluate(panel, named, panel.columns).select("date", "stock_id", "forward_1d_ret", *[F.round(c, 9).alias(c) for c in named])
+    means = summary.ic_series(scored, list(named)).groupBy("factor").agg(F.abs(F.avg("ic")).alias("fitness"))
+    texts = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    return rounded(means.select(texts[F.col("factor")].alias("formula"), "fitness"))
 
 
 @add()
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = cross_panel(spark, sf_dir).persist()
-    found = mining.search_formulas(panel, ["f1", "f2", "f3"], generations=1, size=6)
+    found = mining.search_formulas(panel, NAMES)
     panel.unpersist()
     return spark.createDataFrame(found, "formula string, fitness double")
 

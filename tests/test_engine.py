@@ -109,3 +109,37 @@ def test_stream_bars_equal_batch_bars(spark, tmp_path):
     query.awaitTermination(120)
     got, want = spark.table("bars").toPandas(), daily_bars(events).toPandas()
     assert as_rows(got) == as_rows(want)
+
+
+def test_columns_of_the_panel_take_precedence(spark):
+    from millrace.operators import factors
+
+    rows = [(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", "A", 10.0 + d, 100.0, 1000.0, ((d * 7) % 5) / 100 - 0.02, ((d * 3) % 7) / 100 - 0.03, 0.5) for d in range(90)]
+    panel = spark.createDataFrame(rows, "date string, stock_id string, close double, volume double, shares_outstanding double, return double, mkt_return double, turnover double")
+    got = panel.select(factors.factor(panel, "ch_turnover").alias("t"), factors.factor(panel, "beta").alias("b"), factors.factor(panel.drop("mkt_return"), "beta").alias("own"), factors.factor(panel, "bm").alias("none")).collect()
+    last = got[-1]
+    x, y = [r[5] for r in rows], [r[6] for r in rows]
+    mx, my = sum(x) / 90, sum(y) / 90
+    assert last.t == 0.5 and math.isclose(last.b, sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((b - my) ** 2 for b in y)) and last.own != last.b and last.none is None
+
+
+def test_placeholders_and_spaces_of_mined_formulas():
+    assert language.translate("rank ({f0})", ["size"]) == "cs_rank(size)"
+    with pytest.raises(language.LanguageError) as bad:
+        language.translate("rank({g0})", ["size"])
+    assert bad.value.kind == "UnknownPlaceholder"
+    assert language.parse("pb + roe").fields == ["pb", "roe"]
+
+
+def test_search_and_mining(spark):
+    rows = [(f"2024-{1 + i // 400:02d}-{1 + (i // 16) % 25:02d}", str(i % 16), float(i * 7 % 16), float((i * 31) % 11), float(i * 7 % 16) + ((i * 17) % 5) * 0.01) for i in range(1200)]
+    panel = spark.createDataFrame(rows, "date string, stock_id string, a double, b double, forward_1d_ret double").persist()
+    found = mining.search_formulas(panel, ["a", "b"], generations=1, size=6)
+    assert found == sorted(found, key=lambda x: (-x[1], x[0])) and found[0][1] > 0.9 and all(0 <= v <= 1 for _, v in found)
+    folds = mining.walk_forward(panel, folds=3, least=10, margin=5).orderBy("fold").collect()
+    assert [f.fold for f in folds] == [0, 1, 2] and all(f.train_end < f.test_start <= f.test_end for f in folds)
+    ridge = {"ridge": mining.ridge_selection}
+    picked = mining.mine_walk_forward(panel, ["a", "b"], ridge, folds=3, least=10, margin=5)
+    assert {(r.fold, r.factor) for r in picked.collect()} >= {(0, "a"), (1, "a"), (2, "a")}
+    assert [r.share for r in mining.consensus(picked).where("factor = 'a'").collect()] == [1.0]
+    panel.unpersist()
