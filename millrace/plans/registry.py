@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions import cross, language
 from millrace.operators import mining, portfolio, preparing, summary, testing
 from millrace.operators.factors import factor
-from millrace.sources.panels import CROSS_SQL, FUNDAMENTALS_ONLY_SQL, FUNDAMENTALS_SQL, PRICE_SQL, cross_panel, fundamentals_panel, price_panel
+from millrace.sources import loaders
+from millrace.sources.panels import CROSS_SQL, FUNDAMENTALS_ONLY_SQL, FUNDAMENTALS_SQL, PRICE_SQL, cross_panel, daily_closes, fundamentals_panel, price_panel
 from millrace.streaming.bars import daily_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,3 +595,32 @@ def stock_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     # nation and region have 25 and 5 rows at every scale
     named = stocks.join(F.broadcast(read("nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return named.select("stock_id", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+
+
+@add("""SELECT code AS stock_id, s_name AS name, CASE WHEN code[1] IN ('6', '9') THEN 'sh' ELSE 'sz' END || code AS symbol FROM (
+    SELECT s_name, CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE '' END || lpad(CAST(s_suppkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS code FROM supplier) WHERE regexp_full_match(code, '[0-9]{6}')""")
+def listed_stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    code = F.concat(F.when(key % 3 == 0, "x").otherwise(""), F.lpad((key * 7919 % 1000000).cast("string"), 6, "0"))
+    found = loaders.listed_stocks(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(code.alias("code"), F.col("s_name").alias("name")))
+    return found.select("stock_id", "name", loaders.exchange_symbol(F.col("stock_id")).alias("symbol"))
+
+
+@add(f"""WITH {FUNDAMENTALS_SQL} SELECT stock_id, round(max_by(sales, date), 2) AS sales, round(max_by(cash, date), 2) AS cash, round(max_by(total_liabilities, date), 2) AS total_liabilities FROM fx GROUP BY stock_id""")
+def latest_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(loaders.latest_statements(fundamentals_panel(spark, sf_dir), ["sales", "cash", "total_liabilities"], "date"), 2)
+
+
+@add(f"""WITH {PRICE_SQL}, {FUNDAMENTALS_ONLY_SQL}, s AS (SELECT stock_id, max_by(sales, date) AS sales, max_by(total_liabilities, date) AS debt FROM fx GROUP BY stock_id)
+SELECT px.stock_id, date, round(ret, 6) AS ret, round(sales, 2) AS sales, round(debt, 2) AS total_debt FROM px LEFT JOIN s USING (stock_id) WHERE px.stock_id IN (SELECT DISTINCT stock_id FROM line ORDER BY stock_id LIMIT 60)""")
+def statement_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = daily_closes(spark, sf_dir)
+    out = loaders.statement_panel(daily, fundamentals_panel(spark, sf_dir).withColumnRenamed("date", "report_date"), ["sales", "total_liabilities"], most=60)
+    return out.select("stock_id", "date", F.round("return", 6).alias("ret"), F.round("sales", 2).alias("sales"), F.round("total_debt", 2).alias("total_debt"))
+
+
+@add(f"""WITH {PRICE_SQL} SELECT stock_id, date, round(close, 6) AS close, round(ret, 6) AS ret FROM px WHERE stock_id BETWEEN 1 AND 3""")
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = daily_closes(spark, sf_dir).where("stock_id between 1 and 3").groupBy("date").pivot("stock_id", [1, 2, 3]).agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
+    named = wide.select("date", *[F.col(f"{s}_{f}").alias(f"{f}|{s}") for s in (1, 2, 3) for f in ("close", "volume")])
+    return loaders.from_wide(named, ["1", "2", "3"]).select(F.col("stock_id").cast("long").alias("stock_id"), "date", F.round("close", 6).alias("close"), F.round("return", 6).alias("ret"))

@@ -31,6 +31,11 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.where("`return` is not null")
 
 
+def daily_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(stock_id, date, close, volume)`` of each supplier's days."""
+    return _lines(spark, sf_dir).groupBy("stock_id", "date").agg(F.try_divide(F.sum("ext"), F.sum("qty")).alias("close"), F.sum("qty").alias("volume"))
+
+
 LINE_SQL = """
 line AS (
   SELECT CAST(l_suppkey AS BIGINT) AS stock_id, CAST(l_shipdate AS DATE) AS date, CAST(l_extendedprice AS DOUBLE) AS ext,

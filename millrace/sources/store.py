@@ -48,9 +48,32 @@ class ResearchMemory:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             events = self.spark.createDataFrame([], schema)
-        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col("at").desc()))
+        # events of one time: the greatest by all columns, whatever order they are read in
+        newest = F.row_number().over(Window.partitionBy(key).orderBy(F.col("at").desc(), *[F.col(c).desc() for c in events.columns if c not in (key, "at")]))
         return events.withColumn("_k", newest).where("_k = 1").drop("_k")
 
+    def get(self, name: str, key: str) -> dict | None:
+        """The row of one key, or None."""
+        row = self.table(name).where(F.col(SCHEMAS[name][0]) == key).first()
+        return row and row.asDict()
+
+    def put_correlation(self, a: str, b: str, rho: float, at: float) -> None:
+        self.put("factor_correlations", [(pair_key(a, b), float(rho), float(at))])
+
+    def put_checkpoint(self, name: str, state: dict, at: float) -> None:
+        """State of a run that may be paused; the latest one counts."""
+        self.put("checkpoints", [(name, json.dumps(state, sort_keys=True), float(at))])
+
+    def checkpoint(self, name: str) -> dict | None:
+        row = self.get("checkpoints", name)
+        return row and json.loads(row["state"])
+
+    def compact(self, name: str) -> None:
+        """Replace a table's events by its latest rows in one file."""
+        rows = self.table(name)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}-compact")
+        self.spark.read.parquet(f"{self.root}/{name}-compact").write.mode("overwrite").parquet(f"{self.root}/{name}")
+
     def candidates(self) -> DataFrame:
         """Candidates with the status of their latest evaluation, so one append changes both."""
         judged = self.table("evaluations").select("ast_hash", "verdict")
@@ -89,3 +112,52 @@ class Cache:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+
+    def counts(self) -> dict[str, int]:
+        """Entries of each layer."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = {}
+        for layer in ("raw", "nodes", "factors", "metrics"):
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{layer}")
+            fs = where.getFileSystem(conf)
+            out[layer] = len(list(fs.listStatus(where))) if fs.exists(where) else 0
+        return out
+
+
+class Harness:
+    """Cache and memory of one run. Raw data is shared by all runs of one request; nodes, factors and metrics belong to the stocks it resolved to.
+
+    Without a cache or a memory, storing does nothing and loading gives None.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, request: dict, stocks: Sequence[str], fields: Sequence[str], cache: bool = True, memory: bool = True):
+        self.request = run_identity(**request)
+        self.resolved = run_identity(**request, stock_ids=sorted(stocks), fields=sorted(fields))
+        self._cache = Cache(spark, f"{root.rstrip('/')}/cache") if cache else None
+        self._memory = ResearchMemory(spark, f"{root.rstrip('/')}/memory") if memory else None
+
+    @property
+    def memory(self) -> ResearchMemory:
+        if self._memory is None:
+            raise RuntimeError("research memory is disabled")
+        return self._memory
+
+    def _key(self, layer: str, name: str, meta: dict) -> str:
+        return fingerprint(layer, name, self.request if layer == "raw" else self.resolved, "1", meta)
+
+    def store(self, layer: str, name: str, frame: DataFrame, **meta) -> DataFrame:
+        """Layers: ``raw``, ``nodes`` (parts of expressions) and ``factors``."""
+        return frame if self._cache is None else self._cache.put(layer, self._key(layer, name, meta), frame)
+
+    def load(self, layer: str, name: str, **meta) -> DataFrame | None:
+        return None if self._cache is None else self._cache.get(layer, self._key(layer, name, meta))
+
+    def store_metrics(self, name: str, metrics: dict, **meta) -> None:
+        if self._cache is not None:
+            self._cache.put_metrics(self._key("metrics", name, meta), metrics)
+
+    def load_metrics(self, name: str, **meta) -> dict | None:
+        return None if self._cache is None else self._cache.metrics(self._key("metrics", name, meta))
+
+    def counts(self) -> dict[str, int] | None:
+        return self._cache and self._cache.counts()

@@ -143,3 +143,78 @@ def test_search_and_mining(spark):
     assert {(r.fold, r.factor) for r in picked.collect()} >= {(0, "a"), (1, "a"), (2, "a")}
     assert [r.share for r in mining.consensus(picked).where("factor = 'a'").collect()] == [1.0]
     panel.unpersist()
+
+
+def test_harness_keeps_requests_and_universes_apart(spark, tmp_path):
+    from millrace.sources.store import Harness
+
+    make = lambda stocks, **on: Harness(spark, f"file://{tmp_path}", {"source": "x", "start": "a", "end": "b"}, stocks, ["close"], **on)
+    one, other = make(["A", "B"]), make(["A"])
+    assert one.request == other.request and one.resolved != other.resolved == make(["A"]).resolved
+    one.store("raw", "close", spark.range(2))
+    one.store("factors", "f", spark.range(3), ast="h")
+    one.store("nodes", "cs_rank(close)", spark.range(4))
+    one.store_metrics("f", {"ic": 0.1}, ast="h")
+    assert other.load("raw", "close").count() == 2 and other.load("factors", "f", ast="h") is None and one.load("factors", "f", ast="h").count() == 3
+    assert one.load_metrics("f", ast="h") == {"ic": 0.1} and one.load_metrics("f", ast="g") is None and one.counts() == {"raw": 1, "nodes": 1, "factors": 1, "metrics": 1}
+    off = make(["A"], cache=False, memory=False)
+    off.store("raw", "z", spark.range(1))
+    assert off.load("raw", "z") is None and off.load_metrics("f") is None
+    with pytest.raises(RuntimeError):
+        off.memory
+    one.memory.put_correlation("b", "a", 0.5, 1)
+    one.memory.put_correlation("a", "b", 0.7, 2)
+    assert one.memory.get("factor_correlations", "a|b")["rho"] == 0.7 and one.memory.get("factor_correlations", "c|d") is None
+    one.memory.put_checkpoint("run", {"step": 1}, 1)
+    one.memory.put_checkpoint("run", {"step": 2}, 2)
+    one.memory.compact("checkpoints")
+    assert one.memory.checkpoint("run") == {"step": 2} and one.memory.checkpoint("none") is None
+
+
+def test_loaders(spark, tmp_path):
+    from millrace.sources import loaders
+
+    raw = spark.createDataFrame([("600000", "a"), ("00001", "b"), ("000002", "c"), ("x00002", "d")], "code string, name string")
+    assert [tuple(r) for r in loaders.listed_stocks(raw).withColumn("s", loaders.exchange_symbol(F.col("stock_id"))).orderBy("stock_id").collect()] == [("000002", "c", None, "sz000002"), ("600000", "a", None, "sh600000")]
+    bars = spark.createDataFrame([(f"2024-01-0{d}", s, 10.0 + d, 1e6) for s in ("000002", "600000") for d in (1, 2, 3)], "date string, stock_id string, close double, volume double")
+    bars.write.partitionBy("stock_id").option("partitionOverwriteMode", "static").parquet(f"{tmp_path}/bars")
+    got = loaders.daily_bars_of(spark, f"{tmp_path}/bars", start="2024-01-02", end="2024-01-02")
+    assert sorted((r.close, str(r.date)) for r in got.collect()) == [(12.0, "2024-01-02")] * 2
+    reports = spark.createDataFrame([("A", "2023", "5", "10", "2", "-9", "4"), ("A", "2024", None, "12", "x", "3", "7"), ("B", "2022", "1", "1", "1", "-2", "")],
+                                    "stock_id string, report_date string, cash string, sales string, surplus_reserve string, undistributed_profit string, operating_cost string")
+    cols = ["cash", "sales", "surplus_reserve", "undistributed_profit", "operating_cost"]
+    last = {r.stock_id: r for r in loaders.latest_statements(reports, cols).collect()}
+    assert (last["A"].cash, last["A"].sales, last["A"].retained_earnings, last["A"].gross_profit) == (0.0, 12.0, 3.0, 5.0) and last["B"].retained_earnings is None and last["B"].gross_profit == 1.0
+    panel = loaders.statement_panel(bars.replace({"000002": "A", "600000": "B"}, subset=["stock_id"]), reports, cols, most=1).orderBy("date").collect()
+    assert [(r.stock_id, r.sales, round(r["return"], 6)) for r in panel] == [("A", 12.0, round(1 / 11, 6)), ("A", 12.0, round(1 / 12, 6))]
+    wide = spark.createDataFrame([("2024-01-01", 1.0, 5.0, 2.0, None), ("2024-01-02", 2.0, 5.0, 3.0, None)], "date string, `close|A` double, `volume|A` double, `close|B` double, `volume|B` double")
+    assert sorted((r.stock_id, r["return"], r.sales) for r in loaders.from_wide(wide, ["A", "B"]).collect()) == [("A", 1.0, None), ("B", 0.5, None)]
+    made = loaders.synthetic_panel(spark, 20, 50)
+    rows = made.orderBy("stock_id", "date").collect()
+    assert len(rows) == 1000 and rows == loaders.synthetic_panel(spark, 20, 50).repartition(3).orderBy("stock_id", "date").collect() and all(r.close > 0 for r in rows)
+    assert abs(sum(r["return"] for r in rows) / 1000) < 0.01
+
+
+def test_sinks(spark, tmp_path):
+    from millrace.operators import summary
+    from millrace.sources import sinks
+
+    frame = spark.createDataFrame([("f1", 0.5, 0.9, 2.5), ("f<2", -0.2, None, 0.1)], "factor string, mean_ic double, ls_sharpe double, fm_t double").withColumn("ir", F.col("mean_ic"))
+    found = summary.analysis(frame)
+    assert found.first()["n_ic"] == 2 and found.first()["n_both"] == 1 and found.first()["quality"] == "weak"
+    sinks.write_markdown(frame, f"{tmp_path}/md", found)
+    sinks.write_html(frame, f"{tmp_path}/html", found)
+    sinks.write_json(found, f"{tmp_path}/json")
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
+    assert "| f1 | 0.5000 | 0.9000 | 2.5000 | 0.5000 |" in text and "Best factor: **f1**" in text
+    assert "<td>f&lt;2</td>" in spark.read.text(f"{tmp_path}/html").first().value
+    sinks.write_csv(frame, f"{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
+    panel = spark.createDataFrame([("2024-01-31", "A", 1.0), ("2024-02-01", "B", 2.0)], "date string, stock_id string, v double").withColumn("date", F.to_date("date"))
+    sinks.write_panel(panel, f"{tmp_path}/panel")
+    assert spark.read.parquet(f"{tmp_path}/panel").where("month = '2024-02'").count() == 1
+    wide = sinks.matrix(panel, "v", ["A", "B"])
+    assert dict(wide.dtypes)["A"] == "float" and [tuple(r)[1:] for r in wide.orderBy("date").collect()] == [(1.0, None), (None, 2.0)]
+    nav = panel.select("date", F.col("v").alias("nav"), F.col("v").alias("benchmark_nav"))
+    sinks.write_nav(nav, f"{tmp_path}/nav")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/nav").columns == ["date", "portfolio", "benchmark"]
