@@ -119,31 +119,30 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     slim = slim.select("id", F.xxhash64("id").alias("i"), F.xxhash64("text").alias("h"), "text", "raw")
     base = F.concat(*[spans(F.col("text"), k) for k in KINDS])
     # texts are kept with their spans, and only where there are any
-    found = slim.select("id", "i", "h", base.alias("base"), "text", "raw")
-    held = lambda c: F.when(F.size("base") > 0, F.col(c)).alias(c)
-    found = scratch.keep(found.select("id", "i", "h", "base", held("text"), held("raw")))
-    owners = found.where(F.size("base") > 0).dropDuplicates(["i", "h"])
-    owners = scratch.keep(owners.select("i", "h", _unmatched(F.col("text")).alias("rest"), F.array_distinct(F.transform("base", _entity)).alias("entities")))
-    forms = owners.select("i", "h", "entities", F.explode(_words(F.col("rest"))).alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
-    pairs = forms.dropDuplicates(["i", "h", "term"]).select("term", F.explode("entities").alias("entity"))
+    found = scratch.keep(slim.select("id", "i", "h", base.alias("base"), "raw").withColumn("raw", F.when(F.size("base") > 0, F.col("raw"))))
+    rest = _unmatched(F.translate(F.coalesce("raw", F.lit("")), MARK, MARK_AS))
+    owners = found.where(F.size("base") > 0).select("i", "h", F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(rest).alias("forms"))
+    owners = scratch.keep(owners.dropDuplicates(["i", "h"]))
+    forms = owners.select("i", "h", "entities", F.explode("forms").alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
+    lowered = F.array_distinct(F.transform("forms", lambda w: F.xxhash64(F.lower(w))))  # a document's terms, each once, before anything is shuffled
+    pairs = owners.select("entities", F.explode(lowered).alias("term")).select("term", F.explode("entities").alias("entity"))
     both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     entities = owners.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # only terms that stand beside an entity are asked for; a document's words leave the scan as hashes, each once
     hashed = F.array_distinct(F.transform(_words(_unmatched(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
     words = slim.select("i", "h", hashed.alias("words")).groupBy("i", "h").agg(F.first("words").alias("words"))
-    words = scratch.keep(words)
+    n = found.select("i", "h").distinct().count()
     terms = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     told = both.join(entities, "entity").join(terms, "term")
-    total, more = F.lit(float(words.count() + 2 * SMOOTH)), F.lit(SMOOTH)
+    total, more = F.lit(float(n + 2 * SMOOTH)), F.lit(SMOOTH)
     share = F.log(total * (F.col("n_both") + more) / ((F.col("n_term") + more) * (F.col("n_entity") + more))) / F.log(total / (F.col("n_entity") + more))
     told = scratch.keep(told.where(share >= discloses).select("entity", "term"))
-    scratch.drop(words)
     mine = forms.select("i", "h", "form", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"], "left_semi")
     mine = mine.groupBy("i", "h").agg(F.sort_array(F.collect_set("form")).alias("forms"))  # words of one document
-    placed = owners.join(mine, ["i", "h"]).select("i", "h", _terms(F.col("rest"), F.col("forms")).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     plain = found.where(F.size("base") == 0).select("id", "base", none.alias("terms"), F.col("raw").alias("text"))
-    rich = found.where(F.size("base") > 0).join(placed, ["i", "h"], "left").select("id", "base", F.coalesce("terms", none).alias("terms"), F.col("raw").alias("text"))
+    rich = found.where(F.size("base") > 0).join(mine, ["i", "h"], "left").select(
+        "id", "base", F.when(F.col("forms").isNotNull(), _terms(rest, F.col("forms"))).otherwise(none).alias("terms"), F.col("raw").alias("text"))
     return plain.union(rich)
 
 
