@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.language import evaluate
+from millrace.operators.neural import neural_selection
 from millrace.operators.summary import ic_series
 
 #: What start formulas are made of: functions of a factor's cross-section, functions of those, and pairs.
 HEADS, WRAPPERS, PAIRED = ("cs_rank", "cs_zscore", "cs_demean"), ("square", "sqrt_abs", "log_abs", "sign", "neg"), ("+", "-", "*", "/")
+#: Penalties that the linear selectors try.
+PENALTIES = tuple(float(p) for p in np.logspace(-4, 0, 50))
 
 
 def features(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_ret") -> DataFrame:
@@ -42,29 +47,108 @@ def walk_forward(panel: DataFrame, folds: int = 5, first: float = 0.5, least: in
     return out.where((cut < F.col("n") - margin) & (cut > 0)).groupBy("fold").agg(at(cut - 1).alias("train_end"), at(cut).alias("test_start"), at(F.least(cut + F.col("w"), F.col("n") - 1)).alias("test_end"))
 
 
-def linear_selection(data: DataFrame, factors: Sequence[str], penalties: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1), mixes: Sequence[float] = (1.0,), folds: int = 3) -> dict[str, float]:
-    """Coefficients over 1e-6 in size of the lasso (mix 1) or elastic net of least error over expanding folds."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.regression import LinearRegression
+@dataclass(frozen=True)
+class Moments:
+    """Count, means and summed products of deviations of all features and, last, the label."""
 
-    data = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data).transform(data).persist()
-    ends = walk_forward(data, folds, least=2, margin=0).collect()  # one row per fold
-    model = lambda p, m: LinearRegression(featuresCol="scaled", regParam=p, elasticNetParam=m, standardization=False)
-    score = RegressionEvaluator(metricName="mse")
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
 
-    def error(p: float, m: float) -> float:
-        found = [score.evaluate(model(p, m).fit(data.where(F.col("date") <= e.train_end)).transform(data.where((F.col("date") > e.train_end) & (F.col("date") <= e.test_end)))) for e in ends if e.test_end and e.train_end and e.test_end > e.train_end]
-        return float(np.mean(found)) if found else 0.0
+    def __add__(self, other: Moments) -> Moments:
+        if not self.n or not other.n:
+            return self if self.n else other
+        n, d = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + d * other.n / n, self.scatter + other.scatter + np.outer(d, d) * self.n * other.n / n)
 
-    best = min(((p, m) for p in penalties for m in mixes), key=lambda pm: error(*pm))
-    fitted = model(*best).fit(data).coefficients
-    data.unpersist()
+
+def moments(data: DataFrame, k: int, part: Column | None = None) -> dict[int, Moments]:
+    """Moments of each ``part`` of the rows, of which there are few; one aggregation gives all."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = vector_to_array("features")
+    names = [f"x{i}" for i in range(k)] + ["y"]
+    wide = data.select((F.lit(0) if part is None else part).alias("part"), *[x[i].alias(f"x{i}") for i in range(k)], F.col("label").alias("y"))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    rows = wide.groupBy("part").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect()
+    out = {}
+    for r in rows:
+        scatter = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            scatter[i, j] = scatter[j, i] = r[f"c{i}_{j}"] * r["n"]
+        out[r["part"]] = Moments(r["n"], np.array([r[f"m_{c}"] for c in names]), scatter)
+    return out
+
+
+def descend(gram: np.ndarray, xy: np.ndarray, penalty: float, mix: float, w: np.ndarray, least: float, sweeps: int = 10000) -> np.ndarray:
+    """Minimum of half the mean squared error plus penalty (mix |w| + (1 - mix) w w / 2) by coordinate descent from ``w``."""
+    w = w.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(gram) > 0):
+            pull = xy[j] - gram[j] @ w + gram[j, j] * w[j]
+            new = np.sign(pull) * max(abs(pull) - penalty * mix, 0.0) / (gram[j, j] + penalty * (1 - mix))
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved <= least:
+            break
+    return w
+
+
+def linear_selection(data: DataFrame, factors: Sequence[str], penalties: Sequence[float] = PENALTIES, mixes: Sequence[float] = (1.0,), folds: int = 5) -> dict[str, float]:
+    """Coefficients over 1e-6 in size of the lasso (mix 1) or elastic net of least error over expanding folds.
+
+    Moments of the stretches between the folds' dates hold all that fits and
+    errors need, so any number of penalties takes one pass of the rows.
+    """
+    k = len(factors)
+    ends = [e for e in walk_forward(data, folds, least=2, margin=0).collect() if e.test_end and e.train_end and e.test_end > e.train_end]  # one row per fold
+    bounds = sorted({d for e in ends for d in (e.train_end, e.test_end)})
+    parts = moments(data, k, sum(((F.col("date") > d).cast("int") for d in bounds), F.lit(0)))
+    none = Moments(0, np.zeros(k + 1), np.zeros((k + 1, k + 1)))
+    join = lambda lo, hi: sum((parts[i] for i in range(lo, hi) if i in parts), none)
+    whole = join(0, len(bounds) + 1)
+    if not whole.n:
+        return {}
+    dev = np.sqrt(np.diag(whole.scatter) / whole.n)
+    small, dev = 1e-9 * dev[-1], np.append(np.where(dev[:-1] > 0, dev[:-1], 1.0), 1.0)
+    scaled = lambda m: Moments(m.n, m.mean / dev, m.scatter / np.outer(dev, dev))
+    splits = [(scaled(join(0, bounds.index(e.train_end) + 1)), scaled(join(bounds.index(e.train_end) + 1, bounds.index(e.test_end) + 1))) for e in ends]
+    splits = [(a, b) for a, b in splits if a.n and b.n]
+    falling = sorted(penalties, reverse=True)
+
+    def path(m: Moments, mix: float) -> list[np.ndarray]:
+        out = [np.zeros(k)]
+        for p in falling:
+            out.append(descend(m.scatter[:k, :k] / m.n, m.scatter[:k, k] / m.n, p, mix, out[-1], small))
+        return out[1:]
+
+    def errors(train: Moments, test: Moments, mix: float) -> list[float]:
+        off = [np.append(-w, 1.0) for w in path(train, mix)]
+        return [float(v @ test.scatter @ v / test.n + (v @ (test.mean - train.mean)) ** 2) for v in off]
+
+    cost = {mix: np.mean([errors(a, b, mix) for a, b in splits], axis=0) if splits else np.zeros(len(falling)) for mix in mixes}
+    best = min(mixes, key=lambda mix: cost[mix].min())
+    fitted = path(scaled(whole), best)[int(cost[best].argmin())]
     return {f: float(c) for f, c in zip(factors, fitted, strict=True) if abs(c) > 1e-6}
 
 
+def elastic_selection(data: DataFrame, factors: Sequence[str], penalties: Sequence[float] = PENALTIES, mixes: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9), folds: int = 5) -> dict[str, float]:
+    """``linear_selection`` of an elastic net."""
+    return linear_selection(data, factors, penalties, mixes, folds)
+
+
+def early_end(data: DataFrame, share: float = 0.8):
+    """The last date up to which at most ``share`` of the rows lie, if any."""
+    days = data.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    so_far, n = F.sum("n").over(Window.orderBy("date")), F.sum("n").over(Window.partitionBy())  # one row per date
+    return days.select("date", (so_far <= share * n).alias("early")).where("early").agg(F.max("date")).first()[0]
+
+
 def tree_selection(data: DataFrame, factors: Sequence[str], kind: str = "forest", top: int = 10, seed: int = 42, **options) -> dict[str, float]:
-    """The ``top`` importances of a random forest or of boosted trees."""
+    """The ``top`` importances of a random forest or of boosted trees.
+
+    Boosting of sampled trees stops where the error on the last fifth of the rows by date rises.
+    """
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     made = {
@@ -72,6 +156,9 @@ def tree_selection(data: DataFrame, factors: Sequence[str], kind: str = "forest"
         "boosted": lambda: GBTRegressor(**({"maxIter": 200, "stepSize": 0.05, "maxDepth": 4, "seed": seed} | options)),
         "sampled": lambda: GBTRegressor(**({"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | options)),
     }[kind]()
+    if kind == "sampled" and (end := early_end(data)) is not None:
+        data = data.withColumn("later", F.col("date") > F.lit(end))
+        made.setParams(validationIndicatorCol="later", validationTol=0.0)
     weights = made.fit(data).featureImportances.toArray()
     return dict(sorted(((f, float(w)) for f, w in zip(factors, weights, strict=True) if w > 0), key=lambda x: -x[1])[:top])
 
@@ -81,22 +168,13 @@ def ridge_selection(data: DataFrame, factors: Sequence[str], least: float = 1.0,
 
     The cluster sums products (k x k numbers); the driver solves.
     """
-    from pyspark.ml.functions import vector_to_array
-
-    x = vector_to_array("features")
     k = len(factors)
-    parts = data.select(*[x[i].alias(f"x{i}") for i in range(k)], F.col("label").alias("y"))
-    names = [*[f"x{i}" for i in range(k)], "y"]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = parts.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs]).first()
-    if not row["n"]:
+    found = moments(data, k).get(0)
+    if found is None:
         return {}
-    cov = np.zeros((k + 1, k + 1))
-    for a, b in pairs:
-        i, j = names.index(a), names.index(b)
-        cov[i, j] = cov[j, i] = row[f"{a}_{b}"]
-    dev = np.where(np.diag(cov) > 0, np.sqrt(np.diag(cov)), 1.0)
-    n, gram, xy, yy = row["n"], cov[:k, :k] / np.outer(dev[:k], dev[:k]) * row["n"], cov[:k, k] / dev[:k] * row["n"], cov[k, k] * row["n"]
+    cov = found.scatter / found.n
+    dev = np.where(np.diag(cov) > 0, np.sqrt(np.maximum(np.diag(cov), 0)), 1.0)
+    n, gram, xy, yy = found.n, cov[:k, :k] / np.outer(dev[:k], dev[:k]) * found.n, cov[:k, k] / dev[:k] * found.n, cov[k, k] * found.n
     noise, prior = (n / yy if yy > 0 else 1.0), 1.0
     eig = np.maximum(np.linalg.eigvalsh(gram), 0)
     for _ in range(steps):
@@ -164,9 +242,16 @@ def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 3
     return [(t, known[t]) for t in ranked]
 
 
+#: Every selector with its own parameters.
+METHODS = {
+    "ridge": ridge_selection, "lasso": linear_selection, "elastic": elastic_selection, "neural": neural_selection, "forest": tree_selection,
+    "boosted": partial(tree_selection, kind="boosted"), "sampled": partial(tree_selection, kind="sampled"),
+}
+
+
 def mine(panel: DataFrame, factors: Sequence[str], methods: dict | None = None) -> DataFrame:
     """``(method, factor, weight)`` that each of ``methods(data, factors) -> {factor: weight}`` selects on ``panel``."""
-    methods = methods or {"ridge": ridge_selection, "lasso": linear_selection, "forest": tree_selection}
+    methods = methods or METHODS
     data = features(panel, factors).persist()
     rows = [(m, f, w) for m, select in methods.items() for f, w in select(data, factors).items()]  # at most one row per method and factor
     data.unpersist()

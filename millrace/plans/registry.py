@@ -562,11 +562,7 @@ def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add()
 def factor_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["f1", "f2", "f3"]
-    data = mining.features(cross_panel(spark, sf_dir), names).persist()
-    chosen = {"ridge": mining.ridge_selection(data, names), "lasso": mining.linear_selection(data, names, (1e-4, 1e-2)), "forest": mining.tree_selection(data, names, numTrees=20)}
-    data.unpersist()
-    rows = [(method, name) for method, got in chosen.items() for name in got]
-    return mining.votes(spark.createDataFrame(rows, "method string, factor string"), len(chosen))
+    return mining.votes(mining.mine(cross_panel(spark, sf_dir), names).select("method", "factor"), len(mining.METHODS))
 
 
 @add("SELECT CAST(user_id AS BIGINT) AS stock_id, CAST(ts AS DATE) AS date, round(avg(value), 6) AS close, count(*) AS volume FROM events GROUP BY ALL")

@@ -218,3 +218,53 @@ def test_sinks(spark, tmp_path):
     nav = panel.select("date", F.col("v").alias("nav"), F.col("v").alias("benchmark_nav"))
     sinks.write_nav(nav, f"{tmp_path}/nav")
     assert spark.read.option("header", True).csv(f"{tmp_path}/nav").columns == ["date", "portfolio", "benchmark"]
+
+
+def test_linear_selection_equals_a_fit_by_rows(spark):
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.regression import LinearRegression
+
+    rows = [(f"2024-01-{1 + i % 20:02d}", str(i), float(i % 7), float((i * 31) % 11), 3.0, float(i % 7) * 2 - ((i * 31) % 11) * 0.3 + ((i * 17) % 5)) for i in range(400)]
+    panel = spark.createDataFrame(rows, "date string, stock_id string, a double, b double, c double, forward_1d_ret double")
+    data = mining.features(panel, ["a", "b", "c"]).persist()
+    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(data).transform(data)
+    want = LinearRegression(featuresCol="scaled", regParam=0.2, elasticNetParam=1.0, standardization=False, tol=1e-12, maxIter=1000).fit(scaled).coefficients
+    got = mining.linear_selection(data, ["a", "b", "c"], (0.2,))
+    assert set(got) == {"a", "b"} and all(math.isclose(got[f], w, rel_tol=3e-3) for f, w in zip("ab", want))
+    assert set(mining.elastic_selection(data, ["a", "b", "c"])) == {"a", "b"}
+    assert mining.early_end(data) == "2024-01-16" and mining.early_end(data.limit(0)) is None
+    for select in mining.METHODS["lasso"], mining.METHODS["elastic"], mining.METHODS["ridge"], mining.METHODS["neural"]:
+        assert select(data.limit(0), ["a", "b", "c"]) == {}
+    late = mining.tree_selection(data, ["a", "b", "c"], "sampled", maxIter=3)
+    assert next(iter(late)) == "a"
+    data.unpersist()
+
+
+def test_moments_of_parts_add_up(spark):
+    import numpy as np
+
+    rows = [(f"2024-01-{1 + i % 5:02d}", str(i), float(i % 7), 1e6 + i % 11, float(i % 3)) for i in range(60)]
+    data = mining.features(spark.createDataFrame(rows, "date string, stock_id string, a double, b double, forward_1d_ret double"), ["a", "b"])
+    whole, parts = mining.moments(data, 2)[0], mining.moments(data, 2, (F.col("date") > "2024-01-02").cast("int"))
+    x = np.array([r[2:] for r in rows])
+    for m in (whole, parts[0] + parts[1]):
+        assert m.n == 60 and np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.scatter, np.cov(x.T, bias=True) * 60)
+
+
+def test_network_gradient_and_selection(spark):
+    import numpy as np
+
+    from millrace.operators import neural
+
+    rng = np.random.default_rng(1)
+    sizes, x, y = (3, 5, 4, 1), rng.normal(size=(20, 3)), rng.normal(size=20)
+    flat = rng.normal(size=3 * 5 + 5 + 5 * 4 + 4 + 4 + 1)
+    loss = lambda w: 0.5 * ((neural.outputs(w, sizes, x)[-1][:, 0] - y) ** 2).sum()
+    step = 1e-6 * np.eye(len(flat))
+    assert np.allclose(neural.gradient(flat, sizes, x, y), [(loss(flat + d) - loss(flat - d)) / 2e-6 for d in step], rtol=1e-4, atol=1e-5)
+    rows = [(f"2024-01-{1 + i % 20:02d}", str(i), float(i % 7), float((i * 31) % 11), abs(i % 7 - 3.0)) for i in range(400)]
+    data = mining.features(spark.createDataFrame(rows, "date string, stock_id string, a double, b double, forward_1d_ret double"), ["a", "b"]).persist()
+    got = neural.neural_selection(data, ["a", "b"], hidden=(16,), steps=40)  # not linear in a
+    assert next(iter(got)) == "a" and got["a"] > 10 * got.get("b", 0.0)
+    assert neural.neural_selection(data.withColumn("label", F.lit(1.0)), ["a", "b"]) == {}
+    data.unpersist()
