@@ -102,13 +102,26 @@ def comoment(power: int) -> Column:
     return rolling(F.avg, product, YEAR, LEAST) / (scale + EPS)
 
 
-def cvar(share: float = 0.05) -> Column:
-    """Mean of the rolling returns that are at most their ``share`` quantile."""
+def tail(share: float, mean: bool) -> Column:
+    """The ``share`` quantile of the rolling returns, or the mean of those that are at most that.
+
+    A frame is sorted once; both come from the head of the sorted array.
+    """
     ret = F.col("return")
-    cut = F.percentile(ret, F.lit(share)).over(last(YEAR))
-    tail = F.filter(F.collect_list(ret).over(last(YEAR)), lambda x: x <= cut)
-    mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x, lambda a: F.try_divide(a, F.size(tail)))
-    return F.when(F.count(ret).over(last(YEAR)) >= LEAST, F.coalesce(mean, cut))
+
+    def of(low_first: Column) -> Column:
+        at = (F.size(low_first) - 1) * F.lit(share)
+        low = F.floor(at).cast("int")
+        before, after = F.get(low_first, low), F.get(low_first, low + 1)
+        cut = F.when((at == low) | (before == after), before).otherwise((low + 1 - at) * before + (at - low) * after)
+        if not mean:
+            return cut
+        added = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(xs))
+        plain = after.isNull() | (after > cut)  # else returns equal to the cut go on behind it
+        return F.when(plain, added(F.slice(low_first, 1, low + 1))).otherwise(added(F.filter(low_first, lambda x: x <= cut)))
+
+    frame = F.sort_array(F.collect_list(ret).over(last(YEAR)))
+    return F.when(F.count(ret).over(last(YEAR)) >= LEAST, F.transform(F.array(frame), of)[0])
 
 
 def ulcer(n: int = 126, least: int = 30) -> Column:
@@ -190,8 +203,8 @@ REGISTRY: dict[str, Factor] = {
     "coskewness": Factor(("return",), "ts", lambda: comoment(2)),
     "cokurtosis": Factor(("return",), "ts", lambda: comoment(3)),
     "max_ret_1m": Factor(("return",), "ts", lambda: rolling(F.max, F.col("return"), 21, 10)),
-    "var_95": Factor(("return",), "ts", lambda: rolling(lambda x: F.percentile(x, F.lit(0.05)), F.col("return"), YEAR, LEAST)),
-    "cvar_95": Factor(("return",), "ts", cvar),
+    "var_95": Factor(("return",), "ts", lambda: tail(0.05, mean=False)),
+    "cvar_95": Factor(("return",), "ts", lambda: tail(0.05, mean=True)),
     "ulcer_index": Factor(("close",), "ts", ulcer),
     "ivol_capm": Factor(("return",), "ts", lambda: residual_risk(market()), ("mkt_return", lambda: residual_risk(F.col("mkt_return")))),
     "rsi_14": Factor(("close",), "ts", rsi),
