@@ -268,3 +268,21 @@ def test_network_gradient_and_selection(spark):
     assert next(iter(got)) == "a" and got["a"] > 10 * got.get("b", 0.0)
     assert neural.neural_selection(data.withColumn("label", F.lit(1.0)), ["a", "b"]) == {}
     data.unpersist()
+
+
+def test_tail_factors_with_ties_and_gaps(spark):
+    import numpy as np
+
+    from millrace.operators import factors
+
+    ret = [None if d % 17 == 0 else ((d * 7) % 5) / 10 - 0.2 if d % 3 else float((d * 31) % 97) / 100 - 0.5 for d in range(400)]
+    panel = spark.createDataFrame([(d, "A", r) for d, r in enumerate(ret)] + [(0, "B", None)], "date int, stock_id string, return double")
+    got = panel.select("stock_id", "date", factors.factor(panel, "var_95").alias("q"), factors.factor(panel, "cvar_95").alias("m")).collect()
+    assert len(got) == 401
+    for r in got:
+        seen = np.array([x for x in ret[max(0, r.date - 251) : r.date + 1] if x is not None] if r.stock_id == "A" else [])
+        if len(seen) < 60:
+            assert r.q is None and r.m is None
+        else:
+            cut = np.quantile(seen, 0.05)
+            assert math.isclose(r.q, cut, abs_tol=1e-12) and math.isclose(r.m, seen[seen <= r.q].mean(), abs_tol=1e-12)
