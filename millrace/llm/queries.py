@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, pii, quality, secrets, sharding, simhash, toxicity, url_filter
+from . import bpe, media, packing, passages, pii, quality, secrets, sharding, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality)
+    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality, op12_passages)
 }
 
 #: Everything of ``op10_quality``, its threshold table included.
@@ -84,4 +89,13 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x2
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(quality.rule_sql(r) for r in quality.RULES)} AS kept FROM f"""
 
-ORACLE_SQL: dict[str, str] = {"op10_quality": QUALITY_SQL}
+PASSAGES_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS k FROM (SELECT *, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM windows) WHERE n > 1),
+hit AS (SELECT DISTINCT doc_id, i + d AS i FROM twice, range(0, 35) r(d)),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op10_quality": QUALITY_SQL, "op12_passages": PASSAGES_SQL}

@@ -44,6 +44,15 @@ class Scratch:
         out._kept_at = path
         return out
 
+    def keep_by(self, df: DataFrame, column: str, parts: int) -> DataFrame:
+        """Like ``keep``, as a table in ``parts`` buckets by ``column``: groupings by it read it without a shuffle."""
+        self._n += 1
+        path, name = f"{self.root}/{self._n}", f"kept_{uuid.uuid4().hex}"
+        df.repartition(parts, column).write.format("parquet").bucketBy(parts, column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._kept_at = path
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that no later frame reads."""
         path = getattr(df, "_kept_at", None)
