@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, passages, pii, quality, secrets, sharding, simhash, toxicity, url_filter
+from . import bpe, media, packing, passages, phrases, pii, quality, secrets, sharding, simhash, spelling, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,14 +63,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.without_passages(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality, op12_passages)
+    for f in (op1_shards, op2_urls, op3_simhash, op4_packing, op5_toxicity, op6_bpe, op7_media, op8_secrets, op9_pii, op10_quality, op11_phrases, op12_passages, op13_spelling)
 }
 
 #: Everything of ``op10_quality``, its threshold table included.
@@ -89,6 +97,22 @@ m AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x2
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(quality.rule_sql(r) for r in quality.RULES)} AS kept FROM f"""
 
+PHRASES_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang),
+starts AS MATERIALIZED (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split WHERE len(words) > 0),
+runs AS (SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase FROM starts, range(1, 5) r(k) WHERE i + k - 1 <= len(words)),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM runs GROUP BY lang, phrase HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+inner_ AS MATERIALIZED (SELECT DISTINCT lang, a AS longer, array_to_string(list_slice(words, s, s + m - 1), ' ') AS phrase FROM c, range(2, 4) r(m), range(1, 4) q(s) WHERE m < k AND s + m - 1 <= k),
+gone AS MATERIALIZED (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ USING (lang, phrase) WHERE 100 * longer >= 80 * c.a),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score FROM c CROSS JOIN range(1, 4) t(j)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.words, 1, j), ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.words, j + 1, c.k), ' ') WHERE j < c.k),
+best AS (SELECT * FROM cuts ANTI JOIN gone USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 PASSAGES_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(words, i, i + 34), ' ')) AS k FROM (SELECT *, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)),
@@ -98,4 +122,4 @@ each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS
 kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS kept FROM each ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op10_quality": QUALITY_SQL, "op12_passages": PASSAGES_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_quality": QUALITY_SQL, "op11_phrases": PHRASES_SQL, "op12_passages": PASSAGES_SQL}
