@@ -145,17 +145,23 @@ def frequent_phrases(scratch: Scratch, df: DataFrame, lang_col: str, text_col: s
     totals = scratch.keep(totals)
     each = raw.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("chunk", "lang", (F.col("code") + 1).alias("code"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     found = scratch.keep(_frequent(each, ["lang", "word"], least))
-    known = found.where("first").select("gid", "lang", F.array("word").alias("words"), "a")
+    known = scratch.keep(found.where("first").select("gid", "lang", F.array("word").alias("words"), "a"))
     phrases = [known]
-    relation = raw.select("chunk", "body").groupBy("chunk").cogroup(found.select("chunk", "code", "gid").groupBy("chunk")).applyInArrow(_frequent_words, RELATION)
+    longer = raw.select("chunk", "body").groupBy("chunk").cogroup(found.select("chunk", "code", "gid").groupBy("chunk")).applyInArrow(_frequent_words, RELATION)
+    relation, past = dealt(scratch, scratch.keep(longer), "body"), [raw, found]
     for k in range(2, most_words + 1):
-        relation = dealt(scratch, scratch.keep(relation), "body")
+        for gone in past:  # what the next relation was made of
+            scratch.drop(gone)
         found = scratch.keep(_frequent(relation.groupBy("chunk").applyInArrow(_joined, "chunk long, g1 long, g2 long, n long"), ["g1", "g2"], least))
         head, tail = known.select(F.col("gid").alias("g1"), "lang", F.col("words").alias("head")), known.select(F.col("gid").alias("g2"), F.element_at("words", -1).alias("tail"))
         known = scratch.keep(found.where("first").select("gid", "g1", "g2", "a").join(head, "g1").join(tail, "g2").select("gid", "lang", F.array_append("head", F.col("tail")).alias("words"), "a"))
         phrases.append(known)
+        past = [relation, found]
         if k < most_words:
-            relation = relation.groupBy("chunk").cogroup(found.select("chunk", "g1", "g2", "gid").groupBy("chunk")).applyInArrow(_longer, RELATION)
+            longer = relation.groupBy("chunk").cogroup(found.select("chunk", "g1", "g2", "gid").groupBy("chunk")).applyInArrow(_longer, RELATION)
+            relation = dealt(scratch, scratch.keep(longer), "body")
+    for gone in past:
+        scratch.drop(gone)
     out = phrases[0]
     for more in phrases[1:]:
         out = out.union(more)
