@@ -158,7 +158,7 @@ def _unassigned() -> re.Pattern[str]:
 
     Later Unicode versions make some of them letters or digits, and the
     ``regex`` module's version need not be the library's; all other code points
-    split alike in both (tests/llm/test_bpe.py goes through them).
+    split alike in both (tests/llm/test_operators.py goes through them).
     """
     spans: list[list[int]] = []
     for c in range(sys.maxunicode + 1):

@@ -99,16 +99,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 PHRASES_SQL = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+split AS (SELECT lang, row_number() OVER () AS p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
 totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang),
-starts AS MATERIALIZED (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM split WHERE len(words) > 0),
-runs AS (SELECT lang, k, array_to_string(list_slice(words, i, i + k - 1), ' ') AS phrase FROM starts, range(1, 5) r(k) WHERE i + k - 1 <= len(words)),
+w AS (SELECT lang, p, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM split WHERE len(words) > 0),
+ahead AS (SELECT lang, w1, lead(w1, 1) OVER q AS w2, lead(w1, 2) OVER q AS w3, lead(w1, 3) OVER q AS w4 FROM w WINDOW q AS (PARTITION BY p ORDER BY i)),
+runs AS (SELECT lang, 1 AS k, w1 AS phrase FROM ahead UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL),
 f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*) AS a FROM runs GROUP BY lang, phrase HAVING count(*) >= 30),
 c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
 inner_ AS MATERIALIZED (SELECT DISTINCT lang, a AS longer, array_to_string(list_slice(words, s, s + m - 1), ' ') AS phrase FROM c, range(2, 4) r(m), range(1, 4) q(s) WHERE m < k AND s + m - 1 <= k),
 gone AS MATERIALIZED (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_ USING (lang, phrase) WHERE 100 * longer >= 80 * c.a),
-cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score FROM c CROSS JOIN range(1, 4) t(j)
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.words, 1, j), ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.words, j + 1, c.k), ' ') WHERE j < c.k),
+cut AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(list_slice(words, 1, j), ' ') AS head, array_to_string(list_slice(words, j + 1, k), ' ') AS rest FROM c, range(1, 4) t(j) WHERE j < k),
+cuts AS (SELECT cut.lang, cut.phrase, cut.a, j, x.a AS l, y.a AS r, ((2000000::HUGEINT * cut.a) // (x.a + y.a))::BIGINT AS score FROM cut
+  JOIN f x ON x.lang = cut.lang AND x.phrase = cut.head JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest),
 best AS (SELECT * FROM cuts ANTI JOIN gone USING (lang, phrase) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""

@@ -1,72 +1,31 @@
-"""Shared-folder tables, connected components and other helpers of the operators."""
+"""Connected components and other helpers of the operators."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import Scratch
+
 #: Rows an Arrow batch holds at most when whole texts travel to Python workers;
 #: bounds a worker's memory by this many texts at a time.
 TEXT_ROWS_PER_BATCH = 512
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+#: Bytes of an Arrow batch at most, but for a single longer row.
+TEXT_BYTES_PER_BATCH = 32 << 20
 
-class Scratch:
-    """Parquet tables under the checkpoint folder.
-
-    ``keep`` writes a frame and rereads it, which cuts lineage at a place that
-    survives the loss of any executor and gives the planner real sizes.
-    """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._kept_at = path
-        return out
-
-    def keep_by(self, df: DataFrame, column: str, parts: int) -> DataFrame:
-        """Like ``keep``, as a table in ``parts`` buckets by ``column``: groupings by it read it without a shuffle."""
-        self._n += 1
-        path, name = f"{self.root}/{self._n}", f"kept_{uuid.uuid4().hex}"
-        df.repartition(parts, column).write.format("parquet").bucketBy(parts, column).option("path", path).saveAsTable(name)
-        out = self.spark.table(name)
-        out._kept_at = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a kept table that no later frame reads."""
-        path = getattr(df, "_kept_at", None)
-        if path:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
-    """Bound the rows of an Arrow batch for this session if the bound in force is wider."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH, size: int = TEXT_BYTES_PER_BATCH) -> None:
+    """Bound the rows and the bytes of an Arrow batch for this session if the bounds in force are wider."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not (now.rstrip("b").isdecimal() and 0 < int(now.rstrip("b")) <= most):
+            spark.conf.set(key, str(most))
 
 
 #: Contracted edges that one task joins at the end; a bound that does not grow with the input.

@@ -18,8 +18,8 @@ def best_path_score(field, text, tokens):
     f = [secrets.token_features(t) for t in tokens]
     e = np.zeros((len(tokens), 3))
     for t in range(len(tokens)):
-        buckets = [*f[t][:3], secrets.file_feature(text)]
-        buckets += [f[t - k][2 + k] for k in (1, 2, 3) if t >= k] + ([f[t + 1][6]] if t + 1 < len(tokens) else [])
+        buckets = [*f[t][: secrets.OWN], secrets.file_feature(text)]
+        buckets += [f[t - k][secrets.OWN - 1 + k] for k in (1, 2, 3) if t >= k] + ([f[t + 1][secrets.OWN + 3]] if t + 1 < len(tokens) else [])
         e[t] = field.weights[buckets].sum(axis=0)
 
     def score(path):
@@ -102,3 +102,56 @@ def test_url_scores_and_cut_equal_their_definition(spark):
     inside = [low, *[r.score for r in held if low <= r.score < high]]
     candidates = [c + 1e-6 for c in inside if math.isfinite(c)] + ([high] if math.isfinite(high) else [])
     assert max(map(both, candidates)) >= max(both(r.score + d) for r in held for d in (0, 1e-6)) - 0.02
+
+
+def test_the_field_finds_secrets_that_no_pattern_names_and_leaves_text_alone(spark):
+    import random
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()
+    rng = random.Random(7)
+    texts = [r.text for r in rows if r.text and not secrets.base_spans(r.text)]
+    hexes = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+
+    def planted(text, what):
+        at = rng.randrange(len(text) + 1)
+        at = text.find(" ", at)
+        return f"{text} {what}" if at < 0 else f"{text[:at]} {what}{text[at:]}"
+
+    learnt = [planted(t, f'{rng.choice(["token", "api_key", "secret"])} {rng.choice("=:")} "{hexes()}"') if i % 2 else t for i, t in enumerate(texts[:100])]
+    x, y, groups = [], [], []
+    for i, t in enumerate(learnt):
+        for f, labels in secrets.training_windows(t):
+            x.append(f), y.append(labels), groups.append(i)
+    field = secrets.train(np.array(x).reshape(len(x), -1, secrets.SLOTS), np.array(y), np.array(groups))
+    alphabet = secrets.ALNUM
+    found = planted_ = false = words = 0
+    for i, t in enumerate(texts[100:]):
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.randrange(16, 30)))
+        form = rng.choice(["pwd: {}", 'auth = "{}"', "credential={}", "bearer : {}", "private_key = sk_{}"])
+        what = form.format(secret)
+        if i % 2 and sum(a.isdigit() != b.isdigit() for a, b in zip(secret, secret[1:])) >= 4:
+            t = planted(t, what)
+            planted_ += 1
+        spans = [t[a:b] for a, b in field.extra(t, secrets.base_spans(t))]
+        hit = [s for s in spans if secret in s]
+        found += bool(hit)
+        false += len(spans) - len(hit)
+        words += len(t.split())
+    assert planted_ > 20 and found >= 0.9 * planted_ and false <= words / 20_000
+
+
+def test_caution_and_held_out_windows():
+    w = np.zeros((secrets.BUCKETS, 3))
+    field = secrets.Field(w, np.zeros((3, 3)))
+    wary = secrets.cautious(field, 2.0)
+    assert wary.weights[secrets.file_feature("a = 1"), secrets.O] == 2.0 and not w.any()
+    none = secrets.train(np.zeros((4, 17, secrets.SLOTS), dtype=np.int64), np.zeros((4, 17), dtype=np.int8))
+    assert none.extra("token = abcdef123456", []) == []
+
+
+def test_second_windows_hide_the_key_and_respell_the_secret():
+    text = "lorem ipsum dolor sit amet token = 04dbebab91ab85687d33eeaaf9ac699e1188f962 consectetur"
+    plain, other = secrets.training_windows(text)
+    assert plain[1] == other[1] and plain[0] != other[0]
+    assert secrets.respelt("abc") == secrets.respelt("abc") != secrets.respelt("abd") and 12 <= len(secrets.respelt("abc")) <= 32
+    assert len(secrets.training_windows("no secret here")) <= secrets.WINDOWS and secrets.training_windows("") == []
