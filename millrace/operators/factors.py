@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.tails import moving_tail, moving_ulcer
+
 EPS = 1e-10
 YEAR, LEAST = 252, 60
 
@@ -70,6 +72,45 @@ def bollinger(n: int = 20) -> Column:
     return (close - (mean - 2 * dev)) / (4 * dev + EPS)
 
 
+def whole() -> WindowSpec:
+    return Window.partitionBy("stock_id")
+
+
+def frame_sums(n: int, **terms: Column) -> Column:
+    """A struct of the sums of ``terms`` over the last ``n`` rows, nulls left out: differences of sums so far.
+
+    Each row costs the same whatever ``n``. Sums of m terms of size M at most
+    are off by up to 2 m**2 M 2**-53, and by about the root of m in place of m
+    for terms of either sign, so terms should be centred.
+    """
+    so_far = stock().rowsBetween(Window.unboundedPreceding, 0)
+    now = F.struct(*[F.sum(F.coalesce(v.cast("double"), F.lit(0.0))).over(so_far).alias(k) for k, v in terms.items()])
+    ends = F.struct(now.alias("now"), F.lag(now, n).over(stock()).alias("then"))
+    minus = lambda e: F.struct(*[(e["now"][k] - F.coalesce(e["then"][k], F.lit(0.0))).alias(k) for k in terms])
+    return F.transform(F.array(ends), minus)[0]
+
+
+def from_sums(sums: Column, formula: Callable[[Column], Column]) -> Column:
+    """``formula`` of the struct ``sums``, which is computed once."""
+    return F.transform(F.array(sums), formula)[0]
+
+
+def known(x: Column) -> Column:
+    return F.when(x.isNotNull(), 1.0)
+
+
+def moving_mean(x: Column, n: int, least: int) -> Column:
+    """Mean of the last ``n`` rows' values, null under ``least``; the sums are of differences from the whole mean."""
+    mean = F.avg(x).over(whole())
+    return from_sums(frame_sums(n, c=known(x), x=x - mean), lambda s: F.when(s["c"] >= least, s["x"] / s["c"])) + mean
+
+
+def moving_dev(x: Column, n: int, least: int) -> Column:
+    """Deviation of the last ``n`` rows' values, null under ``least``."""
+    off = x - F.avg(x).over(whole())
+    return from_sums(frame_sums(n, c=known(off), x=off, xx=off * off), lambda s: F.when(s["c"] >= least, F.sqrt(F.greatest((s["xx"] - s["x"] * s["x"] / s["c"]) / (s["c"] - 1), F.lit(0.0)))))
+
+
 def market() -> Column:
     """The stock's own mean return so far, which stands for the market where no market return is given."""
     return F.avg("return").over(stock().rowsBetween(Window.unboundedPreceding, 0))
@@ -78,8 +119,13 @@ def market() -> Column:
 def beta(x: Column, y: Column, n: int = YEAR, least: int = LEAST) -> Column:
     """Rolling slope of ``x`` on ``y`` over complete pairs; null unless ``y`` varies."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    var = rolling(F.var_samp, y, n, least)
-    return F.when(var > EPS, F.covar_samp(x, y).over(last(n)) / var)
+    a, b = x - F.avg(x).over(whole()), y - F.avg(y).over(whole())
+
+    def slope(s: Column) -> Column:
+        spread, joint = s["bb"] - s["b"] * s["b"] / s["c"], s["ab"] - s["a"] * s["b"] / s["c"]
+        return F.when((s["c"] >= least) & (spread / (s["c"] - 1) > EPS), joint / spread)
+
+    return from_sums(frame_sums(n, c=known(b), a=a, b=b, ab=a * b, bb=b * b), slope)
 
 
 def beta_down(mkt: Column | None = None) -> Column:
@@ -89,17 +135,22 @@ def beta_down(mkt: Column | None = None) -> Column:
 
 
 def residual_risk(mkt: Column) -> Column:
-    return rolling(F.stddev_samp, F.col("return") - beta(F.col("return"), mkt) * mkt, YEAR, LEAST)
+    return moving_dev(F.col("return") - beta(F.col("return"), mkt) * mkt, YEAR, LEAST)
 
 
 def comoment(power: int) -> Column:
     """Rolling co-skewness (2) or co-kurtosis (3) of returns centred on their whole mean."""
-    ret, mkt, whole = F.col("return"), market(), Window.partitionBy("stock_id")
-    a, b = ret - F.avg(ret).over(whole), mkt - F.avg(mkt).over(whole)
-    sa, sb = rolling(F.stddev_samp, a, YEAR, LEAST), rolling(F.stddev_samp, b, YEAR, LEAST)
-    scale = F.pow(sa, F.lit(1.5)) * sb if power == 2 else F.sqrt(sa * sa * sb * sb)
+    ret, mkt = F.col("return"), market()
+    a, b = ret - F.avg(ret).over(whole()), mkt - F.avg(mkt).over(whole())
     product = a * b * b if power == 2 else a * b * b * b
-    return rolling(F.avg, product, YEAR, LEAST) / (scale + EPS)
+
+    def of(s: Column) -> Column:
+        dev = lambda x, xx: F.sqrt(F.greatest((s[xx] - s[x] * s[x] / s["c"]) / (s["c"] - 1), F.lit(0.0)))
+        sa, sb = dev("a", "aa"), dev("b", "bb")
+        scale = F.pow(sa, F.lit(1.5)) * sb if power == 2 else F.sqrt(sa * sa * sb * sb)
+        return F.when(s["c"] >= LEAST, s["p"] / s["c"] / (scale + EPS))
+
+    return from_sums(frame_sums(YEAR, c=known(a), a=a, b=F.when(a.isNotNull(), b), aa=a * a, bb=F.when(a.isNotNull(), b * b), p=product), of)
 
 
 def tail(share: float, mean: bool) -> Column:
@@ -209,7 +260,7 @@ REGISTRY: dict[str, Factor] = {
     "ivol_capm": Factor(("return",), "ts", lambda: residual_risk(market()), ("mkt_return", lambda: residual_risk(F.col("mkt_return")))),
     "rsi_14": Factor(("close",), "ts", rsi),
     "bb_width": Factor(("close",), "ts", bollinger),
-    "amihud_illiq": Factor(("return", "close", "volume"), "ts", lambda: 1e6 * rolling(F.avg, F.abs("return") / (F.col("close") * F.col("volume") + EPS), YEAR, LEAST)),
+    "amihud_illiq": Factor(("return", "close", "volume"), "ts", lambda: 1e6 * moving_mean(F.abs("return") / (F.col("close") * F.col("volume") + EPS), YEAR, LEAST)),
     "turnover": Factor(("volume", "shares_outstanding"), "ts", lambda: rolling(F.avg, _shares_traded(), 21, 5), ("turnover", lambda: rolling(F.avg, F.col("turnover"), 21, 5))),
     "dollar_volume": Factor(("close", "volume"), "ts", lambda: F.log(rolling(F.avg, F.col("close") * F.col("volume"), 21, 5))),
     "accruals": Factor((*BALANCE, "depreciation", "total_assets"), "ts", accruals),
@@ -236,7 +287,21 @@ def factor(panel: DataFrame, name: str) -> Column:
     return spec.build() if set(spec.requires) <= set(panel.columns) else F.lit(None).cast("double")
 
 
+#: Factors from a sorted window, which is no column: what they need and the frame that has them.
+MOVING = {"var_95": ("return", moving_tail), "cvar_95": ("return", moving_tail), "ulcer_index": ("close", moving_ulcer)}
+
+
 def compute_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """``(stock_id, date, factors..)``: all windows share one partitioning, so one shuffle by stock."""
+    """``(stock_id, date, factors..)``: all windows share one partitioning, so one shuffle by stock.
+
+    Those of ``MOVING`` come from frames of their own, joined by stock and
+    date; with them a panel has one row of these.
+    """
     names = list(REGISTRY) if names is None else names
-    return panel.select("stock_id", "date", *[factor(panel, n).cast("double").alias(n) for n in names])
+    apart = {n for n in names if n in MOVING and MOVING[n][0] in panel.columns}
+    out = panel.select("stock_id", "date", *[factor(panel, n).cast("double").alias(n) for n in names if n not in apart])
+    for make in dict.fromkeys(MOVING[n][1] for n in names if n in apart):
+        own = [n for n in names if n in apart and MOVING[n][1] is make]
+        frame = make(panel).select("stock_id", "date", *own)
+        out = frame if len(own) == len(names) else out.join(frame, ["stock_id", "date"], "left")
+    return out.select("stock_id", "date", *names)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.language import evaluate
+from millrace.operators.boosting import LEAF_WISE, SECOND_ORDER, Growth, boosted_selection
 from millrace.operators.neural import neural_selection
 from millrace.operators.summary import ic_series
 
@@ -145,24 +146,22 @@ def early_end(data: DataFrame, share: float = 0.8):
 
 
 def tree_selection(data: DataFrame, factors: Sequence[str], kind: str = "forest", top: int = 10, seed: int = 42, **options) -> dict[str, float]:
-    """The ``top`` importances of a random forest or of boosted trees.
-
-    Boosting of sampled trees stops where the error on the last fifth of the rows by date rises.
-    """
+    """The ``top`` importances of a random forest or of boosted trees."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
     made = {
         "forest": lambda: RandomForestRegressor(**({"numTrees": 500, "maxDepth": 6, "minInstancesPerNode": 20, "seed": seed} | options)),
         "boosted": lambda: GBTRegressor(**({"maxIter": 200, "stepSize": 0.05, "maxDepth": 4, "seed": seed} | options)),
-        "sampled": lambda: GBTRegressor(**({"maxIter": 300, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | options)),
     }[kind]()
-    if kind == "sampled" and (end := early_end(data)) is not None:
-        data = data.withColumn("later", F.col("date") > F.lit(end))
-        made.setParams(validationIndicatorCol="later", validationTol=0.0)
     weights = made.fit(data).featureImportances.toArray()
     return dict(sorted(((f, float(w)) for f, w in zip(factors, weights, strict=True) if w > 0), key=lambda x: -x[1])[:top])
 
 
+def histogram_selection(data: DataFrame, factors: Sequence[str], how: Growth = SECOND_ORDER, top: int = 10) -> dict[str, float]:
+    """``boosted_selection`` that stops by the last fifth of the rows by date."""
+    return boosted_selection(data, factors, how, early_end(data), top)
+
+
 def ridge_selection(data: DataFrame, factors: Sequence[str], least: float = 1.0, steps: int = 300) -> dict[str, float]:
     """Bayesian ridge by evidence maximisation; factors whose coefficient exceeds ``least`` deviations.
 
@@ -245,7 +244,7 @@ def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 3
 #: Every selector with its own parameters.
 METHODS = {
     "ridge": ridge_selection, "lasso": linear_selection, "elastic": elastic_selection, "neural": neural_selection, "forest": tree_selection,
-    "boosted": partial(tree_selection, kind="boosted"), "sampled": partial(tree_selection, kind="sampled"),
+    "boosted": partial(tree_selection, kind="boosted"), "second_order": histogram_selection, "leaf_wise": partial(histogram_selection, how=LEAF_WISE),
 }
 
 

@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.cross import winsorized, with_cross, zscore
+from millrace.functions.order import cumulative, quantiles
+from millrace.sources.scratch import settled
+
 EPS = 1e-10
 
 
 def standardized(panel: DataFrame, factors: Sequence[str], limit: float = 0.01) -> DataFrame:
-    """``panel`` with ``<factor>_z``: clipped to the date's ``limit`` and 1 - ``limit`` quantiles, then the distance from the clipped mean in deviations.
-
-    Bounds, means and deviations are aggregated per date and joined back, so
-    a date's rows never meet in one task.
-    """
-    bounds = panel.groupBy("date").agg(*[F.percentile(f, F.array(F.lit(limit), F.lit(1 - limit))).alias(f"_b_{f}") for f in factors])
-    wide = panel.join(bounds, "date")
-    clip = lambda f: F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.col(f"_b_{f}")[0]), F.col(f"_b_{f}")[1]))
-    wide = wide.withColumns({f"_c_{f}": clip(f) for f in factors})
-    moments = wide.groupBy("date").agg(*[x for f in factors for x in (F.avg(f"_c_{f}").alias(f"_m_{f}"), F.stddev_samp(f"_c_{f}").alias(f"_s_{f}"))])
-    out = wide.join(moments, "date")
-    return out.select(*panel.columns, *[((F.col(f"_c_{f}") - F.col(f"_m_{f}")) / (F.col(f"_s_{f}") + EPS)).alias(f"{f}_z") for f in factors])
+    """``panel`` with ``<factor>_z``: clipped to the date's ``limit`` and 1 - ``limit`` quantiles, then the distance from the clipped mean in deviations."""
+    clipped = with_cross(panel, {f"_c_{f}": winsorized(F.col(f), limit) for f in factors})
+    scored = with_cross(clipped, {f"{f}_z": zscore(F.col(f"_c_{f}"), EPS) for f in factors})
+    return scored.select(*panel.columns, *[f"{f}_z" for f in factors])
 
 
 def enough_factors(panel: DataFrame, factors: Sequence[str], least: int | None = None) -> DataFrame:
@@ -77,12 +73,9 @@ def union_of(*selections: Sequence[str], most: int = 15) -> list[str]:
     return sorted(votes, key=lambda n: (-votes[n], n))[:most]
 
 
-def box(x: Column) -> Column:
-    """Quartiles of a group."""
-    return F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-
-
 def distribution(panel: DataFrame, factor: str, k: int = 1) -> DataFrame:
     """``(date, low, q25, q50, q75, high, n)`` of the factor on every ``k``-th date."""
-    q = every_kth_date(panel, k).groupBy("date").agg(F.min(factor).alias("low"), box(F.col(factor)).alias("_q"), F.max(factor).alias("high"), F.count(factor).alias("n"))
-    return q.select("date", "low", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "high", "n")
+    rows = settled(every_kth_date(panel, k).select("date", F.col(factor).alias("x")))
+    q = quantiles(cumulative(rows, ("date",), "x"), ("date",), "x", (0.25, 0.5, 0.75), "_q")
+    ends = rows.groupBy("date").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n"))
+    return ends.join(q, "date", "left").select("date", "low", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "high", "n")

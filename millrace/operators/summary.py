@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.cross import pct_rank
+from millrace.functions.cross import bucket, pct_rank, with_cross
 from millrace.operators.testing import EPS, LEAST_NAMES, YEAR, correlation
 
 
@@ -19,15 +19,16 @@ def long_factors(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1
 
 def ic_series(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_ret", least: int = 10) -> DataFrame:
     """``(factor, date, ic, n)``: rank coefficients of dates with ``least`` pairs or more."""
-    ranked = long_factors(panel, factors, ret).select("factor", "date", pct_rank(F.col("x"), "factor").alias("x"), pct_rank(F.col("r"), "factor").alias("r"))
+    ranked = with_cross(long_factors(panel, factors, ret), {"x": pct_rank(F.col("x")), "r": pct_rank(F.col("r"))}, ("factor", "date"))
     out = ranked.groupBy("factor", "date").agg(correlation(F.col("x"), F.col("r")).alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
 
 def scalar_ic(panel: DataFrame, factor: str, ret: str = "forward_1d_ret") -> DataFrame:
-    """One row ``(ic, n)``: the coefficient of all pairs, whatever their date."""
+    """One row ``(ic, n)``: the rank coefficient of all pairs, whatever their date."""
     pairs = panel.select(F.col(factor).alias("x"), F.col(ret).alias("y")).where("x is not null and y is not null")
-    return pairs.agg(correlation(F.col("x"), F.col("y")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    ranked = with_cross(pairs.withColumn("_all", F.lit(0)), {"x": pct_rank(F.col("x")), "y": pct_rank(F.col("y"))}, ("_all",))
+    return ranked.agg(correlation(F.col("x"), F.col("y")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def rolling_ic(ic: DataFrame, days: int = 22, least: int = 5) -> DataFrame:
@@ -37,12 +38,10 @@ def rolling_ic(ic: DataFrame, days: int = 22, least: int = 5) -> DataFrame:
 
 
 def group_returns(panel: DataFrame, factors: Sequence[str], groups: int = 5, ret: str = "forward_1d_ret") -> DataFrame:
-    """``(factor, date, grp, ret)``; edges are aggregated per factor and date and joined back."""
-    rows = long_factors(panel, factors, ret)
-    shares = F.array(*[F.lit(i / groups) for i in range(groups + 1)])
-    edges = rows.groupBy("factor", "date").agg(F.array_distinct(F.percentile("x", shares)).alias("_e"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 5 * groups)
-    grp = F.greatest(F.size(F.filter("_e", lambda e: e < F.col("x"))) - 1, F.lit(0))
-    return rows.join(edges, ["factor", "date"]).groupBy("factor", "date", grp.alias("grp")).agg(F.avg("r").alias("ret"))
+    """``(factor, date, grp, ret)`` of dates with five names a bucket or more."""
+    rows, by = long_factors(panel, factors, ret), ("factor", "date")
+    enough = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 5 * groups)
+    return with_cross(rows.join(enough, list(by), "left_semi"), {"grp": bucket(F.col("x"), groups)}, by).groupBy(*by, "grp").agg(F.avg("r").alias("ret"))
 
 
 def long_short(returns: DataFrame) -> DataFrame:
@@ -103,13 +102,25 @@ def test_factors(panel: DataFrame, factors: Sequence[str], groups: int = 10, ret
 test_factors.__test__ = False  # no test of pytest's
 
 
-def analysis(summary: DataFrame, ic: float = 0.01, sharpe: float = 0.5, t: float = 1.96) -> DataFrame:
-    """One row: factors with a notable coefficient, portfolio, regression, with the first two at once, and a verdict."""
+def analysis(summary: DataFrame, ic: float = 0.01, sharpe: float = 0.5, t: float = 1.96, good: float = 0.3, steady: float = 0.55) -> DataFrame:
+    """One row on ``test_factors``' rows.
+
+    Numbers of factors with a notable coefficient, portfolio or regression and
+    with the first two at once; the factor of the best ratio (of equals the
+    first by name) and its Sharpe ratio; those whose coefficient is positive on
+    more than ``steady`` of the dates, and the notable ones less these. Quality:
+    ``high`` if over ``good`` of all factors have both, ``medium`` if any has,
+    else ``low``. Without factors all is null or zero and the quality low.
+    """
     high = F.abs("mean_ic") > ic
     strong = F.abs("ls_sharpe") > sharpe
-    out = summary.agg(F.count(F.lit(1)).alias("n_factors"), F.count_if(high).alias("n_ic"), F.count_if(strong).alias("n_sharpe"), F.count_if(F.abs("fm_t") > t).alias("n_t"),
-                      F.count_if(high & strong).alias("n_both"), F.avg((F.col("mean_ic") > 0).cast("double")).alias("positive_ic"))
-    return out.withColumn("quality", F.when(F.col("n_both") >= 5, "good").when(F.col("n_both") >= 2, "fair").otherwise("weak"))
+    first = F.struct(F.coalesce(-F.col("ir"), F.lit(float("inf"))).alias("o"), "factor", F.col("ls_sharpe").alias("s"))
+    out = summary.agg(F.count(F.lit(1)).alias("n_factors"), F.count_if(high).alias("valid_ic"), F.count_if(strong).alias("valid_sharpe"), F.count_if(F.abs("fm_t") > t).alias("valid_fm"),
+                      F.count_if(high & strong).alias("valid_overall"), F.min(first).alias("_b"), F.count_if(F.col("ic_positive") > steady).alias("stable_ic_direction"))
+    share = F.try_divide("valid_overall", "n_factors")
+    return out.select("n_factors", "valid_ic", "valid_sharpe", "valid_fm", "valid_overall", F.col("_b.factor").alias("best_factor"), F.col("_b.s").alias("best_sharpe"),
+                      F.when(share > good, "high").when(F.col("valid_overall") > 0, "medium").otherwise("low").alias("quality"),
+                      "stable_ic_direction", (F.col("valid_ic") - F.col("stable_ic_direction")).alias("unstable_ic_direction"))
 
 
 def best_and_worst(summary: DataFrame, by: str = "ir", best: int = 3, worst: int = 2) -> DataFrame:
@@ -122,7 +133,7 @@ def best_and_worst(summary: DataFrame, by: str = "ir", best: int = 3, worst: int
 def complete_correlation(panel: DataFrame, factors: Sequence[str], least: int = 10) -> DataFrame:
     """``(left_factor, right_factor, rho, n_periods)`` over rows that have all factors: each is ranked once, one aggregation serves all pairs."""
     rows = panel.select("date", *[F.col(f).cast("double").alias(f) for f in factors]).na.drop()
-    ranked = rows.select("date", *[pct_rank(F.col(f)).alias(f) for f in factors])
+    ranked = with_cross(rows, {f: pct_rank(F.col(f)) for f in factors})
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
     per_day = ranked.groupBy("date").agg(*[correlation(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)], F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     means = per_day.agg(*[F.struct(F.lit(a).alias("left_factor"), F.lit(b).alias("right_factor"), F.avg(f"_{i}").alias("rho"), F.count(f"_{i}").alias("n_periods")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.cross import bucket, pct_rank
+from millrace.functions.cross import bucket, pct_rank, with_cross
+from millrace.sources.scratch import settled
 
 EPS = 1e-10
 YEAR = 252
@@ -26,7 +29,7 @@ def daily_ic(panel: DataFrame, factor: str, ret: str = "forward_1d_ret", method:
     """``(date, ic, n)`` of dates with ``least`` complete pairs or more."""
     pairs = panel.select("date", F.col(factor).alias("x"), F.col(ret).alias("y")).where("x is not null and y is not null")
     if method == "spearman":
-        pairs = pairs.select("date", pct_rank(F.col("x")).alias("x"), pct_rank(F.col("y")).alias("y"))
+        pairs = with_cross(pairs, {"x": pct_rank(F.col("x")), "y": pct_rank(F.col("y"))})
     out = pairs.groupBy("date").agg(correlation(F.col("x"), F.col("y")).alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.where((F.col("n") >= least) & F.col("ic").isNotNull())
 
@@ -44,7 +47,7 @@ def ic_decay(panel: DataFrame, factor: str, lags: int = 20, least: int = LEAST_N
     ahead = F.array(*[F.struct(F.lit(k).alias("lag"), F.lead("return", k).over(stock).alias("y")) for k in range(1, lags + 1)])
     pairs = panel.select("date", F.col(factor).alias("x"), ahead.alias("a")).select("date", "x", F.explode("a").alias("a"))
     pairs = pairs.select("date", "x", "a.lag", "a.y").where("x is not null and y is not null")
-    ranked = pairs.select("date", "lag", pct_rank(F.col("x"), "lag").alias("x"), pct_rank(F.col("y"), "lag").alias("y"))
+    ranked = with_cross(pairs, {"x": pct_rank(F.col("x")), "y": pct_rank(F.col("y"))}, ("date", "lag"))
     ic = ranked.groupBy("lag", "date").agg(correlation(F.col("x"), F.col("y")).alias("ic"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return ic.groupBy("lag").agg(F.avg("ic").alias("mean_ic"), F.count("ic").alias("n_periods"))
 
@@ -58,13 +61,17 @@ def half_life(decay: DataFrame) -> DataFrame:
 def bucketed(panel: DataFrame, factor: str, groups: int, ret: str = "forward_1d_ret", least: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``(date, stock_id, grp, r, keep..)`` of dates with five names a bucket or more."""
     pairs = panel.select("date", "stock_id", F.col(factor).alias("x"), F.col(ret).alias("r"), *keep).where("x is not null and r is not null")
-    enough = F.count(F.lit(1)).over(Window.partitionBy("date")) >= (5 * groups if least is None else least)
-    return pairs.withColumn("_enough", enough).where("_enough").select("date", "stock_id", bucket(F.col("x"), groups).alias("grp"), "r", *keep)
+    sizes = pairs.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= (5 * groups if least is None else least))
+    return with_cross(pairs.join(sizes, "date", "left_semi"), {"grp": bucket(F.col("x"), groups)}).select("date", "stock_id", "grp", "r", *keep)
 
 
 def group_returns(panel: DataFrame, factor: str, groups: int = 5, ret: str = "forward_1d_ret", weight: str | None = None) -> DataFrame:
     """``(date, grp, ret)``, equally weighted or by ``weight`` where its sum is positive."""
-    rows = bucketed(panel, factor, groups, ret, keep=[weight] if weight else [])
+    return bucket_returns(bucketed(panel, factor, groups, ret, keep=[weight] if weight else []), weight)
+
+
+def bucket_returns(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """``group_returns`` of rows that have their buckets."""
     mean = F.avg("r")
     if weight:
         total = F.sum(weight)
@@ -77,11 +84,16 @@ def membership_turnover(panel: DataFrame, factor: str, groups: int = 5, ret: str
 
     Names are joined with themselves one date on, so no bucket's names meet in one row.
     """
-    rows = bucketed(panel, factor, groups, ret).select("date", "grp", "stock_id")
+    return bucket_turnover(bucketed(panel, factor, groups, ret))
+
+
+def bucket_turnover(rows: DataFrame) -> DataFrame:
+    """``membership_turnover`` of rows that have their buckets."""
+    rows = rows.select("date", "grp", "stock_id")
     dates = rows.select("date").distinct()
     order = dates.select("date", F.lag("date").over(Window.orderBy("date")).alias("before"))  # one row per date
     now = rows.groupBy("date", "grp").agg(F.count(F.lit(1)).alias("n"))
-    kept = rows.join(F.broadcast(order), "date").alias("a").join(
+    kept = rows.join(order, "date").alias("a").join(
         rows.alias("b"), (F.col("a.before") == F.col("b.date")) & (F.col("a.grp") == F.col("b.grp")) & (F.col("a.stock_id") == F.col("b.stock_id")))
     kept = kept.groupBy(F.col("a.date").alias("date"), F.col("a.grp").alias("grp")).agg(F.count(F.lit(1)).alias("both"))
     was = now.select(F.col("date").alias("before"), "grp", F.col("n").alias("m"))
@@ -92,8 +104,8 @@ def membership_turnover(panel: DataFrame, factor: str, groups: int = 5, ret: str
 
 def net_group_returns(panel: DataFrame, factor: str, groups: int = 5, bps: float = 10.0) -> DataFrame:
     """Bucket returns less ``bps`` on the names exchanged; the first date is free."""
-    moved = membership_turnover(panel, factor, groups)
-    return group_returns(panel, factor, groups).join(moved, ["date", "grp"]).select(
+    rows = settled(bucketed(panel, factor, groups))
+    return bucket_returns(rows).join(bucket_turnover(rows), ["date", "grp"]).select(
         "date", "grp", (F.col("ret") - F.coalesce("turnover", F.lit(0.0)) * (bps / 1e4)).alias("ret"))
 
 
@@ -119,47 +131,95 @@ def regressions(panel: DataFrame, factor: str, ret: str = "forward_1d_ret", leas
     return out.where((F.col("n") >= least) & F.col("slope").isNotNull()).drop("n")
 
 
-def many_regressions(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_ret") -> DataFrame:
-    """``(date, coefficients array)`` with intercept first; each date's least squares of least norm.
+#: Dates whose factors a task holds before it hands them on, and pieces in which a date's factors are merged first.
+HELD_DATES, MERGED_APART = 4096, 16
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The upper triangle R of rows = QR, with as many rows as columns at most: all that least squares needs of the rows."""
+    return np.linalg.qr(rows, mode="r")
 
-    Only sums of products per date leave the executors' partial aggregation, so a date's rows never meet in one task.
+
+def _merged(parts: Sequence[np.ndarray], width: int) -> np.ndarray:
+    return _triangle(np.concatenate([np.asarray(p, dtype=float).reshape(-1, width) for p in parts]))
+
+
+def many_regressions(panel: DataFrame, factors: Sequence[str], ret: str = "forward_1d_ret") -> DataFrame:
+    """``(date, coefficients array)`` with intercept first; each date's least squares of least norm, null dates included.
+
+    A task turns its rows of a date into a triangle of the size of the
+    factors; triangles are merged in two steps, so a date's rows never meet in
+    one task and no product of columns loses digits. Directions that are
+    nothing beside the greatest one, as by repeated columns, get no weight.
+    Rows with a null or NaN value are left out, and dates with fewer than
+    2 k + 10 rows.
     """
-    cols = ["_one", *factors]
-    rows = panel.select("date", F.lit(1.0).alias("_one"), *factors, F.col(ret).alias("_y")).na.drop()
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = rows.groupBy("date").agg(
-        F.array(*[F.sum(F.col(cols[i]) * F.col(cols[j])) for i, j in pairs]).alias("xx"),
-        F.array(*[F.sum(F.col(c) * F.col("_y")) for c in cols]).alias("xy"), F.count(F.lit(1)).alias("n"))
-
-    @F.pandas_udf("array<double>")
-    def solved(xx: pd.Series, xy: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(xx, xy, strict=True):
-            m = np.zeros((len(b), len(b)))
-            for (i, j), v in zip(pairs, a, strict=True):
-                m[i, j] = m[j, i] = v
-            out.append(np.linalg.lstsq(m, np.asarray(b), rcond=None)[0])
-        return pd.Series(out)
-
-    return sums.where(F.col("n") >= 2 * len(factors) + 10).select("date", solved("xx", "xy").alias("coefficients"))
-
-
-def newey_west(series: DataFrame, value: str) -> DataFrame:
+    k = len(factors)
+    width = k + 2
+    rows = panel.select("date", *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(factors)], F.col(ret).cast("double").alias("y")).na.drop(subset=[*[f"x{i}" for i in range(k)], "y"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> pa.RecordBatch:
+            dates, parts = pa.array(list(held), kind), list(held.values())
+            return pa.RecordBatch.from_arrays([dates, pa.array([r.ravel() for r, _ in parts], pa.list_(pa.float64())), pa.array([n for _, n in parts], pa.int64())], names=["date", "r", "n"])
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            codes = b.column(0).dictionary_encode(null_encoding="encode")
+            code = codes.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            x = np.column_stack([np.ones(b.num_rows), *[b.column(1 + i).to_numpy() for i in range(k + 1)]])[order]
+            ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order))
+            names = codes.dictionary.to_pylist()
+            for a, e in zip([0, *ends[:-1]], ends, strict=True):
+                if e > a:
+                    date = names[code[order[a]]]
+                    before, n = held.get(date, (np.zeros((0, width)), 0))
+                    held[date] = (_triangle(np.concatenate([before, x[a:e]])), n + int(e - a))
+            if len(held) > HELD_DATES:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    def merge(group: pa.Table) -> pa.Table:
+        r = _merged(group.column("r").to_pylist(), width)
+        return pa.table({"date": group.column("date").slice(0, 1), "r": pa.array([r.ravel()], pa.list_(pa.float64())), "n": pa.array([pa.compute.sum(group.column("n")).as_py()], pa.int64())})
+
+    def solve(group: pa.Table) -> pa.Table:
+        r, n = _merged(group.column("r").to_pylist(), width), pa.compute.sum(group.column("n")).as_py()
+        if n < 2 * k + 10:
+            return pa.table({"date": group.column("date").slice(0, 0), "coefficients": pa.array([], pa.list_(pa.float64()))})
+        found = np.linalg.lstsq(r[:, :-1], r[:, -1], rcond=np.finfo(float).eps * max(n, k + 1))[0]
+        return pa.table({"date": group.column("date").slice(0, 1), "coefficients": pa.array([found], pa.list_(pa.float64()))})
+
+    kind = rows.schema["date"].dataType
+    part = T.StructType([T.StructField("date", kind), T.StructField("r", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    parts = rows.mapInArrow(first, part)
+    some = parts.groupBy("date", F.pmod(F.xxhash64("r"), F.lit(MERGED_APART)).alias("_p")).applyInArrow(lambda g: merge(g), part)
+    return some.groupBy("date").applyInArrow(lambda g: solve(g), T.StructType([T.StructField("date", kind), T.StructField("coefficients", T.ArrayType(T.DoubleType()))]))
+
+
+def newey_west(series: DataFrame, value: str, most_lags: int = 16) -> DataFrame:
     """``(mean, se, n)`` of a date-indexed series with Bartlett weights over floor(n ** 1/4) lags.
 
-    ``series`` has one row per date, so its order by date is one small window.
+    ``series`` has one row per date, so its order by date is one small window;
+    ``most_lags`` lags are prepared, which 17 ** 4 - 1 dates do not exceed.
     """
-    n = series.where(F.col(value).isNotNull()).count()
-    lags = max(0, min(int(n**0.25), n - 2))
+    e = series.where(F.col(value).isNotNull()).select("date", F.col(value).alias("v"))
     whole, by_date = Window.partitionBy(), Window.orderBy("date")
-    e = series.where(F.col(value).isNotNull()).select("date", F.col(value).alias("v"), (F.col(value) - F.avg(value).over(whole)).alias("e"))
-    terms = e.select("v", "e", *[(F.col("e") * F.lag("e", k).over(by_date)).alias(f"g{k}") for k in range(1, lags + 1)])
+    e = e.select("date", "v", (F.col("v") - F.avg("v").over(whole)).alias("e"), F.count("v").over(whole).alias("t"))
+    lags = F.greatest(F.lit(0), F.least(F.floor(F.pow(F.col("t"), F.lit(0.25)) + 1e-9), F.col("t") - 2))
+    terms = e.select("v", "e", "t", lags.alias("l"), *[(F.col("e") * F.lag("e", k).over(by_date)).alias(f"g{k}") for k in range(1, most_lags + 1)])
+    n, l = F.max("t"), F.max("l")  # noqa: E741
     var = F.avg(F.col("e") * F.col("e"))
-    for k in range(1, lags + 1):
-        var = var + 2 * (1 - k / (lags + 1)) * F.coalesce(F.avg(f"g{k}"), F.lit(0.0))
-    count = F.count("v")
-    se = F.when(var > 0, F.sqrt(F.try_divide(var, count))).otherwise(F.try_divide(F.stddev_pop("v"), F.sqrt(count)))
-    return terms.agg(F.avg("v").alias("mean"), se.alias("se"), count.alias("n"))
+    for k in range(1, most_lags + 1):
+        var = var + F.when(l >= k, 2 * (1 - k / (l + 1)) * F.coalesce(F.avg(f"g{k}"), F.lit(0.0))).otherwise(0.0)
+    se = F.when(var > 0, F.sqrt(F.try_divide(var, n))).otherwise(F.try_divide(F.stddev_pop("v"), F.sqrt(n)))
+    return terms.agg(F.avg("v").alias("mean"), se.alias("se"), F.count("v").alias("n"))
 
 
 def fama_macbeth(panel: DataFrame, factor: str, ret: str = "forward_1d_ret") -> DataFrame:
@@ -170,12 +230,13 @@ def fama_macbeth(panel: DataFrame, factor: str, ret: str = "forward_1d_ret") ->
 
 
 def factor_correlation(panel: DataFrame, factors: Sequence[str], least: int = 10) -> DataFrame:
-    """``(left_factor, right_factor, rho, n_periods)``: mean over dates of rank correlations, each pair over its complete rows."""
-    out = None
-    for a, b in combinations(factors, 2):
-        pairs = panel.select("date", F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
-        ranked = pairs.select("date", pct_rank(F.col("x")).alias("x"), pct_rank(F.col("y")).alias("y"))
-        per_day = ranked.groupBy("date").agg(correlation(F.col("x"), F.col("y")).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        one = per_day.agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_periods")).select(F.lit(a).alias("left_factor"), F.lit(b).alias("right_factor"), "rho", "n_periods")
-        out = one if out is None else out.union(one)
-    return out
+    """``(left_factor, right_factor, rho, n_periods)``: mean over dates of rank correlations, each pair over its complete rows.
+
+    One frame holds the rows of all pairs, ranked once within pair and date.
+    """
+    pairs = [F.struct(F.lit(a).alias("left_factor"), F.lit(b).alias("right_factor"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(factors, 2)]
+    rows = panel.select("date", F.explode(F.array(*pairs)).alias("p")).select("date", "p.*").where("x is not null and y is not null")
+    by = ("left_factor", "right_factor", "date")
+    ranked = with_cross(rows, {"x": pct_rank(F.col("x")), "y": pct_rank(F.col("y"))}, by)
+    per_day = ranked.groupBy(*by).agg(correlation(F.col("x"), F.col("y")).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return per_day.groupBy("left_factor", "right_factor").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_periods"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import cross, language
 from millrace.operators import mining, portfolio, preparing, summary, testing
-from millrace.operators.factors import factor
+from millrace.operators.factors import compute_factors
 from millrace.sources import loaders
 from millrace.sources.panels import CROSS_SQL, FUNDAMENTALS_ONLY_SQL, FUNDAMENTALS_SQL, PRICE_SQL, cross_panel, daily_closes, fundamentals_panel, price_panel
+from millrace.sources.scratch import Scratch
 from millrace.streaming.bars import daily_bars
+from millrace.streaming.panel import StreamedPanel
 
 Query = Callable[[SparkSession, str], DataFrame]
 W = "PARTITION BY stock_id ORDER BY date"
@@ -111,7 +113,7 @@ def _factor(name: str, panel: Query) -> Query:
         rows = panel(spark, sf_dir)
         unit = 10.0 ** DIGITS.get(name, 6)
         # quotients of whole hundreds tie at any digit: scaled first, both engines round them alike; adding zero clears the sign of zero
-        return rows.select("stock_id", "date", (F.round(factor(rows, name).cast("double") * unit) / unit + 0.0).alias(name))
+        return compute_factors(rows, [name]).select("stock_id", "date", (F.round(F.col(name) * unit) / unit + 0.0).alias(name))
 
     return query
 
@@ -150,7 +152,11 @@ def _cross(value: str) -> str:
 
 
 def _of(column) -> Query:
-    return lambda spark, sf_dir: cross_panel(spark, sf_dir).where("f1 is not null").select("stock_id", "date", F.round(column(F.col("f1")), 6).alias("v"))
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = cross_panel(spark, sf_dir).where("f1 is not null").select("stock_id", "date", "f1")
+        return cross.with_cross(rows, {"v": column(F.col("f1"))}).select("stock_id", "date", F.round("v", 6).alias("v"))
+
+    return query
 
 
 RANK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2) / count(*) OVER (PARTITION BY date)"
@@ -183,8 +189,8 @@ def _guarded(x: str) -> str:
 
 @add(f"WITH {CROSS_SQL} SELECT stock_id, date, round(0.7 * ({_guarded('f1')}) - 0.3 * ({_guarded('f2')}), 6) AS score FROM xs WINDOW d AS (PARTITION BY date)")
 def combined_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = cross.combined(["f1", "f2"], [0.7, 0.3], [1, -1])
-    return cross_panel(spark, sf_dir).select("stock_id", "date", F.round(score, 6).alias("score"))
+    rows = cross_panel(spark, sf_dir).select("stock_id", "date", "f1", "f2")
+    return cross.combined(rows, ["f1", "f2"], "score", [0.7, 0.3], [1, -1]).select("stock_id", "date", F.round("score", 6).alias("score"))
 
 
 @add(f"WITH {PRICE_SQL} SELECT date, round(avg(ret), 6) AS ch_mkt FROM px GROUP BY date")
@@ -331,7 +337,9 @@ def ic_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.rolling_ic(summary.ic_series(cross_panel(spark, sf_dir), NAMES)))
 
 
-@add(f"WITH {CROSS_SQL} SELECT round(covar_pop(f1, fwd) / nullif(stddev_pop(f1) * stddev_pop(fwd), 0), 6) AS ic, count(*) AS n FROM xs WHERE f1 IS NOT NULL AND fwd IS NOT NULL")
+@add(f"""WITH {CROSS_SQL}, both AS (SELECT f1, fwd FROM xs WHERE f1 IS NOT NULL AND fwd IS NOT NULL),
+ranked AS (SELECT rank() OVER (ORDER BY f1) + (count(*) OVER (PARTITION BY f1) - 1) / 2 AS x, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2 AS y FROM both)
+SELECT round(corr(x, y), 6) AS ic, count(*) AS n FROM ranked""")
 def scalar_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.scalar_ic(cross_panel(spark, sf_dir), "f1"))
 
@@ -370,9 +378,11 @@ def factor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.test_factors(cross_panel(spark, sf_dir), NAMES, GROUPS), 5)
 
 
-@add(f"""WITH {SUMMARY_SQL}, a AS (SELECT count(*) AS n_factors, count(*) FILTER (abs(mean_ic) > 0.01) AS n_ic, count(*) FILTER (abs(ls_sharpe) > 0.5) AS n_sharpe, count(*) FILTER (abs(fm_t) > 1.96) AS n_t,
-    count(*) FILTER (abs(mean_ic) > 0.01 AND abs(ls_sharpe) > 0.5) AS n_both, round(avg(CASE WHEN mean_ic > 0 THEN 1.0 WHEN mean_ic IS NOT NULL THEN 0.0 END), 6) AS positive_ic FROM summary)
-SELECT *, CASE WHEN n_both >= 5 THEN 'good' WHEN n_both >= 2 THEN 'fair' ELSE 'weak' END AS quality FROM a""")
+@add(f"""WITH {SUMMARY_SQL}, first AS (SELECT factor, ls_sharpe FROM summary ORDER BY ir DESC NULLS LAST, factor LIMIT 1),
+a AS (SELECT count(*) AS n_factors, count(*) FILTER (abs(mean_ic) > 0.01) AS valid_ic, count(*) FILTER (abs(ls_sharpe) > 0.5) AS valid_sharpe, count(*) FILTER (abs(fm_t) > 1.96) AS valid_fm,
+    count(*) FILTER (abs(mean_ic) > 0.01 AND abs(ls_sharpe) > 0.5) AS valid_overall, count(*) FILTER (ic_positive > 0.55) AS stable_ic_direction FROM summary)
+SELECT n_factors, valid_ic, valid_sharpe, valid_fm, valid_overall, factor AS best_factor, round(ls_sharpe, 6) AS best_sharpe,
+    CASE WHEN valid_overall / n_factors > 0.3 THEN 'high' WHEN valid_overall > 0 THEN 'medium' ELSE 'low' END AS quality, stable_ic_direction, valid_ic - stable_ic_direction AS unstable_ic_direction FROM a, first""")
 def results_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.analysis(summary.test_factors(cross_panel(spark, sf_dir), NAMES, GROUPS)))
 
@@ -498,6 +508,9 @@ EXPRESSIONS = {
     "dsl_logs": ("max(log_abs(f1), sqrt_abs(f2)) + sign(f1) * square(f2)", "greatest(ln(abs(f1) + 1e-10), sqrt(abs(f2) + 1e-10)) + sign(f1) * f2 * f2"),
     "dsl_delta": ("ts_delta(f1, 3) + ts_delay(f1, 2)", f"f1 - lag(f1, 3) OVER ({W}) + lag(f1, 2) OVER ({W})"),
     "dsl_rolling": ("ts_mean(f1, 5) + ts_max(f1, 5) - ts_min(f1, 5)", " ".join(f"{s} ({_roll(a, 5, 5, 'f1')})" for s, a in (("", "avg({})"), ("+", "max({})"), ("-", "min({})")))),
+    "dsl_signs": ("min(abs(neg(f1)), 50) + log(abs(f1) + 1)", "CASE WHEN f1 IS NOT NULL THEN least(abs(f1), 50) END + ln(abs(f1) + 1)"),
+    "dsl_sums": ("ts_sum(f1, 4) + ts_return(f1, 2)", f"{_roll('sum({})', 4, 4, 'f1')} + f1 / nullif(lag(f1, 2) OVER ({W}), 0) - 1"),
+    "dsl_nested": ("cs_rank(ts_mean(cs_demean(f1), 3))", None),
     "dsl_deviation": ("ts_std(f1, 5)", _roll("stddev_samp({})", 5, 5, "f1")),
     "dsl_correlation": ("ts_corr(f1, volume, 10)", f"CASE WHEN count(f1) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 10 THEN covar_samp(f1, volume) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / nullif(stddev_samp(f1) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) * stddev_samp(volume) OVER ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 0) END"),
 }
@@ -513,12 +526,24 @@ def _expression(name: str, text: str) -> Query:
 
 for _name, (_text, _sql) in EXPRESSIONS.items():
     QUERIES[_name] = _expression(_name, _text)
-    ORACLE_SQL[_name] = f"WITH {CROSS_SQL} SELECT stock_id, date, round({_sql}, 6) AS v FROM xs WINDOW d AS (PARTITION BY date)"
+    if _sql is not None:
+        ORACLE_SQL[_name] = f"WITH {CROSS_SQL} SELECT stock_id, date, round({_sql}, 6) AS v FROM xs WINDOW d AS (PARTITION BY date)"
+
+ORACLE_SQL["dsl_nested"] = f"""WITH {CROSS_SQL}, a AS (SELECT stock_id, date, f1 - avg(f1) OVER (PARTITION BY date) AS x FROM xs),
+b AS (SELECT stock_id, date, round({_roll('avg({})', 3, 3, 'x')}, 9) AS x FROM a)
+SELECT stock_id, date, CASE WHEN x IS NOT NULL THEN round((rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY date, x) - 1) / 2) / count(x) OVER (PARTITION BY date), 6) END AS v FROM b"""
 
 
 # --- selection, sources ----------------------------------------------------------------------
 
 
+@add()
+def boosted_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances of second-order and of leaf-wise boosted trees."""
+    methods = {m: mining.METHODS[m] for m in ("second_order", "leaf_wise")}
+    return mining.mine(cross_panel(spark, sf_dir), NAMES, methods)
+
+
 @add(f"""WITH {PRICE_SQL}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM px)),
 size AS (SELECT any_value(n) AS n, greatest(CAST(floor(any_value(n) * 0.5) AS INTEGER), 60) AS s FROM days),
 cut AS (SELECT fold, n, s + fold * ((n - s) // 5) AS t, (n - s) // 5 AS w FROM size, (SELECT unnest(range(0, 5)) AS fold))
@@ -620,3 +645,39 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = daily_closes(spark, sf_dir).where("stock_id between 1 and 3").groupBy("date").pivot("stock_id", [1, 2, 3]).agg(F.first("close").alias("close"), F.first("volume").alias("volume"))
     named = wide.select("date", *[F.col(f"{s}_{f}").alias(f"{f}|{s}") for s in (1, 2, 3) for f in ("close", "volume")])
     return loaders.from_wide(named, ["1", "2", "3"]).select(F.col("stock_id").cast("long").alias("stock_id"), "date", F.round("close", 6).alias("close"), F.round("return", 6).alias("ret"))
+
+
+#: Statements of suppliers as JSON; each seventh payload is cut short.
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fundamentals_panel(spark, sf_dir).select("stock_id", F.struct(F.concat(F.col("date").cast("string"), F.lit(" 00:00:00")).alias("REPORT_DATE"), F.round("sales", 2).alias("sales"), F.round("cash", 2).alias("cash")).alias("s"))
+    whole = rows.groupBy("stock_id").agg(F.to_json(F.struct(F.collect_list("s").alias("data"))).alias("payload"))
+    return whole.withColumn("payload", F.when(F.col("stock_id") % 7 == 0, F.expr("left(payload, length(payload) - 9)")).otherwise(F.col("payload")))
+
+
+@add(f"""WITH {FUNDAMENTALS_SQL} SELECT stock_id, CAST(date AS VARCHAR) AS report_date, round(sales, 2) AS sales, round(cash, 2) AS cash FROM fx WHERE stock_id % 7 <> 0""")
+def statement_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = loaders.statement_payloads(_payloads(spark, sf_dir), ["sales", "cash"])
+    return found.select("stock_id", "report_date", F.col("sales").cast("double").alias("sales"), F.col("cash").cast("double").alias("cash"))
+
+
+@add(f"""WITH {FUNDAMENTALS_SQL} SELECT DISTINCT stock_id FROM fx WHERE stock_id % 7 = 0""")
+def corrupt_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaders.statement_payloads(_payloads(spark, sf_dir), ["sales", "cash"])[1].select("stock_id")
+
+
+@add(f"""WITH {FUNDAMENTALS_SQL}, d AS (SELECT stock_id, date, row_number() OVER (PARTITION BY stock_id ORDER BY date DESC) - 1 AS i FROM fx)
+SELECT stock_id, CAST(i // 5 AS INTEGER) AS batch, string_agg(CAST(date AS VARCHAR), ',' ORDER BY i) AS dates FROM d GROUP BY ALL""")
+def statement_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaders.date_batches(fundamentals_panel(spark, sf_dir).select("stock_id", F.col("date").alias("report_date")))
+
+
+@add("""SELECT CAST(user_id AS BIGINT) AS stock_id, CAST(ts AS DATE) AS date, min_by(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, value)) AS close,
+    round(avg(value), 6) AS mean, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL""")
+def streamed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel that a stream over the events, a few files a batch, leaves behind."""
+    scratch = Scratch(spark, "stream")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    events.repartition(8).write.parquet(f"{scratch.root}/in")
+    panel = StreamedPanel(spark, f"{scratch.root}/panel")
+    panel.start(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{scratch.root}/in"), f"{scratch.root}/at", availableNow=True).awaitTermination()
+    return rounded(panel.bars())

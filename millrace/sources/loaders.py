@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.panels import by_stock
@@ -46,14 +46,49 @@ def from_wide(wide: DataFrame, stocks: Sequence[str], fields: Sequence[str] = ("
     return with_returns(long).withColumns({c: F.lit(None).cast("double") for c in STATEMENT_COLUMNS})
 
 
+#: Statements that one request names.
+DATES_A_REQUEST = 5
+
+
+def date_batches(reports: DataFrame, size: int = DATES_A_REQUEST) -> DataFrame:
+    """``(stock_id, batch, dates)`` of ``reports(stock_id, report_date)``: each stock's dates from the latest on, ``size`` to a batch, joined by commas.
+
+    A time of day is cut off; missing and repeated dates count once or not at all.
+    """
+    day = F.substring_index(F.col("report_date").cast("string"), " ", 1)
+    days = reports.select("stock_id", day.alias("day")).where("day <> ''").distinct()
+    place = F.row_number().over(Window.partitionBy("stock_id").orderBy(F.desc("day"))) - 1  # a stock's report dates
+    numbered = days.withColumns({"place": place}).withColumn("batch", F.floor(F.col("place") / size).cast("int"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "day"))), lambda d: d["day"])
+    return numbered.groupBy("stock_id", "batch").agg(F.array_join(listed, ",").alias("dates"))
+
+
+def statement_payloads(raw: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Statements of ``raw(stock_id, payload)``, and the rows whose payload holds none.
+
+    A payload is JSON, ``{"data": [{"REPORT_DATE": .., column: ..}, ..]}``; the
+    schema is given, so nothing is inferred from the data. Statements are
+    ``(stock_id, report_date, columns.. string)``, one each, the last of a
+    stock's equal dates by all columns; without a date they go. The second
+    frame keeps payloads that are no such JSON or null, unchanged.
+    """
+    item = ", ".join(f"`{c}` string" for c in ("REPORT_DATE", *columns))
+    parsed = raw.withColumn("_p", F.from_json("payload", f"data array<struct<{item}>>, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    whole = F.col("_p._corrupt").isNull() & F.col("_p.data").isNotNull()
+    rows = parsed.where(whole).select("stock_id", F.explode("_p.data").alias("s"))
+    rows = rows.select("stock_id", F.substring_index("s.REPORT_DATE", " ", 1).alias("report_date"), *[F.col(f"s.`{c}`").alias(c) for c in columns]).where("report_date <> ''")
+    last = rows.groupBy("stock_id", "report_date").agg(F.max(F.struct(*columns)).alias("r")).select("stock_id", "report_date", "r.*")
+    return last, parsed.where(~F.coalesce(whole, F.lit(False))).drop("_p")
+
+
 def latest_statements(reports: DataFrame, columns: Sequence[str], date: str = "report_date") -> DataFrame:
     """``(stock_id, columns..)`` of each stock's last report; what is missing or no number is zero.
 
     Retained earnings are surplus reserve and undistributed profit together,
     null unless above zero, where the reports have both; gross profit is sales
-    less operating cost.
+    less operating cost. Of two reports of one date the greater by ``columns`` counts.
     """
-    last = reports.groupBy("stock_id").agg(F.max_by(F.struct(*columns), date).alias("r")).select("stock_id", *[F.coalesce(F.expr(f"try_cast(r.`{c}` AS double)"), F.lit(0.0)).alias(c) for c in columns])
+    last = reports.groupBy("stock_id").agg(F.max_by(F.struct(*columns), F.struct(date, *columns)).alias("r")).select("stock_id", *[F.coalesce(F.expr(f"try_cast(r.`{c}` AS double)"), F.lit(0.0)).alias(c) for c in columns])
     if {"surplus_reserve", "undistributed_profit"} <= set(columns):
         kept = F.col("surplus_reserve") + F.col("undistributed_profit")
         last = last.withColumn("retained_earnings", F.when(kept > 0, kept))

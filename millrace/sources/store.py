@@ -69,10 +69,21 @@ class ResearchMemory:
         return row and json.loads(row["state"])
 
     def compact(self, name: str) -> None:
-        """Replace a table's events by its latest rows in one file."""
+        """Replace the events that a table holds now by its latest rows in one file.
+
+        The rows are added before the old files go: a stop in between leaves
+        both, which read the same, and events added meanwhile are in other
+        files. A reader that has listed the old files must start again.
+        """
         rows = self.table(name)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}-compact")
-        self.spark.read.parquet(f"{self.root}/{name}-compact").write.mode("overwrite").parquet(f"{self.root}/{name}")
+        old = rows.inputFiles()
+        if not old:
+            return
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for file in old:
+            where = jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(conf).delete(where, False)
 
     def candidates(self) -> DataFrame:
         """Candidates with the status of their latest evaluation, so one append changes both."""

@@ -199,14 +199,15 @@ def test_sinks(spark, tmp_path):
     from millrace.operators import summary
     from millrace.sources import sinks
 
-    frame = spark.createDataFrame([("f1", 0.5, 0.9, 2.5), ("f<2", -0.2, None, 0.1)], "factor string, mean_ic double, ls_sharpe double, fm_t double").withColumn("ir", F.col("mean_ic"))
+    frame = spark.createDataFrame([("f1", 0.5, 0.9, 2.5), ("f<2", -0.2, None, 0.1)], "factor string, mean_ic double, ls_sharpe double, fm_t double").withColumn("ic_positive", F.lit(0.6)).withColumn("ir", F.col("mean_ic"))
     found = summary.analysis(frame)
-    assert found.first()["n_ic"] == 2 and found.first()["n_both"] == 1 and found.first()["quality"] == "weak"
+    row = found.first()
+    assert (row["valid_ic"], row["valid_overall"], row["best_factor"], row["quality"]) == (2, 1, "f1", "high")
     sinks.write_markdown(frame, f"{tmp_path}/md", found)
     sinks.write_html(frame, f"{tmp_path}/html", found)
     sinks.write_json(found, f"{tmp_path}/json")
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
-    assert "| f1 | 0.5000 | 0.9000 | 2.5000 | 0.5000 |" in text and "Best factor: **f1**" in text
+    assert "| f1 | 0.5000 | 0.9000 | 2.5000 | 0.6000 | 0.5000 |" in text and "Best factor: **f1**" in text
     assert "<td>f&lt;2</td>" in spark.read.text(f"{tmp_path}/html").first().value
     sinks.write_csv(frame, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
