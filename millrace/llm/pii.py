@@ -43,17 +43,30 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+#: Lengths that are added up one after the other; sums of such blocks are added likewise.
+BLOCK = 256
+
+
+def _sums_before(lengths: Column) -> Column:
+    """array<int>: for each of the lengths the sum of those before it.
+
+    A fold that appends copies what it has, so it goes over blocks of lengths
+    and then over the blocks' sums, which keeps long arrays cheap.
+    """
+
+    def fold(xs: Column) -> Column:
+        blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, blank, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    return let(F.transform(blocks, fold), lambda scanned: F.flatten(F.zip_with(
+        scanned, fold(F.transform(scanned, lambda s: s["at"]))["out"], lambda s, at: F.transform(s["out"], lambda x: x + at))))
+
+
 def _places(p: Column) -> Column:
     """array<struct<start, i>> of every second part, with its place in code points."""
-    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,i:int>>").alias("out"), F.lit(0).alias("i"))
-    # only lengths are folded; texts of matches are picked by place
-    return F.aggregate(
-        F.transform(p, lambda x: F.char_length(x)), blank,
-        lambda a, n: F.struct(
-            (a["at"] + n).alias("at"),
-            F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), a["i"].alias("i"))))).otherwise(a["out"]).alias("out"),
-            (a["i"] + 1).alias("i")),
-        lambda a: a["out"])
+    before = let(F.transform(p, lambda x: F.char_length(x)), _sums_before)
+    return F.filter(F.transform(before, lambda at, i: F.struct(at.alias("start"), i.alias("i"))), lambda s: s["i"] % 2 == 1)
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -84,12 +97,16 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(text, "[^\\p{L}]+")), lambda w: w != "")
 
 
-def _terms(text: Column, words: Column) -> Column:
-    """array<struct<start, end, value>> of every place of these words in a text."""
-    pattern = F.concat(F.lit("(?<!\\p{L})(?:"), F.array_join(words, "|"), F.lit(")(?!\\p{L})"))
-    parts = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+def _word_places(text: Column) -> Column:
+    """array<struct<start, end, form>> of every word of a text."""
+    parts = F.split(F.regexp_replace(text, "\\p{L}++", f"{MARK}$0{MARK}"), MARK, -1)
     return let(parts, lambda p: F.transform(_places(p), lambda s: F.struct(
-        s["start"].alias("start"), (s["start"] + F.char_length(F.get(p, s["i"]))).alias("end"), F.lower(F.get(p, s["i"])).alias("value"))))
+        s["start"].alias("start"), (s["start"] + F.char_length(F.get(p, s["i"]))).alias("end"), F.get(p, s["i"]).alias("form"))))
+
+
+def _hashed(words: Column) -> Column:
+    """The words' lower-cased forms as hashes, each once."""
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
 
 def _entity(s: Column) -> Column:
@@ -121,31 +138,48 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     # texts are kept with their spans, and only where there are any
     found = scratch.keep(slim.select("id", "i", "h", base.alias("base"), "raw").withColumn("raw", F.when(F.size("base") > 0, F.col("raw"))))
     rest = _unmatched(F.translate(F.coalesce("raw", F.lit("")), MARK, MARK_AS))
-    owners = found.where(F.size("base") > 0).select("i", "h", F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(rest).alias("forms"))
-    owners = scratch.keep(owners.dropDuplicates(["i", "h"]))
-    forms = owners.select("i", "h", "entities", F.explode("forms").alias("form")).withColumn("term", F.xxhash64(F.lower("form")))
-    lowered = F.array_distinct(F.transform("forms", lambda w: F.xxhash64(F.lower(w))))  # a document's terms, each once, before anything is shuffled
-    pairs = owners.select("entities", F.explode(lowered).alias("term")).select("term", F.explode("entities").alias("entity"))
-    both = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = owners.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # only terms that stand beside an entity are asked for; a document's words leave the scan as hashes, each once
-    hashed = F.array_distinct(F.transform(_words(_unmatched(F.col("text"))), lambda w: F.xxhash64(F.lower(w))))
-    words = slim.select("i", "h", hashed.alias("words")).groupBy("i", "h").agg(F.first("words").alias("words"))
-    n = found.select("i", "h").distinct().count()
-    terms = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = both.join(entities, "entity").join(terms, "term")
+    owners = found.where(F.size("base") > 0).select("i", "h", F.array_distinct(F.transform("base", _entity)).alias("entities"), rest.alias("rest")).dropDuplicates(["i", "h"])
+    owners = scratch.keep(owners)
+    # entities of the same documents disclose alike: a set of documents, told by two sums of hashes, stands for them all
+    beside = owners.select("i", "h", F.explode("entities").alias("entity"))
+    sets = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("i", "h")).alias("s1"), F.bit_xor(F.xxhash64("h", "i")).alias("s2"))
+    own = beside.join(sets, "entity").select("i", "h", "s1", "s2", "n_entity").distinct().groupBy("i", "h").agg(F.collect_list(F.struct("s1", "s2", "n_entity")).alias("sets"))
+    owners = scratch.keep(owners.join(own, ["i", "h"]).select("i", "h", "sets", "rest", _hashed(_words(F.col("rest"))).alias("terms")))
+    pairs = owners.select("i", "h", "sets", F.explode("terms").alias("term")).select("i", "h", "term", F.explode("sets").alias("s")).select("i", "h", "term", "s.*")
+    both = pairs.groupBy("s1", "s2", "term").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"))
+    keys = found.groupBy("i", "h").agg(F.count(F.lit(1)).alias("m"))
+    n = keys.count()
+    told = both.join(_documents_with(scratch, slim, keys), "term")
     total, more = F.lit(float(n + 2 * SMOOTH)), F.lit(SMOOTH)
     share = F.log(total * (F.col("n_both") + more) / ((F.col("n_term") + more) * (F.col("n_entity") + more))) / F.log(total / (F.col("n_entity") + more))
-    told = scratch.keep(told.where(share >= discloses).select("entity", "term"))
-    mine = forms.select("i", "h", "form", "term", F.explode("entities").alias("entity")).join(told, ["entity", "term"], "left_semi")
-    mine = mine.groupBy("i", "h").agg(F.sort_array(F.collect_set("form")).alias("forms"))  # words of one document
+    told = scratch.keep(told.where(share >= discloses).select("s1", "s2", "term"))
+    mine = pairs.join(told, ["s1", "s2", "term"], "left_semi").select("i", "h", "term").distinct()
+    places = owners.select("i", "h", F.explode(_word_places(F.col("rest"))).alias("w")).select("i", "h", "w.*", F.xxhash64(F.lower("w.form")).alias("term"))
+    places = places.join(mine, ["i", "h", "term"], "left_semi")
+    terms = places.groupBy("i", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.lower("form").alias("value")))).alias("terms"))  # words of one document
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     plain = found.where(F.size("base") == 0).select("id", "base", none.alias("terms"), F.col("raw").alias("text"))
-    rich = found.where(F.size("base") > 0).join(mine, ["i", "h"], "left").select(
-        "id", "base", F.when(F.col("forms").isNotNull(), _terms(rest, F.col("forms"))).otherwise(none).alias("terms"), F.col("raw").alias("text"))
+    rich = found.where(F.size("base") > 0).join(terms, ["i", "h"], "left").select("id", "base", F.coalesce("terms", none).alias("terms"), F.col("raw").alias("text"))
     return plain.union(rich)
 
 
+def _documents_with(scratch: Scratch, slim: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(term, n_term)``: documents, rows equal in id and text being one, that hold a term.
+
+    All rows are counted where they are read; what rows that ``keys`` counts
+    more than once have added too much is taken off again, so that no text and
+    no list of words is shuffled for the sake of repeats.
+    """
+    words = lambda df: df.select("i", "h", _hashed(_words(_unmatched(F.col("text")))).alias("words"))
+    every = words(slim).select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    often = scratch.keep(keys.where("m > 1"))
+    if often.isEmpty():
+        return every.withColumnRenamed("n", "n_term")
+    again = words(slim.join(often, ["i", "h"], "left_semi")).groupBy("i", "h").agg(F.first("words").alias("words")).join(often, ["i", "h"])
+    more = again.select(F.explode("words").alias("term"), (F.col("m") - 1).alias("m")).groupBy("term").agg(F.sum("m").alias("more"))
+    return every.join(more, "term", "left").select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n_term"))
+
+
 def _generalised(text: Column, base: Column, terms: Column) -> Column:
     """The text with its spans replaced; spans that overlap give one replacement, the first one's."""
     named = lambda kind, s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"))
