@@ -5,6 +5,8 @@ Everything here is a DataFrame expression; no Python runs on the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,29 +45,38 @@ def valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-#: Lengths that are added up one after the other; sums of such blocks are added likewise.
+#: Numbers that are gathered one after the other; what blocks of them give is gathered likewise.
 BLOCK = 256
+#: Code points of the pieces that a text is cut into to be read from the middle.
+PIECE = 4096
 
 
-def _sums_before(lengths: Column) -> Column:
-    """array<int>: for each of the lengths the sum of those before it.
+def _so_far(numbers: Column, gather: Callable[[Column, Column], Column]) -> Column:
+    """array<int>: for each of the numbers, none negative, what ``gather`` makes of those before it; 0 without any.
 
-    A fold that appends copies what it has, so it goes over blocks of lengths
-    and then over the blocks' sums, which keeps long arrays cheap.
+    A fold that appends copies what it has, so it goes over blocks of numbers
+    and then over what the blocks give, which keeps long arrays cheap.
     """
 
     def fold(xs: Column) -> Column:
         blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(xs, blank, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+        return F.aggregate(xs, blank, lambda a, n: F.struct(gather(a["at"], n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / BLOCK).cast("int")), lambda b: F.slice(numbers, b * BLOCK + 1, BLOCK))
     return let(F.transform(blocks, fold), lambda scanned: F.flatten(F.zip_with(
-        scanned, fold(F.transform(scanned, lambda s: s["at"]))["out"], lambda s, at: F.transform(s["out"], lambda x: x + at))))
+        scanned, fold(F.transform(scanned, lambda s: s["at"]))["out"], lambda s, at: F.transform(s["out"], lambda x: gather(x, at)))))
+
+
+def _between(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text cut into ``pieces``, without a walk from its beginning."""
+    first = F.floor(start / PIECE).cast("int")
+    few = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(few, ""), start % PIECE + 1, end - start)
 
 
 def _places(p: Column) -> Column:
     """array<struct<start, i>> of every second part, with its place in code points."""
-    before = let(F.transform(p, lambda x: F.char_length(x)), _sums_before)
+    before = let(F.transform(p, lambda x: F.char_length(x)), lambda lengths: _so_far(lengths, lambda a, b: a + b))
     return F.filter(F.transform(before, lambda at, i: F.struct(at.alias("start"), i.alias("i"))), lambda s: s["i"] % 2 == 1)
 
 
@@ -186,16 +197,16 @@ def _generalised(text: Column, base: Column, terms: Column) -> Column:
     every = F.array_sort(F.concat(
         F.transform(base, lambda s: named(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")), s)), F.transform(terms, lambda s: named(F.lit(TERM), s))))
 
-    def pieces(e: Column) -> Column:
-        blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(
-            e, blank,
-            lambda a, s: F.struct(
-                F.greatest(a["at"], s["end"]).alias("at"),
-                F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["kind"]))).otherwise(a["out"]).alias("out")),
-            lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    def cut(pieces: Column) -> Column:
+        def joined(e: Column) -> Column:
+            reached = let(F.transform(e, lambda s: s["end"]), lambda ends: _so_far(ends, F.greatest))
+            kept = F.zip_with(e, reached, lambda s, at: F.when(s["start"] >= at, F.concat(_between(pieces, at, s["start"]), s["kind"])).otherwise(""))
+            last = F.array_max(F.transform(e, lambda s: s["end"]))
+            return F.concat(F.array_join(kept, ""), _between(pieces, last, F.char_length(text)))
+
+        return let(every, joined)
 
-    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(let(every, pieces))
+    return F.when(F.size(base) + F.size(terms) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1)), cut))
 
 
 def sanitised(found: DataFrame) -> DataFrame:
