@@ -291,6 +291,19 @@ def factor(panel: DataFrame, name: str) -> Column:
 MOVING = {"var_95": ("return", moving_tail), "cvar_95": ("return", moving_tail), "ulcer_index": ("close", moving_ulcer)}
 
 
+def _stages(panel: DataFrame) -> dict[str, tuple[list[tuple[str, Callable[[], Column]]], Callable[[], Column]]]:
+    """Factors whose windows lie within windows: columns that are added one by one, and the factor over them."""
+    own = "mkt_return" not in panel.columns
+    mkt = ("_mkt", market if own else lambda: F.col("mkt_return"))
+    down = ("_down", lambda: F.when(F.col("_mkt") < rolling(F.avg, F.col("_mkt"), YEAR, YEAR), F.col("_mkt")))
+    slope = ("_slope", lambda: beta(F.col("return"), F.col("_mkt")))
+    return {
+        "beta": ([mkt], lambda: beta(F.col("return"), F.col("_mkt"))),
+        "beta_down": ([mkt, down], lambda: beta(F.when(F.col("_down").isNotNull(), F.col("return")), F.col("_down"))),
+        "ivol_capm": ([mkt, slope, ("_rest", lambda: F.col("return") - F.col("_slope") * F.col("_mkt"))], lambda: moving_dev(F.col("_rest"), YEAR, LEAST)),
+    }
+
+
 def compute_factors(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     """``(stock_id, date, factors..)``: all windows share one partitioning, so one shuffle by stock.
 
@@ -299,7 +312,12 @@ def compute_factors(panel: DataFrame, names: list[str] | None = None) -> DataFra
     """
     names = list(REGISTRY) if names is None else names
     apart = {n for n in names if n in MOVING and MOVING[n][0] in panel.columns}
-    out = panel.select("stock_id", "date", *[factor(panel, n).cast("double").alias(n) for n in names if n not in apart])
+    staged = {n: s for n, s in _stages(panel).items() if n in names and "return" in panel.columns}
+    wide = panel
+    for name, made in dict(column for steps, _ in staged.values() for column in steps).items():
+        wide = wide.withColumn(name, made())
+    column = lambda n: staged[n][1]() if n in staged else factor(panel, n)
+    out = wide.select("stock_id", "date", *[column(n).cast("double").alias(n) for n in names if n not in apart])
     for make in dict.fromkeys(MOVING[n][1] for n in names if n in apart):
         own = [n for n in names if n in apart and MOVING[n][1] is make]
         frame = make(panel).select("stock_id", "date", *own)

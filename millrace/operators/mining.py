@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
@@ -15,6 +16,7 @@ from millrace.functions.language import evaluate
 from millrace.operators.boosting import LEAF_WISE, SECOND_ORDER, Growth, boosted_selection
 from millrace.operators.neural import neural_selection
 from millrace.operators.summary import ic_series
+from millrace.sources.scratch import settled
 
 #: What start formulas are made of: functions of a factor's cross-section, functions of those, and pairs.
 HEADS, WRAPPERS, PAIRED = ("cs_rank", "cs_zscore", "cs_demean"), ("square", "sqrt_abs", "log_abs", "sign", "neg"), ("+", "-", "*", "/")
@@ -216,29 +218,64 @@ def fitness(panel: DataFrame, formulas: Sequence[str], ret: str = "forward_1d_re
     return {text: got.get(name, 0.0) for name, text in named.items()}
 
 
-def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 3, size: int = 12, crossover: float = 0.7, mutation: float = 0.3, seed: int = 42, least: int = 10) -> list[tuple[str, float]]:
-    """Genetic search: ``(formula, mean absolute rank coefficient)``, best first.
+#: A mixture of start formulas: their places and weights, by place.
+Mixture = tuple[tuple[int, Fraction], ...]
 
-    A generation is one aggregation. A tenth, two at least, goes on; a child is
-    the mean of two parents, a new formula or a parent, by the two rates.
+
+def mixed(a: Mixture, b: Mixture) -> Mixture:
+    """The mean of two mixtures."""
+    out: dict[int, Fraction] = {}
+    for i, w in (*a, *b):
+        out[i] = out.get(i, Fraction(0)) + w / 2
+    return tuple(sorted(out.items()))
+
+
+def mixture_text(mixture: Mixture, formulas: Sequence[str]) -> str:
+    """The mixture in the factor language."""
+    if len(mixture) == 1:
+        return formulas[mixture[0][0]]
+    return " + ".join(f"{float(w)!r} * ({formulas[i]})" for i, w in mixture)
+
+
+def mixture_fitness(wide: DataFrame, mixtures: Sequence[Mixture], ret: str, least: int) -> dict[Mixture, float]:
+    """Mean rank coefficient of each mixture of the columns ``_b0``, ``_b1`` .., in size."""
+    named = {f"_m{k}": m for k, m in enumerate(mixtures)}
+    value = lambda m: sum((F.col(f"_b{i}") * float(w) for i, w in m), F.lit(0.0))
+    scored = wide.select("date", "stock_id", ret, *[value(m).alias(n) for n, m in named.items()])
+    rows = ic_series(scored, list(named), ret, least).groupBy("factor").agg(F.avg("ic").alias("ic")).collect()  # one row per mixture
+    got = {r["factor"]: abs(r["ic"]) for r in rows if r["ic"] is not None}
+    return {m: got.get(n, 0.0) for n, m in named.items()}
+
+
+def search_formulas(panel: DataFrame, names: Sequence[str], generations: int = 20, size: int = 100, crossover: float = 0.6, mutation: float = 0.2, seed: int = 42, least: int = 10, ret: str = "forward_1d_ret") -> list[tuple[str, float]]:
+    """Genetic search: ``(formula, mean absolute rank coefficient)`` of the last generation, best first.
+
+    A tenth, two at least, goes on; a child is the mean of two parents, a new
+    formula or a parent, by the two rates. Means of means are weights of start
+    formulas, so these are evaluated once, and a generation is one aggregation
+    over sums of columns, however old its formulas are. New formulas come from
+    as many as the first generation has.
     """
     rng = random.Random(seed)
-    known: dict[str, float] = {}
-    pool = [start_formula(rng, names) for _ in range(size)]
+    formulas = list(dict.fromkeys(start_formula(rng, names) for _ in range(2 * size)))
+    wide = settled(evaluate(panel, {f"_b{i}": text for i, text in enumerate(formulas)}, panel.columns).select("date", "stock_id", ret, *[f"_b{i}" for i in range(len(formulas))]))
+    one = lambda: ((rng.randrange(len(formulas)), Fraction(1)),)
+    known: dict[Mixture, float] = {}
+    pool = [one() for _ in range(size)]
     for step in range(generations + 1):
         if fresh := sorted(set(pool) - set(known)):
-            known |= fitness(panel, fresh, least=least)
-        ranked = sorted(set(pool), key=lambda t: (-known[t], t))
+            known |= mixture_fitness(wide, fresh, ret, least)
+        ranked = sorted(set(pool), key=lambda m: (-known[m], mixture_text(m, formulas)))
         if step == generations:
             break
         children = ranked[: max(2, size // 10)]
         while len(children) < size:
             if rng.random() < crossover:
-                children.append(f"0.5 * ({rng.choice(ranked)}) + 0.5 * ({rng.choice(ranked)})")
+                children.append(mixed(rng.choice(ranked), rng.choice(ranked)))
             else:
-                children.append(start_formula(rng, names) if rng.random() < mutation else rng.choice(ranked))
+                children.append(one() if rng.random() < mutation else rng.choice(ranked))
         pool = children
-    return [(t, known[t]) for t in ranked]
+    return [(mixture_text(m, formulas), known[m]) for m in ranked]
 
 
 #: Every selector with its own parameters.

@@ -239,4 +239,6 @@ def factor_correlation(panel: DataFrame, factors: Sequence[str], least: int = 10
     by = ("left_factor", "right_factor", "date")
     ranked = with_cross(rows, {"x": pct_rank(F.col("x")), "y": pct_rank(F.col("y"))}, by)
     per_day = ranked.groupBy(*by).agg(correlation(F.col("x"), F.col("y")).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return per_day.groupBy("left_factor", "right_factor").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_periods"))
+    found = per_day.groupBy("left_factor", "right_factor").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_periods"))
+    every = panel.sparkSession.createDataFrame(list(combinations(factors, 2)), "left_factor string, right_factor string")
+    return every.join(found, ["left_factor", "right_factor"], "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0)))

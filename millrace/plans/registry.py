@@ -337,8 +337,8 @@ def ic_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.rolling_ic(summary.ic_series(cross_panel(spark, sf_dir), NAMES)))
 
 
-@add(f"""WITH {CROSS_SQL}, both AS (SELECT f1, fwd FROM xs WHERE f1 IS NOT NULL AND fwd IS NOT NULL),
-ranked AS (SELECT rank() OVER (ORDER BY f1) + (count(*) OVER (PARTITION BY f1) - 1) / 2 AS x, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2 AS y FROM both)
+@add(f"""WITH {CROSS_SQL}, pairs AS (SELECT f1, fwd FROM xs WHERE f1 IS NOT NULL AND fwd IS NOT NULL),
+ranked AS (SELECT rank() OVER (ORDER BY f1) + (count(*) OVER (PARTITION BY f1) - 1) / 2 AS x, rank() OVER (ORDER BY fwd) + (count(*) OVER (PARTITION BY fwd) - 1) / 2 AS y FROM pairs)
 SELECT round(corr(x, y), 6) AS ic, count(*) AS n FROM ranked""")
 def scalar_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary.scalar_ic(cross_panel(spark, sf_dir), "f1"))
@@ -578,10 +578,7 @@ def formula_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = cross_panel(spark, sf_dir).persist()
-    found = mining.search_formulas(panel, NAMES)
-    panel.unpersist()
-    return spark.createDataFrame(found, "formula string, fitness double")
+    return spark.createDataFrame(mining.search_formulas(cross_panel(spark, sf_dir), NAMES), "formula string, fitness double")
 
 
 @add()

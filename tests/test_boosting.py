@@ -1,7 +1,6 @@
 """Boosted trees against a plain search over all rows."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 
