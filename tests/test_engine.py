@@ -1,5 +1,6 @@
 import math
 import os
+from dataclasses import replace
 
 import duckdb
 import pandas as pd
@@ -208,7 +209,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(found, f"{tmp_path}/json")
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
     assert "| f1 | 0.5000 | 0.9000 | 2.5000 | 0.6000 | 0.5000 |" in text and "Best factor: **f1**" in text
-    assert "<td>f&lt;2</td>" in spark.read.text(f"{tmp_path}/html").first().value
+    assert "<td>f&lt;2</td>" in spark.read.text(f"{tmp_path}/html", wholetext=True).first().value
     sinks.write_csv(frame, f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
     panel = spark.createDataFrame([("2024-01-31", "A", 1.0), ("2024-02-01", "B", 2.0)], "date string, stock_id string, v double").withColumn("date", F.to_date("date"))
@@ -236,8 +237,9 @@ def test_linear_selection_equals_a_fit_by_rows(spark):
     assert mining.early_end(data) == "2024-01-16" and mining.early_end(data.limit(0)) is None
     for select in mining.METHODS["lasso"], mining.METHODS["elastic"], mining.METHODS["ridge"], mining.METHODS["neural"]:
         assert select(data.limit(0), ["a", "b", "c"]) == {}
-    late = mining.tree_selection(data, ["a", "b", "c"], "sampled", maxIter=3)
-    assert next(iter(late)) == "a"
+    for how in (mining.SECOND_ORDER, mining.LEAF_WISE):
+        late = mining.histogram_selection(data, ["a", "b", "c"], replace(how, trees=3, rate=0.3))
+        assert next(iter(late)) == "a"
     data.unpersist()
 
 
