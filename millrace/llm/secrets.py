@@ -37,7 +37,7 @@ SAMPLE = 500
 WINDOWS = 6
 STEPS, RATE = 60, 0.3
 #: Penalties and biases towards outside that are tried.
-PENALTIES, CAUTION = (1e-3, 1e-2), (0.0, 1.0, 2.0, 4.0)
+PENALTIES, CAUTION = (1e-5, 1e-3), (0.0, 1.0, 2.0, 4.0)
 O, B, I = 0, 1, 2  # noqa: E741
 REMEMBERED = 1 << 17
 HIDDEN = "[SECRET]"

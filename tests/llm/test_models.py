@@ -35,7 +35,7 @@ def test_viterbi_path_is_the_best_of_all_paths(outside):
     tagged = 0
     for _ in range(40):
         weights = rng.normal(0, 0.6, (secrets.BUCKETS, 3))
-        weights[:, secrets.O] += outside / 4
+        weights[:, secrets.O] += 2 * outside / secrets.SLOTS
         field = secrets.Field(weights, rng.normal(0, 0.8, (3, 3)))
         text = " ".join(rng.choice(words, int(rng.integers(1, 8))))
         tokens = secrets.TOKEN.findall(text)
