@@ -578,7 +578,8 @@ def formula_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add()
 def formula_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(mining.search_formulas(cross_panel(spark, sf_dir), NAMES), "formula string, fitness double")
+    """Five generations; the search itself has twenty unless told otherwise."""
+    return spark.createDataFrame(mining.search_formulas(cross_panel(spark, sf_dir), NAMES, generations=5), "formula string, fitness double")
 
 
 @add()
