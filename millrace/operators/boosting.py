@@ -11,9 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.blocks import blocks, fewer_parts, summed
+
 #: Bins of a feature, most trees between two writings of the predictions, and gains that count as none.
 BINS, REFRESH, NO_GAIN = 255, 20, 1e-6
 
@@ -130,7 +133,7 @@ def binned_rows(data: DataFrame, k: int, later: object, bins: int = BINS) -> tup
             packed = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((np.arange(b.num_rows + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(found))])
             yield pa.RecordBatch.from_arrays([b.column(0), packed, b.column(k + 1), b.column(k + 2), pa.array(np.full(b.num_rows, mean))], names=["h", "bins", "y", "later", "pred"])
 
-    return wide.mapInArrow(run, "h long, bins binary, y double, later boolean, pred double"), mean
+    return fewer_parts(wide).mapInArrow(run, "h long, bins binary, y double, later boolean, pred double"), mean
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -145,66 +148,58 @@ def _sampled(h: np.ndarray, how: Growth, tree: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / (1 << 53) < how.rows
 
 
-def histograms(rows: DataFrame, k: int, trees: Sequence[Tree], partial: Tree, level: int, how: Growth, number: int) -> tuple[np.ndarray, np.ndarray]:
+def _block(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """(h, bins, y, later, pred) of a batch of ``binned_rows``."""
+    return (b.column("h").to_numpy(), _matrix(b.column("bins"), k), b.column("y").to_numpy(), b.column("later").to_numpy(zero_copy_only=False), b.column("pred").to_numpy())
+
+
+def histograms(rows: RDD, k: int, trees: Sequence[Tree], partial: Tree, level: int, how: Growth, number: int) -> tuple[np.ndarray, np.ndarray]:
     """``(node, feature, bin, [gradient, hessian])`` of a level's nodes over a tree's rows, and [squared error, rows] of the later rows.
 
-    ``trees`` are those since ``pred`` was written. A task gives one row a
-    feature, and features are summed apart.
+    ``trees`` are those since ``pred`` was written.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
     nodes, first = 1 << level, (1 << level) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, nodes, BINS, 2))
-        errors = np.zeros(2)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            bins, y, later = _matrix(b.column("bins"), k), b.column("y").to_numpy(), b.column("later").to_numpy(zero_copy_only=False)
-            off = b.column("pred").to_numpy() + sum((t.predict(bins) for t in trees), np.zeros(b.num_rows)) - y
-            if level == 0:
-                errors += [off[later] @ off[later], later.sum()]
-            use = ~later & _sampled(b.column("h").to_numpy(), how, number)
-            at = partial.leaf_of(bins[use]) - first
-            here = at >= 0
-            at, g, own = at[here], off[use][here], bins[use][here]
-            for f in range(k):
-                key = at * BINS + own[:, f]
-                total[f, :, :, 0] += np.bincount(key, g, nodes * BINS).reshape(nodes, BINS)
-                total[f, :, :, 1] += np.bincount(key, minlength=nodes * BINS).reshape(nodes, BINS)
-        values = [*(total[f].ravel() for f in range(k)), errors]
-        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(values, pa.list_(pa.float64()))], names=["f", "v"])
-
-    found = rows.mapInArrow(run, "f int, v array<double>").groupBy("f").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()  # a row a feature
-    by = {r["f"]: r["v"].toArray() for r in found}
-    hist = np.stack([by[f].reshape(nodes, BINS, 2) for f in range(k)], axis=1) if by else np.zeros((nodes, k, BINS, 2))
-    return hist, by.get(k, np.zeros(2))
-
-
-def written(rows: DataFrame, k: int, trees: Sequence[Tree]) -> DataFrame:
+    size = k * nodes * BINS * 2
+
+    def work(h: np.ndarray, bins: np.ndarray, y: np.ndarray, later: np.ndarray, pred: np.ndarray) -> np.ndarray:
+        total = np.zeros(size + 2)
+        hist = total[:size].reshape(k, nodes * BINS, 2)
+        off = pred + sum((t.predict(bins) for t in trees), np.zeros(len(y))) - y
+        if level == 0:
+            total[size:] = off[later] @ off[later], later.sum()
+        use = ~later & _sampled(h, how, number)
+        at = partial.leaf_of(bins[use]) - first
+        here = at >= 0
+        at, g, own = at[here], off[use][here], bins[use][here]
+        for f in range(k):
+            key = at * BINS + own[:, f]
+            hist[f, :, 0] = np.bincount(key, g, nodes * BINS)
+            hist[f, :, 1] = np.bincount(key, minlength=nodes * BINS)
+        return total
+
+    found = summed(rows, work, np.zeros(size + 2))
+    return found[:size].reshape(k, nodes, BINS, 2).swapaxes(0, 1), found[size:]
+
+
+def written(rows: RDD, trees: Sequence[Tree]) -> RDD:
     """``rows`` with what ``trees`` give added to ``pred``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                bins = _matrix(b.column("bins"), k)
-                pred = b.column("pred").to_numpy() + sum((t.predict(bins) for t in trees), np.zeros(b.num_rows))
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(pred)], names=b.schema.names)
+    def one(block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        *others, pred = block
+        return (*others, pred + sum(t.predict(others[1]) for t in trees))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.map(one)
 
 
-def boost(rows: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
-    """Trees for squared errors, and how many of them have the least error on the later rows.
+def boost(data: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
+    """Trees for squared errors of ``binned_rows``, and how many of them have the least error on the later rows.
 
     A level of a tree is one pass: all its nodes' histograms at once, so a tree
     takes ``depth`` passes also where leaves open by gain, since every node
     that may open is known by then. It stops ``patience`` trees after the least
     error, or where no split gains.
     """
-    rows = rows.persist()
+    rows = blocks(data, lambda b: _block(b, k))
     trees: list[Tree] = []
     fresh: list[Tree] = []
     least, best = math.inf, 0
@@ -239,7 +234,7 @@ def boost(rows: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
         trees.append(grown(splits, root, how))
         fresh.append(trees[-1])
         if len(fresh) == REFRESH:
-            newer = written(rows, k, fresh).persist()
+            newer = written(rows, fresh).persist()
             newer.count()
             rows.unpersist()
             rows, fresh = newer, []
