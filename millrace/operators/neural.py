@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.blocks import ROWS_A_TASK, blocks, summed
+
 #: Rates of the first and second moments of the gradient, and what is added to the root of the second.
 MOMENTS, SMALL = (0.9, 0.999), 1e-8
 
@@ -43,21 +46,10 @@ def gradient(flat: np.ndarray, sizes: Sequence[int], x: np.ndarray, y: np.ndarra
     return grad
 
 
-def summed(data: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """The sum of ``work(x, y, valid)`` over all batches of ``data(x array, y double, valid boolean)``; one row of ``width`` numbers a task is aggregated."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                total += work(x, b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
-
-    found = data.mapInArrow(run, "v array<double>").select(Summarizer.sum(array_to_vector("v")).alias("v")).first()
-    return found["v"].toArray() if found["v"] is not None else np.zeros(width)
+def _block(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(x, y, valid) of a batch of ``scaled_rows``."""
+    x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+    return x, b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
 
 
 def scaled_rows(data: DataFrame) -> DataFrame | None:
@@ -68,7 +60,7 @@ def scaled_rows(data: DataFrame) -> DataFrame | None:
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    label = data.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("d")).first()
+    label = data.agg(F.avg("label").alias("m"), F.stddev_pop("label").alias("d"), F.count("label").alias("n")).first()
     if not label["d"]:
         return None
     stats = data.agg(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).first()["s"]
@@ -78,10 +70,10 @@ def scaled_rows(data: DataFrame) -> DataFrame | None:
     scaled = F.array(*[(x[i] - float(m)) / float(d) for i, (m, d) in enumerate(zip(mean, dev, strict=True))])
     h = F.xxhash64("date", "stock_id")
     rows = data.select(h.alias("h"), scaled.alias("x"), ((F.col("label") - label["m"]) / label["d"]).alias("y"))
-    return rows.repartition("h").sortWithinPartitions("h").select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
+    return rows.repartition(max(1, -(-label["n"] // ROWS_A_TASK)), "h").sortWithinPartitions("h").select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
 
 
-def fit(rows: DataFrame, inputs: int, hidden: Sequence[int], rate: float, penalty: float, steps: int, patience: int, seed: int) -> np.ndarray:
+def fit(rows: RDD, inputs: int, hidden: Sequence[int], rate: float, penalty: float, steps: int, patience: int, seed: int) -> np.ndarray:
     """Weights of least error on the valid rows over ``steps`` steps of Adam on all others.
 
     It stops after ``patience`` steps without a gain. The state has the size of
@@ -98,7 +90,7 @@ def fit(rows: DataFrame, inputs: int, hidden: Sequence[int], rate: float, penalt
             off = outputs(flat, sizes, x[valid])[-1][:, 0] - y[valid]
             return np.concatenate([gradient(flat, sizes, x[~valid], y[~valid]), [(~valid).sum(), off @ off, valid.sum()]])
 
-        total = summed(rows, work, len(flat) + 3)
+        total = summed(rows, work, np.zeros(len(flat) + 3))
         n, error, checked = total[-3:]
         if not n:
             break
@@ -115,7 +107,7 @@ def fit(rows: DataFrame, inputs: int, hidden: Sequence[int], rate: float, penalt
     return kept
 
 
-def importances(rows: DataFrame, flat: np.ndarray, sizes: Sequence[int], repeats: int, seed: int) -> np.ndarray:
+def importances(rows: RDD, flat: np.ndarray, sizes: Sequence[int], repeats: int, seed: int) -> np.ndarray:
     """Mean rise of the error, in variances of the label, where a column's values are dealt anew among the rows of a batch."""
     k = sizes[0]
 
@@ -131,7 +123,7 @@ def importances(rows: DataFrame, flat: np.ndarray, sizes: Sequence[int], repeats
                 found.append(off @ off)
         return np.array(found)
 
-    total = summed(rows, work, 2 + k * repeats)
+    total = summed(rows, work, np.zeros(2 + k * repeats))
     return (total[2:].reshape(k, repeats).mean(axis=1) - total[0]) / max(total[1], 1e-300)
 
 
@@ -143,10 +135,10 @@ def neural_selection(
 
     Without rows, or where the label does not vary, none is chosen.
     """
-    rows = scaled_rows(data)
-    if rows is None:
+    scaled = scaled_rows(data)
+    if scaled is None:
         return {}
-    rows = rows.persist()
+    rows = blocks(scaled, _block)
     flat = fit(rows, len(factors), hidden, rate, penalty, steps, patience, seed)
     weights = importances(rows, flat, (len(factors), *hidden, 1), repeats, seed)
     rows.unpersist()
