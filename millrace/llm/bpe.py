@@ -69,6 +69,7 @@ class ByteBPE:
         self.words = regex.compile(pattern)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.spelt: dict[str, tuple[int, str, bytes]] = {}
         self.unassigned = _unassigned()
         self._library = None
 
@@ -148,6 +149,34 @@ class ByteBPE:
                 put(ids)
         return out
 
+    def parts(self, text: str | None) -> list[tuple[int, str, bytes]]:
+        """What ``encode`` gives, word by word: number of ids, the ids in decimal joined by commas, the bytes they decode to."""
+        out: list[tuple[int, str, bytes]] = []
+        if not text:
+            return out
+        known, get = self.spelt, self.spelt.get
+        for k, part in enumerate(self.cut.split(text) if self.cut and self.cut.search(text) else [text]):
+            if k % 2:
+                out.append(self._spelt((self.special[part],)))
+                continue
+            words = self.split(part)
+            found = list(map(get, words))
+            if None in found:
+                for i in [i for i, x in enumerate(found) if x is None]:
+                    one = get(w := words[i])
+                    if one is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        one = self._spelt(self.merge(w.encode("utf-8")))
+                        if len(w) <= ARRAY_BYTES:
+                            known[w] = one
+                    found[i] = one
+            out += found
+        return out
+
+    def _spelt(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join([self.digits_of[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+
     def decode(self, ids: Iterable[int]) -> str:
         """The ids' bytes in a row, read as UTF-8 with a replacement mark where they are none."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -213,6 +242,8 @@ def decode_column(df: DataFrame, path: str, pattern: str, id_col: str = "id", id
 def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: encode, then decode the ids, in one pass.
 
+    A word's ids are spelt and decoded once a worker, not at each occurrence.
+
     Null and empty texts have no ids, so both digests are those of the empty
     string. Repeated rows each give a row; extra columns are ignored.
     """
@@ -224,10 +255,10 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "do
         for b in batches:
             n, of_ids, of_text = [], [], []
             for t in b.column(1):
-                ids = bpe.encode(t.as_py())
-                n.append(len(ids))
-                of_ids.append(sha(",".join(map(bpe.digits_of.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
+                parts = bpe.parts(t.as_py())
+                n.append(sum([k for k, _, _ in parts]))
+                of_ids.append(sha(",".join([d for _, d, _ in parts]).encode()).hexdigest())
+                of_text.append(sha(b"".join([x for _, _, x in parts]).decode("utf-8", "replace").encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
