@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import mining
+from millrace.operators import mining, testing
 from millrace.operators.coefficients import rank_coefficients
 
 
@@ -46,6 +46,17 @@ def test_values_that_do_not_vary_nulls_and_nan(spark):
     assert rank_coefficients(rows.limit(0), "s", [F.col("x")]).collect() == []
 
 
+def test_decay_multiplies_no_rows(spark):
+    rows = spark.createDataFrame([(f"2024-01-{1 + i // 40:02d}", i % 40, float(i * 7 % 41), float(i * 11 % 43)) for i in range(800)], "date string, stock_id int, f double, `return` double")
+    decay = testing.ic_decay(rows, "f", lags=3)
+    assert "Generate" not in decay._jdf.queryExecution().optimizedPlan().toString()
+    frame = rows.toPandas().sort_values(["stock_id", "date"])
+    for r in decay.collect():
+        frame["y"] = frame.groupby("stock_id")["return"].shift(-r.lag)
+        ic = [d.f.rank().corr(d.y.rank()) for _, d in frame.dropna().groupby("date")]
+        assert r.n_periods == len(ic) == 20 - r.lag and abs(r.mean_ic - np.mean(ic)) < 1e-12
+
+
 def test_search_writes_cross_sections_not_formulas(spark, monkeypatch):
     rows = [(f"2024-01-{1 + i // 20:02d}", str(i % 20), float(i * 7 % 16), float((i * 31) % 11), float(i * 7 % 16)) for i in range(200)]
     panel = spark.createDataFrame(rows, "date string, stock_id string, a double, b double, forward_1d_ret double")
