@@ -30,6 +30,8 @@ TABLES, KEY_BITS, NEIGHBOURS = 8, 24, 3
 TURN_SLACK, STRETCH_SLACK = 16, 5
 #: Matches of one shift, scale and turn that make two images copies.
 CONSENSUS = 5
+#: Rounds in which an image is compared with one other before all that is left is compared.
+ROUNDS = 3
 #: Images of a bucket that are paired in one piece.
 CHUNK = 4096
 
@@ -314,12 +316,35 @@ def verified(scratch: Scratch, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return scratch.keep(full.mapInArrow(_verified, "a long, b long"))
 
 
+def star_links(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Links of which the components equal those of all copies among ``pairs(a, b)``.
+
+    The copies of a group meet in many buckets, each with a least image of its
+    own. So in each round an image is compared with the least one that it has
+    not been compared with, and pairs that fall together go; what is apart after ``rounds`` is compared whole.
+    """
+    left = scratch.keep(pairs.distinct())
+    found: DataFrame | None = None
+    for step in range(rounds + 1):
+        tried = left if step == rounds else scratch.keep(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        new = verified(scratch, tried, nodes)
+        found = new if found is None else found.union(new)
+        if step < rounds:
+            roots = components(scratch, found)
+            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+            named = left.join(tried, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+            left = scratch.keep(named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+            if left.isEmpty():
+                break
+    return found
+
+
 def copy_links(scratch: Scratch, nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links ``(a, b)`` of which the components equal those of all copies that share a bucket.
 
-    First every image of a bucket is compared with the bucket's least one, so
-    a group of any number of copies falls together in as many comparisons as
-    it has rows. Then every two images of a bucket that are still apart are
+    First the images of a bucket are compared with the bucket's least one, so
+    a group of any number of copies falls together in about as many comparisons as
+    it has images. Then every two images of a bucket that are still apart are
     compared; buckets of over ``chunk`` rows are dealt into pieces of which
     every two meet, so no task holds more than about two pieces.
     """
@@ -330,7 +355,7 @@ def copy_links(scratch: Scratch, nodes: DataFrame, chunk: int = CHUNK) -> DataFr
     alike = F.abs(F.col("lie").bitwiseAND(255) - F.col("least.lie").bitwiseAND(255)) <= STRETCH_SLACK
     for k in (8, 16):
         alike = alike & (F.least(turn(k), 256 - turn(k)) <= TURN_SLACK)
-    star = verified(scratch, blocks.where(alike & (F.col("node") != F.col("least.node"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")), nodes)
+    star = star_links(scratch, blocks.where(alike & (F.col("node") != F.col("least.node"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")), nodes)
     roots = components(scratch, star)
     named = blocks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("tab", "key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").drop("one", "two")
