@@ -71,23 +71,23 @@ def unpacked(lengths: bytes, body: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
 
-def _squeezed(raw: bytes) -> bytes:
+def _squeezed(raw: bytes | pa.Buffer) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _restored(body: bytes) -> bytes:
+def _restored(body: bytes | pa.Buffer) -> bytes:
     size = int.from_bytes(body[:8], "little")
     return pa.decompress(body[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
 def packed_numbers(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, compressed byte by byte of equal weight."""
-    return _squeezed(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return _squeezed(pa.py_buffer(np.ascontiguousarray(values.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)))
 
 
-def unpacked_numbers(body: bytes) -> np.ndarray:
+def unpacked_numbers(body: bytes | pa.Buffer) -> np.ndarray:
     planes = np.frombuffer(_restored(body), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def new_chunk(n: int) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,49 +13,87 @@ from pyspark.sql import functions as F
 from .chunks import byte_set, dealt, new_chunk, packed_numbers, unpacked_numbers, words_of
 from .shared import Scratch, small_batches
 
-#: Bytes of text that a task holds before it closes the largest language's chunk.
+#: Bytes of text that a task holds as word codes before it closes the largest language's chunk.
 HELD_BYTES = 16 << 20
+#: Bytes of text that are taken apart at once, but for a single longer word, and places of a chunk that are looked at at once.
+STEP_BYTES, STEP_PLACES = 1 << 20, 1 << 18
+#: Rows of a batch that a task sends back.
+SENT_ROWS = 1 << 16
 #: Candidates that one task ranks before a language's best meet.
 RANKED = 100_000
 #: Name of a missing language.
 UNKNOWN = "und"
 _BREAK = byte_set(b".,;:!?\n\v\f\r")
 _GAP = _BREAK | byte_set(b" \t")
+_CUT = re.compile(rb"[ \t.,;:!?\n\v\f\r]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def _occurrences(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Codes from 1 of the words in order, 0 between pieces; the words by code, and their counts."""
-    w = words_of(texts, _GAP, _FOLD)
-    breaks = np.cumsum(_BREAK[w.raw])
-    piece = breaks[w.start] if len(w.start) else w.start
-    new = np.flatnonzero(np.diff(piece)) + 1
-    return np.insert(w.code + 1, new, 0), w.known, np.bincount(w.code, minlength=len(w.known))
+def _occurrences(raw: bytes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes from 1 of the words in order, 0 where a piece ends; the words by code, and their counts."""
+    w = words_of([raw], _GAP, _FOLD)
+    breaks = np.cumsum(_BREAK[w.raw[:-1]], dtype=np.int32)
+    before = np.concatenate([[0], breaks[w.start], breaks[-1:]])
+    return np.insert(w.code + 1, np.flatnonzero(np.diff(before)), 0).astype(np.uint32), w.known, np.bincount(w.code, minlength=len(w.known))
+
+
+class _Chunk:
+    """Texts of one language as the codes of their words, taken apart a step of bytes at a time."""
+
+    def __init__(self):
+        self.size, self.waiting, self.texts, self.parts = 0, 0, [], []
+
+    def add(self, text: bytes) -> None:
+        self.texts.append(text)
+        self.size += len(text) + 1
+        self.waiting += len(text) + 1
+        if self.waiting >= STEP_BYTES:
+            self._take()
+
+    def _take(self) -> None:
+        raw = b"\n".join([*self.texts, b""])
+        self.texts, self.waiting, at = [], 0, 0
+        while at < len(raw):
+            cut = _CUT.search(raw, at + STEP_BYTES)
+            end = cut.end() if cut else len(raw)
+            self.parts.append(_occurrences(raw[at:end]))
+            at = end
+
+    def close(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """What ``_occurrences`` gives for all texts."""
+        self._take()
+        one = pa.concat_arrays([words for _, words, _ in self.parts]).dictionary_encode()
+        words, codes, own, at = one.dictionary, [], one.indices.to_numpy(), 0
+        counts = np.zeros(len(words), dtype=np.int64)
+        for k, (code, _, n) in enumerate(self.parts):
+            of, at = own[at : at + len(n)], at + len(n)
+            counts[of] += n
+            codes.append(np.concatenate([[0], of + 1]).astype(np.uint32)[code])
+            self.parts[k] = None
+        return np.concatenate(codes), words, counts
 
 
 def _word_relation(df: DataFrame, lang_col: str, text_col: str, held_bytes: int) -> DataFrame:
     """``(chunk, lang, words, counts, body)``: words of a chunk of texts of one language, ``body`` their codes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
-        size: dict[str, int] = {}
+        held: dict[str, _Chunk] = {}
         n = 0
 
         def close(lang: str) -> pa.RecordBatch:
-            codes, words, counts = _occurrences(held.pop(lang))
-            size.pop(lang)
+            codes, words, counts = held.pop(lang).close()
             ends = pa.array([0, len(words)], pa.int32())
             return pa.RecordBatch.from_arrays([
                 pa.array([new_chunk(n)], pa.int64()), pa.array([lang]), pa.ListArray.from_arrays(ends, words.cast(pa.binary()).cast(pa.string())),
                 pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([packed_numbers(codes)], pa.binary())], names=["chunk", "lang", "words", "counts", "body"])
 
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, []).append(text)
-                size[lang] = size.get(lang, 0) + len(text) + 1
-                if sum(size.values()) >= held_bytes:
-                    yield close(max(size, key=size.get))
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                lang = lang.as_py()
+                held.setdefault(lang, _Chunk()).add(text.as_py())
+                if sum(c.size for c in held.values()) >= held_bytes:
+                    yield close(max(held, key=lambda x: held[x].size))
                     n += 1
         for lang in list(held):
             yield close(lang)
@@ -86,50 +125,70 @@ def _relation(chunk: int, gids: np.ndarray, codes: np.ndarray) -> pa.Table:
 RELATION = "chunk long, gids array<long>, body binary"
 
 
-def _of(table: pa.Table, *names: str) -> list:
-    (row,) = table.select(list(names)).to_pylist()
-    return [row[x] for x in names]
+def _codes(row: pa.Table) -> tuple[int, np.ndarray]:
+    """The number of a chunk and what stands at its places."""
+    return row.column("chunk")[0].as_py(), unpacked_numbers(row.column("body")[0].as_buffer())
+
+
+def _groups(row: pa.Table) -> np.ndarray:
+    """The groups of a chunk by their number in it."""
+    return row.column("gids")[0].values.to_numpy()
 
 
 def _frequent_words(words: pa.Table, found: pa.Table) -> pa.Table:
     """The relation of the frequent words: a semi-join of a chunk's words with the frequent ones."""
-    chunk, body = _of(words, "chunk", "body")
-    codes = unpacked_numbers(body)
+    chunk, codes = _codes(words)
     code, gids = found.column("code").to_numpy(), found.column("gid").to_numpy()
-    place = np.zeros(max(codes.max(initial=0), code.max(initial=0)) + 1, dtype=np.int64)
+    place = np.zeros(max(codes.max(initial=0), code.max(initial=0)) + 1, dtype=np.uint32)
     place[code] = np.arange(1, len(code) + 1)
     return _relation(chunk, gids, place[codes])
 
 
-def _adjacent(codes: np.ndarray, n: int) -> np.ndarray:
-    """For each place but the last the joint number of two groups that begin there and one place on, or -1."""
-    a, b = codes[:-1], codes[1:]
-    return np.where((a > 0) & (b > 0), (a - 1) * n + b - 1, -1)
+def _adjacent(codes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Some places at a time, but the last: the first one, and for each the joint number of two groups that begin there and one place on, or -1."""
+    for at in range(0, len(codes) - 1, STEP_PLACES):
+        c = codes[at : at + STEP_PLACES + 1].astype(np.int64)
+        a, b = c[:-1], c[1:]
+        yield at, np.where((a > 0) & (b > 0), (a - 1) * n + b - 1, -1)
 
 
 def _joined(relation: pa.Table) -> pa.Table:
     """The merge join of a relation with itself at adjacent places, counted: ``(chunk, g1, g2, n)``."""
-    chunk, gids, body = _of(relation, "chunk", "gids", "body")
-    gids = np.array(gids, dtype=np.int64)
-    both = _adjacent(unpacked_numbers(body), max(1, len(gids)))
-    key, n = np.unique(both[both >= 0], return_counts=True)
-    return pa.table({"chunk": pa.array(np.full(len(key), chunk)), "g1": pa.array(gids[key // max(1, len(gids))]), "g2": pa.array(gids[key % max(1, len(gids))]), "n": pa.array(n.astype(np.int64))})
+    (chunk, codes), gids = _codes(relation), _groups(relation)
+    each = max(1, len(gids))
+    key = np.empty(np.count_nonzero((codes[:-1] > 0) & (codes[1:] > 0)), dtype=np.int64)
+    filled = 0
+    for _, both in _adjacent(codes, each):
+        both = both[both >= 0]
+        key[filled : filled + len(both)] = both
+        filled += len(both)
+    del codes
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    n, key = np.diff(first, append=len(key)), key[first]
+    batches = []
+    for at in range(0, len(key), SENT_ROWS):
+        some = key[at : at + SENT_ROWS]
+        batches.append(pa.record_batch({"chunk": pa.array(np.full(len(some), chunk)), "g1": pa.array(gids[some // each]), "g2": pa.array(gids[some % each]), "n": pa.array(n[at : at + SENT_ROWS])}))
+    return pa.Table.from_batches(batches, pa.schema([(c, pa.int64()) for c in ("chunk", "g1", "g2", "n")]))
 
 
 def _longer(relation: pa.Table, found: pa.Table) -> pa.Table:
     """The relation of the frequent groups one word longer: a semi-join of the joined places with them."""
-    chunk, gids, body = _of(relation, "chunk", "gids", "body")
-    gids = np.array(gids, dtype=np.int64)
+    (chunk, codes), gids = _codes(relation), _groups(relation)
     order = np.argsort(gids)
     own = lambda c: order[np.searchsorted(gids, found.column(c).to_numpy(), sorter=order)]
     key = own("g1") * len(gids) + own("g2")
     by_key = np.argsort(key)
     key, new = key[by_key], found.column("gid").to_numpy()[by_key]
-    both = _adjacent(unpacked_numbers(body), max(1, len(gids)))
     if not len(key):
-        return _relation(chunk, new, np.zeros(0, dtype=np.int64))
-    at = np.minimum(np.searchsorted(key, both), len(key) - 1)
-    return _relation(chunk, new, np.where(key[at] == both, at + 1, 0))
+        return _relation(chunk, new, np.zeros(0, dtype=np.uint32))
+    out = np.zeros(max(0, len(codes) - 1), dtype=np.uint32)
+    for first, both in _adjacent(codes, len(gids)):
+        at = np.minimum(np.searchsorted(key, both), len(key) - 1)
+        out[first : first + len(both)] = np.where(key[at] == both, at + 1, 0)
+    del codes
+    return _relation(chunk, new, out)
 
 
 def frequent_phrases(scratch: Scratch, df: DataFrame, lang_col: str, text_col: str, most_words: int, least: int, held_bytes: int = HELD_BYTES) -> tuple[DataFrame, DataFrame]:

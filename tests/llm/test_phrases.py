@@ -1,8 +1,13 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from millrace.llm import phrases
+from millrace.llm.chunks import packed_numbers, unpacked_numbers
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -87,3 +92,75 @@ def test_counts_beyond_64_bits_in_products(spark):
     a, down = 9_000_000_000_000_000, 18_000_000_000_000_001
     got = spark.range(1).selectExpr(f"(cast({a}L as decimal(20,0)) * cast(2000000 as decimal(7,0))) div cast({down}L as decimal(21,0)) as s").first().s
     assert got == 2000000 * a // down
+
+
+class Caught:
+    """Stands for a frame and keeps the function that a task would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def word_rows(monkeypatch, rows, held_bytes=phrases.HELD_BYTES):
+    monkeypatch.setattr(phrases, "new_chunk", lambda n: n)
+    batches = (pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text.encode()])], names=["lang", "text"]) for lang, text in rows)
+    return phrases._word_relation(Caught(), "lang", "text", held_bytes).run(batches)
+
+
+def test_a_task_holds_little_besides_the_codes_of_its_words(spark, monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(20_000)}" for _ in range(25_000)) + "."
+    for rows in ([("en", text)] * 60, [("en", text * 60)]):
+        tracemalloc.start()
+        (row,) = word_rows(monkeypatch, rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(row.column("counts")[0].as_py()) == 60 * 25_000
+        assert peak < 5 * 60 * len(text)  # taken apart at once, about 20 bytes for each of text
+
+
+def test_texts_cut_at_any_step_give_the_same_words(spark, monkeypatch):
+    rows = [(lang or "und", text or "") for lang, text in drawn(4, 120)] + [("en", "x" * 300 + ". y y"), ("en", "..")]
+
+    def pieces(row):
+        words = row.column("words")[0].as_py()
+        said = [words[c - 1] if c else None for c in unpacked_numbers(row.column("body")[0].as_py()).tolist()]
+        out = [[]]
+        for w in said:
+            out[-1].append(w) if w is not None else out.append([])
+        return row.column("lang")[0].as_py(), [p for p in out if p], dict(zip(words, row.column("counts")[0].as_py(), strict=True))
+
+    for step in (1, 2, 7, 64, 1 << 20):
+        monkeypatch.setattr(phrases, "STEP_BYTES", step)
+        got = {lang: (found, counts) for lang, found, counts in map(pieces, word_rows(monkeypatch, rows))}
+        assert set(got) == {lang for lang, _ in rows}
+        for lang, (found, counts) in got.items():
+            texts = "\n".join(text for x, text in rows if x == lang).translate(FOLD)
+            want = [p for p in (re.findall(r"[^\x20\x09]+", piece) for piece in re.split(r"[.,;:!?\x0A-\x0D]", texts)) if p]
+            assert found == want and counts == Counter(w for p in want for w in p)
+
+
+def test_joins_by_stretches_of_places(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size, groups in ((0, 0), (1, 3), (2, 3), (500, 12)):
+        codes, gids = rng.integers(0, groups + 1, size), rng.permutation(1000)[:groups]
+        ends = pa.array([0, groups], pa.int32())
+        relation = pa.table({"chunk": pa.array([7]), "gids": pa.ListArray.from_arrays(ends, pa.array(gids, pa.int64())), "body": pa.array([packed_numbers(codes)], pa.binary())})
+        both = [(int(gids[a - 1]), int(gids[b - 1])) if a and b else None for a, b in zip(codes[:-1], codes[1:], strict=True)]
+        count = Counter(x for x in both if x)
+        often = sorted(x for x, n in count.items() if n > 2)
+        found = pa.table({"g1": pa.array([x for x, _ in often], pa.int64()), "g2": pa.array([x for _, x in often], pa.int64()), "gid": pa.array(range(50, 50 + len(often)), pa.int64())})
+        for step, sent in ((1, 2), (2, 3), (7, 1000), (1 << 18, 1 << 16)):
+            monkeypatch.setattr(phrases, "STEP_PLACES", step)
+            monkeypatch.setattr(phrases, "SENT_ROWS", sent)
+            joined = phrases._joined(relation)
+            assert {(r["g1"], r["g2"]): r["n"] for r in joined.to_pylist()} == count and joined.num_rows == len(count)
+            assert all(b.num_rows <= sent for b in joined.to_batches()) and set(joined.column("chunk").to_pylist()) <= {7}
+            longer = phrases._longer(relation, found)
+            own = longer.column("gids")[0].as_py()
+            got = [own[c - 1] - 50 if c else None for c in unpacked_numbers(longer.column("body")[0].as_py()).tolist()]
+            assert [often[g] if g is not None else None for g in got] == ([x if x in often else None for x in both] if often else [])
