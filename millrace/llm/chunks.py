@@ -29,6 +29,11 @@ def byte_set(chars: bytes) -> np.ndarray:
     return out
 
 
+def places_of(n: int) -> type:
+    """The narrower kind of whole numbers that holds places up to ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 @dataclass
 class Words:
     """Words of several texts, in order; ``text`` is the number of a word's text, ``code`` its place in ``known``."""
@@ -42,21 +47,24 @@ class Words:
 
     def first_and_end(self, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """For each word the numbers of its text's first word and of the word after its last."""
-        of = np.searchsorted(self.text, np.arange(texts + 1))
+        of = np.searchsorted(self.text, np.arange(texts + 1, dtype=self.text.dtype)).astype(self.text.dtype)
         return of[:-1][self.text], of[1:][self.text]
 
 
 def words_of(texts: list[bytes], gap: np.ndarray, fold: np.ndarray | None = None) -> Words:
     """Runs of bytes outside ``gap``; ``fold`` maps the bytes first. A line break is a gap and parts the texts."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     raw = raw if fold is None else fold[raw]
     blank = gap[raw]
+    kind = places_of(len(raw))
     edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    start, end = np.flatnonzero(edge == -1).astype(kind), np.flatnonzero(edge == 1).astype(kind)
+    del edge
+    bounds = np.cumsum([len(t) + 1 for t in texts]).astype(kind)
+    offsets = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(end - start, out=offsets[1:])
     spelt = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~blank])]).dictionary_encode()
-    return Words(raw, start, end, np.searchsorted(bounds, start, side="right"), spelt.indices.to_numpy().astype(np.int64), spelt.dictionary)
+    return Words(raw, start, end, np.searchsorted(bounds, start, side="right").astype(kind), spelt.indices.to_numpy(), spelt.dictionary)
 
 
 def packed(texts: list[bytes]) -> tuple[bytes, bytes]:
@@ -131,7 +139,7 @@ def text_chunks(scratch: Scratch, df: DataFrame, id_col: str, text_col: str, lim
             yield close()
 
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.BinaryType()), T.StructField("body", T.BinaryType())])
-    return dealt(scratch, scratch.keep(slim.mapInArrow(run, schema)), "body")
+    return dealt(scratch, scratch.keep(slim.mapInArrow(run, schema), large=True), "body")
 
 
 def dealt(scratch: Scratch, chunks: DataFrame, weight: str) -> DataFrame:

@@ -199,7 +199,7 @@ def frequent_phrases(scratch: Scratch, df: DataFrame, lang_col: str, text_col: s
     groups over all chunks and keeps the places of frequent ones only.
     """
     small_batches(df.sparkSession)
-    raw = scratch.keep(_word_relation(df, lang_col, text_col, held_bytes))
+    raw = scratch.keep(_word_relation(df, lang_col, text_col, held_bytes), large=True)
     totals = raw.groupBy("lang").agg(F.sum(F.expr("aggregate(counts, 0L, (x, y) -> x + y)")).alias("n"))
     totals = scratch.keep(totals)
     each = raw.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("chunk", "lang", (F.col("code") + 1).alias("code"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
@@ -207,7 +207,7 @@ def frequent_phrases(scratch: Scratch, df: DataFrame, lang_col: str, text_col: s
     known = scratch.keep(found.where("first").select("gid", "lang", F.array("word").alias("words"), "a"))
     phrases = [known]
     longer = raw.select("chunk", "body").groupBy("chunk").cogroup(found.select("chunk", "code", "gid").groupBy("chunk")).applyInArrow(_frequent_words, RELATION)
-    relation, past = dealt(scratch, scratch.keep(longer), "body"), [raw, found]
+    relation, past = dealt(scratch, scratch.keep(longer, large=True), "body"), [raw, found]
     for k in range(2, most_words + 1):
         for gone in past:  # what the next relation was made of
             scratch.drop(gone)
@@ -218,7 +218,7 @@ def frequent_phrases(scratch: Scratch, df: DataFrame, lang_col: str, text_col: s
         past = [relation, found]
         if k < most_words:
             longer = relation.groupBy("chunk").cogroup(found.select("chunk", "g1", "g2", "gid").groupBy("chunk")).applyInArrow(_longer, RELATION)
-            relation = dealt(scratch, scratch.keep(longer), "body")
+            relation = dealt(scratch, scratch.keep(longer, large=True), "body")
     for gone in past:
         scratch.drop(gone)
     out = phrases[0]

@@ -1,10 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import passages
+from millrace.llm.chunks import packed
+from millrace.sources.scratch import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +78,51 @@ def test_nulls_repeats_and_empty_table(spark):
     assert passages.without_passages(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         passages.without_passages(df, window=0)
+
+
+def test_a_pass_holds_little_for_each_word():
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(rng.choices(names, k=1_000)).encode() for _ in range(300)]
+    texts += texts[:100]
+    n = 1_000 * len(texts)
+    lengths, body = packed(texts)
+    row = pa.table({"chunk": [7], "ids": [list(range(len(texts)))], "lengths": [lengths], "body": [body]})
+    first = passages._first_keys(35)(row)
+    asked = pa.table({"chunk": first.column("chunk"), "h": first.column("h"), "lead": pa.array([True] * len(first))})
+    windows = passages._window_keys(35)(row, asked)
+    again = windows.filter(windows.column("many")).select(["chunk", "h", "h2"])
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / n
+        finally:
+            tracemalloc.stop()
+
+    for run in (lambda: passages._first_keys(35)(row), lambda: passages._window_keys(35)(row, asked), lambda: passages._kept(35)(row, again)):
+        assert peak(run) < 100
+    assert max(b.num_rows for b in windows.to_batches()) <= passages.SENT_ROWS < windows.num_rows
+    assert passages._kept(35)(row, again).column("n_removed").to_pylist() == [1_000] * 100 + [0] * 200 + [1_000] * 100
+
+
+def test_pairs_of_equal_first_members():
+    known_a, known_b = np.array([1, 4, 4, 4, 9]), np.array([5, 8, 2, 6, 1])
+    a, b = np.array([4, 4, 4, 4, 1, 1, 9, 9, 0, 10]), np.array([8, 2, 6, 7, 5, 6, 1, 2, 5, 1])
+    assert passages._pairs_in(a, b, known_a, known_b).tolist() == [True, True, True, False, True, False, True, False, False, False]
+    assert passages._pairs_in(a, b, known_a[:0], known_b[:0]).tolist() == [False] * 10
+
+
+def test_large_values_are_pages_of_their_own(spark):
+    rows = spark.range(5, numPartitions=1).selectExpr("id AS chunk", "cast(repeat(cast(id AS string), 2000000) AS binary) AS body")
+    scratch = Scratch(spark, "pages")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for kept in (scratch.keep_by(rows, "chunk", 1), scratch.keep(rows, large=True)):
+        (file,) = kept.inputFiles()
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf))
+        try:
+            body = reader.getFooter().getBlocks().get(0).getColumns().get(1)
+            assert reader.readOffsetIndex(body).getPageCount() >= 5
+        finally:
+            reader.close()
