@@ -6,19 +6,23 @@ import hashlib
 import heapq
 import math
 import zlib
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.blocks import blocks, fewer_parts, summed
 
-#: Bins of a feature, most trees between two writings of the predictions, and gains that count as none.
+#: Bins of a feature, most trees between two writings of the errors, and gains that count as none.
 BINS, REFRESH, NO_GAIN = 255, 20, 1e-6
+#: Errors are also written where a task would look up more than this many leaves a pass, after a few trees at least.
+LOOKED_UP, FEW_TREES = 1 << 21, 4
+#: Rows of a block, and rows over which a pass takes less time than a job's start, so that one task makes all passes.
+BLOCK, ROWS_HERE = 1 << 16, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -46,18 +50,51 @@ class Tree:
     gain: dict[int, float] = field(default_factory=dict)
     value: dict[int, float] = field(default_factory=dict)
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The place at which each row of ``bins`` ends."""
+    def finder(self) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """The places of the leaves, and a function that numbers the leaf of each row of bins.
+
+        A feature's table holds, for each bin, which leaves its nodes leave open;
+        only a row's own leaf is open in all tables.
+        """
+        ends = sorted({c for n in self.feature for c in (2 * n + 1, 2 * n + 2)} - set(self.feature) or {0})
+        if len(ends) > 64:
+            return np.array(ends), lambda bins: np.searchsorted(ends, self._walked(bins))
+        whole, real, bits, offset = (np.uint16, np.float32, 23, 127) if len(ends) <= 16 else (np.uint64, np.float64, 52, 1023)
+        under = {e: 1 << i for i, e in enumerate(ends)}
+        for node in sorted(self.feature, reverse=True):
+            under[node] = under[2 * node + 1] | under[2 * node + 2]
+        every = under[0]
+        tables: dict[int, np.ndarray] = {}
+        for node, f in self.feature.items():
+            table = tables.setdefault(f, np.full(256, every, dtype=whole))
+            table[: self.cut[node] + 1] &= whole(every & ~under[2 * node + 2])
+            table[self.cut[node] + 1 :] &= whole(every & ~under[2 * node + 1])
+
+        def find(bins: np.ndarray) -> np.ndarray:
+            left = None
+            for f, table in tables.items():
+                left = table[bins[:, f]] if left is None else left & table[bins[:, f]]
+            if left is None:
+                return np.zeros(len(bins), dtype=np.int64)
+            return (left.astype(real).view(np.int32 if real is np.float32 else np.int64) >> bits) - offset  # one bit is set: its number is the exponent
+
+        return np.array(ends), find
+
+    def _walked(self, bins: np.ndarray) -> np.ndarray:
         at = np.zeros(len(bins), dtype=np.int64)
         for node in sorted(self.feature):
             here = np.flatnonzero(at == node)
             at[here] = 2 * node + 1 + (bins[here, self.feature[node]] > self.cut[node])
         return at
 
+    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
+        """The place at which each row of ``bins`` ends."""
+        ends, find = self.finder()
+        return ends[find(bins)]
+
     def predict(self, bins: np.ndarray) -> np.ndarray:
-        values = np.zeros(max(self.value) + 1)
-        values[list(self.value)] = list(self.value.values())
-        return values[self.leaf_of(bins)]
+        ends, find = self.finder()
+        return np.array([self.value[e] for e in ends.tolist()])[find(bins)]
 
 
 @dataclass(frozen=True)
@@ -148,69 +185,138 @@ def _sampled(h: np.ndarray, how: Growth, tree: int) -> np.ndarray:
     return (z >> np.uint64(11)).astype(np.float64) / (1 << 53) < how.rows
 
 
-def _block(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    """(h, bins, y, later, pred) of a batch of ``binned_rows``."""
-    return (b.column("h").to_numpy(), _matrix(b.column("bins"), k), b.column("y").to_numpy(), b.column("later").to_numpy(zero_copy_only=False), b.column("pred").to_numpy())
+#: A block: hashes, bins by columns, weights (none: each row counts once), errors, whether later.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]
+
 
+def _block(b: pa.RecordBatch, k: int) -> Block:
+    """The block of a batch of ``binned_rows``, or of ``cells``."""
+    off = b.column("pred").to_numpy() - b.column("y").to_numpy()
+    weight = b.column("n").to_numpy().astype(float) if "n" in b.schema.names else None
+    return (b.column("h").to_numpy(), np.asfortranarray(_matrix(b.column("bins"), k)), weight, off, b.column("later").to_numpy(zero_copy_only=False))
 
-def histograms(rows: RDD, k: int, trees: Sequence[Tree], partial: Tree, level: int, how: Growth, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(node, feature, bin, [gradient, hessian])`` of a level's nodes over a tree's rows, and [squared error, rows] of the later rows.
 
-    ``trees`` are those since ``pred`` was written.
+def cells(data: DataFrame) -> DataFrame:
+    """``binned_rows`` with rows of equal bins as one, their label's mean as ``y`` and their number as ``n``.
+
+    Trees that see all rows come out the same: gradients are sums, and squared
+    errors only lose what is inside of a cell, whatever the trees.
     """
-    nodes, first = 1 << level, (1 << level) - 1
-    size = k * nodes * BINS * 2
+    merged = data.groupBy("bins", "later", "pred").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"))
+    return merged.select(F.lit(0).cast("long").alias("h"), "bins", "y", "later", "pred", "n")
 
-    def work(h: np.ndarray, bins: np.ndarray, y: np.ndarray, later: np.ndarray, pred: np.ndarray) -> np.ndarray:
-        total = np.zeros(size + 2)
-        hist = total[:size].reshape(k, nodes * BINS, 2)
-        off = pred + sum((t.predict(bins) for t in trees), np.zeros(len(y))) - y
-        if level == 0:
-            total[size:] = off[later] @ off[later], later.sum()
-        use = ~later & _sampled(h, how, number)
-        at = partial.leaf_of(bins[use]) - first
-        here = at >= 0
-        at, g, own = at[here], off[use][here], bins[use][here]
-        for f in range(k):
-            key = at * BINS + own[:, f]
-            hist[f, :, 0] = np.bincount(key, g, nodes * BINS)
-            hist[f, :, 1] = np.bincount(key, minlength=nodes * BINS)
-        return total
 
-    found = summed(rows, work, np.zeros(size + 2))
-    return found[:size].reshape(k, nodes, BINS, 2).swapaxes(0, 1), found[size:]
+def looked(block: Block, trees: Sequence[Tree], partial: Tree, level: int, columns: Sequence[int], how: Growth, number: int) -> np.ndarray:
+    """Histograms ``(column, node, bin, [gradient, hessian])`` of a level's nodes over a tree's rows, flat, then squared error and weight of the later rows.
+
+    ``trees`` are those that the block's errors do not hold yet.
+    """
+    h, bins, weight, off, later = block
+    nodes, first = 1 << level, (1 << level) - 1
+    size = len(columns) * nodes * BINS * 2
+    total = np.zeros(size + 2)
+    hist = total[:size].reshape(len(columns), 2, nodes * BINS)
+    if trees:
+        off = off + sum(t.predict(bins) for t in trees)
+    if level == 0:
+        w = off[later] if weight is None else off[later] * weight[later]
+        total[size:] = off[later] @ w, later.sum() if weight is None else weight[later].sum()
+    use = ~later
+    if how.rows < 1:
+        use &= _sampled(h, how, number)
+    at = 0
+    if level:
+        at = (partial.leaf_of(bins) - first) * BINS
+        use &= at >= 0
+        at = at[use]
+    g, w = off[use], None if weight is None else weight[use]
+    if w is not None:
+        g = g * w
+    for i, f in enumerate(columns):
+        key = at + bins[:, f][use].astype(np.int64)
+        hist[i, 0] = np.bincount(key, g, nodes * BINS)
+        hist[i, 1] = np.bincount(key, w, nodes * BINS)
+    return total
+
+
+class Spread:
+    """Blocks on the executors: each look is a job."""
+
+    def __init__(self, rows: RDD, largest: int):
+        self.rows, self.largest, self.fresh = rows, largest, []
+
+    def look(self, *args, size: int) -> np.ndarray:
+        fresh = tuple(self.fresh)
+        return summed(self.rows, lambda *block: looked(block, fresh, *args), np.zeros(size))
+
+    def add(self, tree: Tree) -> None:
+        """Errors are written now and then, so that a look has few trees to look up."""
+        self.fresh.append(tree)
+        if len(self.fresh) >= min(REFRESH, max(FEW_TREES, LOOKED_UP // max(1, self.largest))):
+            fresh = tuple(self.fresh)
+            newer = self.rows.map(lambda b: (*b[:3], b[3] + sum(t.predict(b[1]) for t in fresh), b[4])).persist(StorageLevel.MEMORY_AND_DISK)
+            newer.count()
+            self.rows.unpersist()
+            self.rows, self.fresh = newer, []
 
 
-def written(rows: RDD, trees: Sequence[Tree]) -> RDD:
-    """``rows`` with what ``trees`` give added to ``pred``."""
+class Here:
+    """Blocks in this task."""
 
-    def one(block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        *others, pred = block
-        return (*others, pred + sum(t.predict(others[1]) for t in trees))
+    def __init__(self, held: Sequence[Block]):
+        self.held = list(held)
 
-    return rows.map(one)
+    def look(self, *args, size: int) -> np.ndarray:
+        return sum((looked(b, (), *args) for b in self.held), np.zeros(size))
+
+    def add(self, tree: Tree) -> None:
+        self.held = [(*b[:3], b[3] + tree.predict(b[1]), b[4]) for b in self.held]
 
 
 def boost(data: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
     """Trees for squared errors of ``binned_rows``, and how many of them have the least error on the later rows.
 
+    Trees that see all rows are grown on ``cells``. Where there are at most
+    ``ROWS_HERE`` rows, one task makes all passes; else a pass is a job.
+    """
+    data = (cells(data) if how.rows >= 1 else data).persist()
+    n = data.count()
+    few = n <= ROWS_HERE
+    rows = blocks(data.coalesce(1) if few else fewer_parts(data), lambda b: _block(b, k), BLOCK)
+    if few:
+        found = rows.mapPartitions(lambda held: [boosted(Here(held), k, how)]).collect() if n else [([], 0)]
+        rows.unpersist()
+        data.unpersist()
+        return found[0]
+    largest = max(rows.mapPartitions(lambda held: [sum(len(b[3]) for b in held)]).collect(), default=0)
+    data.unpersist()
+    spread = Spread(rows, largest)
+    out = boosted(spread, k, how)
+    spread.rows.unpersist()
+    return out
+
+
+def boosted(held: Spread | Here, k: int, how: Growth) -> tuple[list[Tree], int]:
+    """Trees, and how many of them have the least error on the later rows.
+
     A level of a tree is one pass: all its nodes' histograms at once, so a tree
     takes ``depth`` passes also where leaves open by gain, since every node
     that may open is known by then. It stops ``patience`` trees after the least
     error, or where no split gains.
     """
-    rows = blocks(data, lambda b: _block(b, k))
     trees: list[Tree] = []
-    fresh: list[Tree] = []
     least, best = math.inf, 0
     while True:
         partial, splits, root = Tree(), {}, (0.0, 0.0)
         columns = drawn_columns(k, how, len(trees))
         stop = False
         for level in range(how.depth):
-            hist, (error, n) = histograms(rows, k, fresh, partial, level, how, len(trees))
+            size = len(columns) * (1 << level) * BINS * 2
+            found = held.look(partial, level, columns, how, len(trees), size=size + 2)
+            hist = found[:size].reshape(len(columns), 2, 1 << level, BINS).transpose(2, 0, 3, 1)
             if level == 0:
                 root = tuple(hist[0, 0].sum(axis=0))
+                error, n = found[size:]
                 if n:
                     if error / n < least:
                         least, best = error / n, len(trees)
@@ -225,20 +331,15 @@ def boost(data: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
                 node = (1 << level) - 1 + i
                 if level and node not in {c for p in partial.feature for c in (2 * p + 1, 2 * p + 2)}:
                     continue
-                if (s := best_split(hist[i], columns, how.penalty, how.least_weight)) is not None:
+                if (s := best_split(hist[i], range(len(columns)), how.penalty, how.least_weight)) is not None:
+                    s = replace(s, feature=columns[s.feature])
                     splits[node], partial.feature[node], partial.cut[node], opened = s, s.feature, s.cut, True
             if not opened:
                 break
         if stop or not splits:
             break
         trees.append(grown(splits, root, how))
-        fresh.append(trees[-1])
-        if len(fresh) == REFRESH:
-            newer = written(rows, fresh).persist()
-            newer.count()
-            rows.unpersist()
-            rows, fresh = newer, []
-    rows.unpersist()
+        held.add(trees[-1])
     return trees, best
 
 

@@ -11,10 +11,12 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.blocks import ROWS_A_TASK, blocks, summed
+from millrace.operators.blocks import blocks, parts_of, summed
 
 #: Rates of the first and second moments of the gradient, and what is added to the root of the second.
 MOMENTS, SMALL = (0.9, 0.999), 1e-8
+#: Rows that go through the network at a time: what layers give for them stays in a core's cache.
+STRETCH = 2048
 
 
 def layers_of(flat: np.ndarray, sizes: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -70,7 +72,7 @@ def scaled_rows(data: DataFrame) -> DataFrame | None:
     scaled = F.array(*[(x[i] - float(m)) / float(d) for i, (m, d) in enumerate(zip(mean, dev, strict=True))])
     h = F.xxhash64("date", "stock_id")
     rows = data.select(h.alias("h"), scaled.alias("x"), ((F.col("label") - label["m"]) / label["d"]).alias("y"))
-    return rows.repartition(max(1, -(-label["n"] // ROWS_A_TASK)), "h").sortWithinPartitions("h").select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
+    return rows.repartition(parts_of(data.sparkSession.sparkContext, label["n"]), "h").sortWithinPartitions("h").select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
 
 
 def fit(rows: RDD, inputs: int, hidden: Sequence[int], rate: float, penalty: float, steps: int, patience: int, seed: int) -> np.ndarray:
@@ -88,7 +90,9 @@ def fit(rows: RDD, inputs: int, hidden: Sequence[int], rate: float, penalty: flo
         def work(x: np.ndarray, y: np.ndarray, valid: np.ndarray, flat: np.ndarray = flat) -> np.ndarray:
             valid = valid.astype(bool)
             off = outputs(flat, sizes, x[valid])[-1][:, 0] - y[valid]
-            return np.concatenate([gradient(flat, sizes, x[~valid], y[~valid]), [(~valid).sum(), off @ off, valid.sum()]])
+            x, y = x[~valid], y[~valid]
+            grad = sum((gradient(flat, sizes, x[i : i + STRETCH], y[i : i + STRETCH]) for i in range(0, len(x), STRETCH)), np.zeros_like(flat))
+            return np.concatenate([grad, [len(x), off @ off, valid.sum()]])
 
         total = summed(rows, work, np.zeros(len(flat) + 3))
         n, error, checked = total[-3:]
