@@ -10,15 +10,16 @@ import pyarrow as pa
 from pyspark import RDD, SparkContext, StorageLevel
 from pyspark.sql import DataFrame
 
-#: Rows that make a task worth its start, and rows of a task where there are more than all cores take so.
-ROWS_A_TASK, ROWS_AT_MOST = 16384, 1 << 20
+#: Rows that make a task worth its start, and the most rows of a task.
+ROWS_A_TASK, ROWS_AT_MOST = 16384, 1 << 21
 #: Bytes of all tasks' sums that the driver adds itself.
 SUMS_AT_ONCE = 1 << 26
 
 
 def parts_of(context: SparkContext, rows: int) -> int:
-    """Partitions for so many rows: no more than the cores, unless tasks grew too large."""
-    return max(1, min(-(-rows // ROWS_A_TASK), max(context.defaultParallelism, -(-rows // ROWS_AT_MOST))))
+    """Partitions for so many rows: no more than the cores, or whole rounds of all cores where tasks would grow too large."""
+    cores = max(1, context.defaultParallelism)
+    return max(1, min(-(-rows // ROWS_A_TASK), cores * max(1, -(-rows // (cores * ROWS_AT_MOST)))))
 
 
 def fewer_parts(df: DataFrame) -> DataFrame:

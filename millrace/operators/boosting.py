@@ -279,18 +279,16 @@ def boost(data: DataFrame, k: int, how: Growth) -> tuple[list[Tree], int]:
     Trees that see all rows are grown on ``cells``. Where there are at most
     ``ROWS_HERE`` rows, one task makes all passes; else a pass is a job.
     """
-    data = (cells(data) if how.rows >= 1 else data).persist()
-    n = data.count()
-    few = n <= ROWS_HERE
-    rows = blocks(data.coalesce(1) if few else fewer_parts(data), lambda b: _block(b, k), BLOCK)
-    if few:
-        found = rows.mapPartitions(lambda held: [boosted(Here(held), k, how)]).collect() if n else [([], 0)]
+    merged = cells(data).persist() if how.rows >= 1 else None
+    rows = blocks(data if merged is None else fewer_parts(merged), lambda b: _block(b, k), BLOCK)
+    sizes = rows.mapPartitions(lambda held: [sum(len(b[3]) for b in held)]).collect()  # one number a task
+    if merged is not None:
+        merged.unpersist()
+    if sum(sizes) <= ROWS_HERE:
+        found = rows.coalesce(1).mapPartitions(lambda held: [boosted(Here(held), k, how)]).collect()
         rows.unpersist()
-        data.unpersist()
-        return found[0]
-    largest = max(rows.mapPartitions(lambda held: [sum(len(b[3]) for b in held)]).collect(), default=0)
-    data.unpersist()
-    spread = Spread(rows, largest)
+        return found[0] if found else ([], 0)
+    spread = Spread(rows, max(sizes))
     out = boosted(spread, k, how)
     spread.rows.unpersist()
     return out

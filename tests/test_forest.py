@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from millrace.operators import boosting, forest, mining
-from millrace.operators.blocks import blocks, fewer_parts
+from millrace.operators.blocks import blocks, fewer_parts, parts_of
 from millrace.operators.boosting import Growth, Tree
 
 K = 4
@@ -57,6 +57,24 @@ def test_trees_are_the_same_in_one_task_and_in_many(spark, how, monkeypatch):
     data.unpersist()
 
 
+def test_large_tasks_come_in_whole_rounds_and_look_up_few_trees(spark):
+    context = spark.sparkContext
+    cores = context.defaultParallelism
+    assert [parts_of(context, n) for n in (0, 1, 16384, 16385)] == [1, 1, 1, 2] and parts_of(context, cores * (1 << 21)) == cores
+    assert parts_of(context, cores * (1 << 21) + 1) == 2 * cores
+    x, y = rows(60)
+    tree = Tree({0: 0}, {0: 3}, {0: 1.0}, {1: -0.5, 2: 0.5})
+    for largest, kept in ((1 << 24, 4), (1 << 18, 8), (1, boosting.REFRESH)):
+        held = boosting.Spread(blocks(boosting.binned_rows(frame(spark, x, y), K, None)[0], lambda b: boosting._block(b, K)), largest)
+        before = np.concatenate(held.rows.map(lambda b: b[3] + kept * tree.predict(b[1])).collect())
+        for _ in range(kept - 1):
+            held.add(tree)
+        assert len(held.fresh) == kept - 1
+        held.add(tree)
+        assert not held.fresh and np.allclose(np.concatenate(held.rows.map(lambda b: b[3]).collect()), before)
+        held.rows.unpersist()
+
+
 @pytest.mark.parametrize("depth", [1, 3, 4, 6, 8])
 def test_leaves_equal_those_of_a_walk(depth):
     rng = np.random.default_rng(depth)
