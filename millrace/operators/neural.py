@@ -72,7 +72,9 @@ def scaled_rows(data: DataFrame) -> DataFrame | None:
     scaled = F.array(*[(x[i] - float(m)) / float(d) for i, (m, d) in enumerate(zip(mean, dev, strict=True))])
     h = F.xxhash64("date", "stock_id")
     rows = data.select(h.alias("h"), scaled.alias("x"), ((F.col("label") - label["m"]) / label["d"]).alias("y"))
-    return rows.repartition(parts_of(data.sparkSession.sparkContext, label["n"]), "h").sortWithinPartitions("h").select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
+    parts = parts_of(data.sparkSession.sparkContext, label["n"])
+    dealt = rows.repartition(parts, "h").sortWithinPartitions("h").coalesce(parts)  # no more tasks a step where a session deals by more partitions
+    return dealt.select("x", "y", (F.pmod("h", F.lit(10)) == 0).alias("valid"))
 
 
 def fit(rows: RDD, inputs: int, hidden: Sequence[int], rate: float, penalty: float, steps: int, patience: int, seed: int) -> np.ndarray:
